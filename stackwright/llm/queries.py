@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_quality, minhash_join, mixing, mph_dedup, packing
+from . import bwt_repeats, line_quality, minhash_join, mixing, mph_dedup, packing, seed_extend
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op4_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_repeats.removed_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,10 @@ def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.line_quality(table(spark, sf_dir, "documents"))
 
 
+def op9_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seed_extend.removed_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_best_fit(table(spark, sf_dir, "documents"))
 
@@ -33,9 +41,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         op2_mix_sources,
+        op4_bwt_repeats,
         op5_minhash_join,
         op6_mph_dedup,
         op8_line_quality,
+        op9_seed_extend,
         op10_pack_best_fit,
     )
 }
