@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bwt_repeats, line_quality, minhash_join, mixing, mph_dedup, packing, seed_extend
+from . import bwt_repeats, hierarchical_language, line_quality, minhash_join, mixing, mph_dedup, packing, pu_toxicity, revisit, seed_extend
 from .common import table
 
 
+def op1_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return revisit.page_revisits(table(spark, sf_dir, "pages"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op3_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt_repeats.removed_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -25,6 +33,10 @@ def op6_mph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mph_dedup.dedup_by_halves(table(spark, sf_dir, "documents"))
 
 
+def op7_hierarchical_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchical_language.predict_language(table(spark, sf_dir, "documents"))
+
+
 def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.line_quality(table(spark, sf_dir, "documents"))
 
@@ -40,10 +52,13 @@ def op10_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_revisit,
         op2_mix_sources,
+        op3_pu_toxicity,
         op4_bwt_repeats,
         op5_minhash_join,
         op6_mph_dedup,
+        op7_hierarchical_language,
         op8_line_quality,
         op9_seed_extend,
         op10_pack_best_fit,
@@ -51,6 +66,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_revisit": revisit.SQL,
     "op6_mph_dedup": mph_dedup.SQL,
     "op8_line_quality": line_quality.SQL,
 }

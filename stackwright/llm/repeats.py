@@ -35,6 +35,8 @@ MOST_STARTS = 128
 #: Different texts under an anchor that one task compares, and rows in a list of equal runs.
 MOST_HEADS = 2048
 LIST_ROWS = 256
+#: Anchors with more texts than that (8 bytes each) that are broadcast; more of them are joined by shuffling.
+MOST_BROADCAST = 1 << 20
 #: Units of text that are compared at once, under several anchors: with MOST_HEADS texts more at most.
 BLOCK_UNITS = 1 << 19
 
@@ -311,6 +313,8 @@ class Repeats:
         dealt = whole.repartition("doc")
         heads = found.filter(F.col("kind") == HEAD)
         hot = found.filter(F.col("kind") == HOT).select("anchor").distinct()
+        if hot.count() <= MOST_BROADCAST:
+            hot = F.broadcast(hot)
         usual = self.compare(self.texts(heads.join(hot, "anchor", "left_anti"), dealt))
         singly = self.compare_singly(self.texts(heads.join(hot, "anchor", "left_semi"), dealt))
         ranges = found.filter(F.col("kind") == REPEAT).select("doc", "tag", "start", "starts").unionByName(usual).unionByName(singly)
