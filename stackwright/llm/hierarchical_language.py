@@ -1,8 +1,8 @@
 """Language identification in two levels: the family first, then the language within it.
 
 Each level decides by one-versus-one linear support vector machines (squared hinge loss): one for each pair of
-families, and one for each pair of languages of a family. A text's features are the hashed letter n-grams (1 to 3, with
-the word's ends) and words, as shares of all its features, so a text's margins are means over its words.
+families, and one for each pair of languages of a family. A text's features are the hashed n-grams of 1 to 4 bytes of
+its letters in lower case, with a space for all else; their shares make the text's vector, whatever its length.
 
 Machines are trained with numpy, a task each, from at most MOST_TEXTS texts of a language, chosen by hash from rows
 that may be learned from (crc32 of doc_id not 0 modulo 5, lang not null). Languages outside the table of families are
@@ -16,7 +16,6 @@ one language learned, all other texts get it. Rows that repeat a doc_id are pred
 from __future__ import annotations
 
 import re
-import zlib
 from itertools import combinations
 
 import numpy as np
@@ -44,12 +43,12 @@ FAMILIES = {
     "dravidian": "kn ml ta te",
 }
 DIMENSIONS = 1 << 16
-MOST_TEXTS = 1000
+MOST_TEXTS = 800
+GRAMS = (1, 2, 3, 4)
 STEPS = 80
 SCALE = 20.0
 UNKNOWN = "und"
-_WORDS = re.compile(r"[^\W\d_]+")
-_CACHE = 100_000
+_NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def family_of(lang: str) -> str:
@@ -57,20 +56,28 @@ def family_of(lang: str) -> str:
     return next((name for name, codes in FAMILIES.items() if code in codes.split()), f"only-{lang}")
 
 
-def word_features(word: str) -> np.ndarray:
-    whole = f"<{word[:40]}>"
-    parts = [whole, *(whole[i : i + n] for n in (1, 2, 3) for i in range(len(whole) - n + 1))]
-    return np.array([zlib.crc32(p.encode()) % DIMENSIONS for p in parts], np.int32)
-
-
-def train_machine(texts: list[np.ndarray], side: np.ndarray, steps: int = STEPS) -> np.ndarray:
-    """Weights, the bias last. texts: the features of each, with repeats; side: 1 or -1."""
-    sizes = np.array([len(t) for t in texts])
-    features, owner = np.concatenate(texts), np.repeat(np.arange(len(texts)), sizes)
-    # Counts of equal features of a text are added up.
-    key, count = np.unique(owner * np.int64(DIMENSIONS) + features, return_counts=True)
-    features, owner = key % DIMENSIONS, key // DIMENSIONS
-    value = SCALE * count / np.maximum(sizes, 1)[owner]
+def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
+    """Feature numbers of a text and their shares times SCALE; None without letters."""
+    letters = _NO_LETTERS.sub(" ", (text or "").lower()).strip()
+    if not letters:
+        return None
+    units = np.frombuffer(f" {letters} ".encode(), np.uint8).astype(np.uint32)
+    gram, total = np.zeros(len(units), np.uint32), np.zeros(DIMENSIONS, np.int64)
+    for n in GRAMS:
+        if n > len(units):
+            break
+        gram = gram[: len(units) - n + 1] * np.uint32(257) + units[n - 1 :]
+        mixed = (gram + np.uint32(n)) * np.uint32(2654435761)
+        total += np.bincount((mixed >> np.uint32(16)).astype(np.int64), minlength=DIMENSIONS)
+    numbers = np.flatnonzero(total)
+    return numbers.astype(np.int32), (SCALE * total[numbers] / total.sum()).astype(np.float32)
+
+
+def train_machine(texts: list[tuple[np.ndarray, np.ndarray]], side: np.ndarray, steps: int = STEPS) -> np.ndarray:
+    """Weights, the bias last. texts: feature numbers and shares of each; side: 1 or -1."""
+    features = np.concatenate([f for f, _ in texts])
+    value = np.concatenate([v for _, v in texts]).astype(np.float64)
+    owner = np.repeat(np.arange(len(texts)), [len(f) for f, _ in texts])
     balance = np.where(side > 0, 0.5 / max(1, (side > 0).sum()), 0.5 / max(1, (side < 0).sum()))
     w, bias = np.zeros(DIMENSIONS), 0.0
     first, second = np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1)
@@ -112,23 +119,22 @@ def fit(docs: DataFrame, most_texts: int = MOST_TEXTS) -> tuple[list[str], list[
                 sides[lang].append((number, 1 if own == a else -1))
     table = docs.sparkSession.createDataFrame([(lang, n, s) for lang, held in sides.items() for n, s in held], "lang string, machine int, side int")
 
+    def featured(batches):
+        for batch in batches:
+            found = [text_features(t) for t in batch["text"].to_pylist()]
+            columns = [pa.array([None if x is None else x[k].tobytes() for x in found], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["lang"], *columns], ["doc_id", "lang", "numbers", "shares"])
+
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["lang", "doc_id"])
-        held: dict[str, np.ndarray] = {}
-        rows, side = [], []
-        for text, s in zip(pdf["text"], pdf["side"]):
-            found = []
-            for word in _WORDS.findall(text.lower()):
-                if word not in held:
-                    held[word] = word_features(word)
-                found.append(held[word])
-            if found:
-                rows.append(np.concatenate(found))
-                side.append(s)
-        weights = train_machine(rows, np.array(side)) if rows else np.zeros(DIMENSIONS + 1)
+        pdf = pdf[pdf["numbers"].notna()].sort_values(["lang", "doc_id"])
+        if not len(pdf):
+            return pd.DataFrame({"machine": [], "weights": []}).astype({"machine": "int32"})
+        rows = [(np.frombuffer(n, np.int32), np.frombuffer(v, np.float32)) for n, v in zip(pdf["numbers"], pdf["shares"])]
+        weights = train_machine(rows, pdf["side"].to_numpy())
         return pd.DataFrame({"machine": [pdf["machine"].iloc[0]], "weights": [weights.astype(np.float32).tobytes()]})
 
-    found = texts.join(F.broadcast(table), "lang").groupBy("machine").applyInPandas(learn, "machine int, weights binary").collect()
+    rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(featured, "doc_id long, lang string, numbers binary, shares binary")
+    found = rows.join(F.broadcast(table), "lang").groupBy("machine").applyInPandas(learn, "machine int, weights binary").collect()
     weights = np.zeros((len(pairs), DIMENSIONS + 1), np.float32)
     for row in found:  # a vector for each machine
         weights[row["machine"]] = np.frombuffer(row["weights"], np.float32)
@@ -163,29 +169,14 @@ def predict_language(docs: DataFrame, most_texts: int = MOST_TEXTS) -> DataFrame
         families: dict[str, list[str]] = {}
         for lang in langs:
             families.setdefault(family_of(lang), []).append(lang)
-        by_feature, bias = np.ascontiguousarray(weights[:, :-1].T) * SCALE, weights[:, -1]
-        number_of: dict[str, int] = {}
-        table = np.zeros((1024, len(pairs) + 1), np.float64)  # of each word met: sums by machine, and its features
+        by_feature, bias = np.ascontiguousarray(weights[:, :-1].T), weights[:, -1]
 
         def guess(text: str | None) -> tuple[str, float]:
-            nonlocal table
-            words = _WORDS.findall(text.lower()) if text and langs else []
-            if not words:
+            found = text_features(text) if langs else None
+            if found is None:
                 return UNKNOWN, 0.0
-            if len(number_of) > _CACHE:
-                number_of.clear()
-            at = np.empty(len(words), np.int64)
-            for k, word in enumerate(words):
-                n = number_of.get(word)
-                if n is None:
-                    n = number_of[word] = len(number_of)
-                    if n >= len(table):
-                        table = np.concatenate([table, np.zeros_like(table)])
-                    features = word_features(word)
-                    table[n, :-1], table[n, -1] = by_feature[features].sum(axis=0), len(features)
-                at[k] = n
-            total = table[at].sum(axis=0)
-            margins = total[:-1] / total[-1] + bias
+            numbers, shares = found
+            margins = shares @ by_feature[numbers] + bias
             family, first = _winner(sorted(families), by_level.get("", []), margins)
             lang, second = _winner(families[family], by_level.get(family, []), margins)
             return lang, first * second
