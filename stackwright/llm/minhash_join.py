@@ -1,17 +1,19 @@
 """Near-duplicate components by an inverted join over MinHash signature coordinates.
 
 1. Documents with the same shingle set form a class, represented by its least doc_id; the rest works on classes.
-2. A signature has ``COORDINATES`` minima. A class is posted under (coordinate, value) pairs. Pairs that agree on at least
-   ``MATCHES`` coordinates share one of any ``COORDINATES - MATCHES + 1`` of them, so only that prefix is posted, rarest pairs
-   first; the order comes from a fixed-size count sketch of all pairs (256k counters, whatever the corpus' size).
+2. A signature has ``COORDINATES`` coordinates of two minima each, so that unlike texts rarely agree on one. A class is
+   posted under (coordinate, value) pairs. Classes that agree on at least ``MATCHES`` of the minima differ in
+   ``MINIMA - MATCHES`` coordinates at most, so they share one of any ``PREFIX`` (one more than that) of them, and only that
+   prefix is posted, rarest pairs first; the order comes from a fixed-size count sketch of all pairs (256k counters,
+   whatever the corpus' size).
 3. Collisions. Each posting is first merged with its leader only (the class whose pairs are most frequent), then, where
    it still spans several clusters, across clusters, skipping pairs already joined. Collisions are counted on the
-   signatures; pairs with ``MATCHES`` or more are joined to clusters. So a posting of n near copies costs n pairs, not n * n.
+   signatures; pairs with ``MATCHES`` minima or more are joined to clusters. So a posting of n near copies costs n pairs, not n * n.
 4. Links are confirmed on full shingle sets within clusters, in blocks of ``BLOCK`` classes: first every class against
    the cluster's leader, then the classes not linked to it against all blocks. Only links that join something are
    kept, so rows grow with the cluster; no link between different components is lost.
 
-A pair with similarity 0.8 agrees on fewer than 36 of 64 coordinates with probability about 2e-6.
+A pair with similarity 0.8 agrees on fewer than 36 of 64 minima with probability about 2e-6.
 
 Text without words (or null) has an empty set, is its own component and is kept. Rows that repeat a doc_id count as
 copies of each other only if their sets agree.
@@ -30,9 +32,10 @@ from pyspark.sql import functions as F
 from .common import materialize, text_or_empty
 from .graph import connected_components
 
-COORDINATES = 64
+MINIMA = 64
+COORDINATES = MINIMA // 2
 MATCHES = 36
-PREFIX = COORDINATES - MATCHES + 1
+PREFIX = MINIMA - MATCHES + 1
 THRESHOLD = (80, 100)
 SHINGLE_WORDS = 2
 #: Classes in a block of confirmed comparisons; texts much longer than usual make blocks of fewer classes.
@@ -52,8 +55,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_MULTIPLIERS = _mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * _GOLDEN) | np.uint64(1)
-_OFFSETS = _mix(np.arange(101, COORDINATES + 101, dtype=np.uint64) * _GOLDEN)
+_MULTIPLIERS = _mix(np.arange(1, MINIMA + 1, dtype=np.uint64) * _GOLDEN) | np.uint64(1)
+_OFFSETS = _mix(np.arange(101, MINIMA + 101, dtype=np.uint64) * _GOLDEN)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -79,7 +82,7 @@ def shingle_set(text: bytes, words: int = SHINGLE_WORDS) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    out = np.full(COORDINATES, ~np.uint64(0))
+    out = np.full(MINIMA, ~np.uint64(0))
     for start in range(0, len(shingles), 4096):
         part = shingles[start : start + 4096]
         out = np.minimum(out, (part[None, :] * _MULTIPLIERS[:, None] + _OFFSETS[:, None]).min(axis=1))
@@ -87,8 +90,9 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def _pairs(signatures: np.ndarray) -> np.ndarray:
-    """Hash of each (coordinate, value) pair."""
-    return _mix(signatures ^ _OFFSETS)
+    """Hash of each (coordinate, value) pair; ``signatures`` has a row of minima for each class."""
+    mixed = _mix(signatures ^ _OFFSETS)
+    return _mix(mixed[:, ::2] * _GOLDEN + mixed[:, 1::2])
 
 
 def document_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -123,7 +127,7 @@ def pair_sketch(classes: DataFrame) -> np.ndarray:
         total = np.zeros(SKETCH_SLICES * SKETCH_SLICE, np.int64)
         for pdf in frames:
             if len(pdf):
-                pairs = _pairs(np.frombuffer(b"".join(pdf["signature"]), np.uint64).reshape(-1, COORDINATES)).ravel()
+                pairs = _pairs(np.frombuffer(b"".join(pdf["signature"]), np.uint64).reshape(-1, MINIMA)).ravel()
                 total += np.bincount((pairs % np.uint64(len(total))).astype(np.int64), minlength=len(total))
         for k in range(SKETCH_SLICES):
             part = total[k * SKETCH_SLICE : (k + 1) * SKETCH_SLICE]
@@ -152,7 +156,7 @@ def postings(classes: DataFrame, sketch) -> DataFrame:
             if not n:
                 continue
             ids = batch["class_id"].to_numpy()
-            pairs = _pairs(np.frombuffer(b"".join(batch["signature"].to_pylist()), np.uint64).reshape(n, COORDINATES))
+            pairs = _pairs(np.frombuffer(b"".join(batch["signature"].to_pylist()), np.uint64).reshape(n, MINIMA))
             counts = held[(pairs % np.uint64(len(held))).astype(np.int64)]
             chosen = np.take_along_axis(pairs, np.lexsort((pairs, counts), axis=1)[:, :PREFIX], 1)
             score = np.minimum(counts, 1 << 40).sum(axis=1)
@@ -165,14 +169,14 @@ def postings(classes: DataFrame, sketch) -> DataFrame:
 
 
 def _colliding(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of ``pairs`` (a, b), those whose signatures agree on MATCHES coordinates or more."""
+    """Of ``pairs`` (a, b), those whose signatures agree on MATCHES minima or more."""
 
     def agree(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.frombuffer(b"".join(batch["sa"].to_pylist()), np.uint64).reshape(-1, COORDINATES)
-            y = np.frombuffer(b"".join(batch["sb"].to_pylist()), np.uint64).reshape(-1, COORDINATES)
+            x = np.frombuffer(b"".join(batch["sa"].to_pylist()), np.uint64).reshape(-1, MINIMA)
+            y = np.frombuffer(b"".join(batch["sb"].to_pylist()), np.uint64).reshape(-1, MINIMA)
             yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= MATCHES))
 
     left = classes.select(F.col("class_id").alias("a"), F.col("signature").alias("sa"), F.col("n_shingles").alias("na"))
