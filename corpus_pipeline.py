@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackwright.llm import line_quality, minhash_join, mixing, mph_dedup, packing
-from stackwright.llm.common import shared_dir
+from stackwright.llm.common import shared_dir, unused
 
 
 def _kept(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    kept = decided.filter("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    kept = decided.filter("kept").select(F.col("doc_id").alias(unused("kept_id", docs.columns)))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept[kept.columns[0]]), "left_semi")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

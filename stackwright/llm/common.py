@@ -37,3 +37,11 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with underscores before it until no column is called that."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -7,7 +7,7 @@
    prefix is posted, rarest pairs first; the order comes from a fixed-size count sketch of all pairs (256k counters,
    whatever the corpus' size).
 3. Collisions. Each posting is first merged with its leader only (the class whose pairs are most frequent), then, where
-   it still spans several clusters, across clusters, skipping pairs already joined. Collisions are counted on the
+   it still spans several clusters, across clusters in blocks, skipping pairs already joined. Collisions are counted on the
    signatures; pairs with ``MATCHES`` minima or more are joined to clusters. So a posting of n near copies costs n pairs, not n * n.
 4. Links are confirmed on full shingle sets within clusters, in blocks of ``BLOCK`` classes: first every class against
    the cluster's leader, then the classes not linked to it against all blocks. Only links that join something are
@@ -41,6 +41,9 @@ SHINGLE_WORDS = 2
 #: Classes in a block of confirmed comparisons; texts much longer than usual make blocks of fewer classes.
 BLOCK = 1024
 BLOCK_SHINGLES = 1 << 20
+#: Rows of a posting's block, and comparisons of signatures made at once.
+ROWS = 1 << 13
+PAIRS = 1 << 16
 SKETCH_SLICES, SKETCH_SLICE = 16, 1 << 14
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -184,6 +187,78 @@ def _colliding(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(agree, "a long, b long")
 
 
+def agreeing(group: np.ndarray, probe: np.ndarray, class_id: np.ndarray, cluster: np.ndarray, minima: np.ndarray) -> np.ndarray:
+    """(class, class) of each probe and one agreeing member of each other cluster that it meets in its group.
+
+    Rows are sorted by ``group``; ``probe`` marks the probing rows, the others are members.
+    """
+    out = [np.zeros((0, 2), np.int64)]
+    members, probes = np.flatnonzero(~probe), np.flatnonzero(probe)
+    low, high = np.searchsorted(group[members], group[probes], "left"), np.searchsorted(group[members], group[probes], "right")
+    ends = np.cumsum(high - low)
+    start = 0
+    while start < len(probes):
+        # As many probes as make about PAIRS comparisons.
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS, "right")))
+        n = high[start:stop] - low[start:stop]
+        x = np.repeat(probes[start:stop], n)
+        y = members[np.arange(len(x)) + np.repeat(low[start:stop] - (np.cumsum(n) - n), n)]
+        other = cluster[x] != cluster[y]
+        x, y = x[other], y[other]
+        same = (minima[x] == minima[y]).sum(axis=1) >= MATCHES
+        x, y = x[same], y[same]
+        _, first = np.unique(np.stack([class_id[x], cluster[y]]), axis=1, return_index=True)
+        out.append(np.stack([class_id[x[first]], class_id[y[first]]], axis=1))
+        start = stop
+    return np.concatenate(out)
+
+
+def _merge_across(open_postings: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) of classes in one posting but different clusters that agree on MATCHES minima or more.
+
+    A posting is dealt out in blocks of members by blocks of probes, the classes outside its largest cluster ``most``. A
+    probe yields one link for each cluster, so rows grow with the postings.
+    """
+
+    def merge(batches):
+        held: list[pa.RecordBatch] = []
+        rows = 0
+
+        def links(batch: pa.RecordBatch) -> pa.RecordBatch:
+            minima = np.frombuffer(b"".join(batch["signature"].to_pylist()), np.uint64).reshape(-1, MINIMA)
+            key = np.stack([batch[k].to_numpy().astype(np.int64) for k in ("pair", "part", "turn")])
+            group = np.concatenate([[0], np.cumsum((key[:, 1:] != key[:, :-1]).any(axis=0))])
+            found = agreeing(group, batch["probe"].to_numpy(zero_copy_only=False), batch["class_id"].to_numpy(), batch["cluster"].to_numpy(), minima)
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < ROWS:
+                continue
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            last = [whole[k][len(whole) - 1] for k in ("pair", "part", "turn")]
+            open_rows = np.ones(len(whole), bool)
+            for k, value in zip(("pair", "part", "turn"), last):
+                open_rows &= whole[k].to_numpy() == value.as_py()
+            done = len(whole) - int(open_rows.sum())
+            if done:
+                yield links(whole.slice(0, done))
+            held, rows = [whole.slice(done)], len(whole) - done
+        if rows:
+            yield links(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    signed = open_postings.select("pair", "class_id", "cluster", "most", F.ceil(F.col("members") / ROWS).cast("int").alias("blocks"))
+    signed = signed.join(classes.select("class_id", "signature"), "class_id")
+    own, every = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
+    members = signed.select("pair", own.alias("part"), F.explode(every).alias("turn"), F.lit(False).alias("probe"), "class_id", "cluster", "signature")
+    probes = signed.filter("cluster <> most").select("pair", F.explode(every).alias("part"), own.alias("turn"), F.lit(True).alias("probe"), "class_id", "cluster", "signature")
+    dealt = members.unionByName(probes).repartition("pair", "part", "turn").sortWithinPartitions("pair", "part", "turn")
+    return dealt.mapInArrow(merge, "a long, b long").distinct()
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """class_id and the full shingle set (binary) of the classes in ``wanted``."""
 
@@ -262,15 +337,13 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     joined = materialize(_colliding(stars, classes))
     clusters = materialize(connected_components(joined))
 
-    # Postings that still span several clusters: all pairs across, but for those within the posting's largest cluster.
+    # Postings that still span several clusters are merged across them, the largest cluster's members not with each other.
     placed = shared.join(clusters.withColumnRenamed("vertex", "class_id"), "class_id", "left").withColumn("cluster", F.coalesce("component", "class_id")).drop("component")
     spans = placed.groupBy("pair", "cluster").agg(F.count("*").alias("m"))
-    mixed = spans.groupBy("pair").agg(F.count("*").alias("parts"), F.max(F.struct("m", "cluster")).alias("most")).filter("parts > 1")
-    open_postings = placed.join(mixed.select("pair", F.col("most.cluster").alias("most")), "pair").select("pair", "class_id", "cluster", "most")
-    few = open_postings.filter("cluster <> most").select("pair", F.col("class_id").alias("x"), F.col("cluster").alias("cx"))
-    across = open_postings.join(few, "pair").filter("cluster <> cx AND (cluster = most OR class_id < x)")
-    more = _colliding(across.select(F.least("class_id", "x").alias("a"), F.greatest("class_id", "x").alias("b")).distinct(), classes)
-    clusters = materialize(connected_components(materialize(joined.unionByName(more))))
+    mixed = spans.groupBy("pair").agg(F.count("*").alias("parts"), F.max(F.struct("m", "cluster")).alias("most"), F.sum("m").alias("members")).filter("parts > 1")
+    open_postings = placed.join(mixed.select("pair", F.col("most.cluster").alias("most"), "members"), "pair")
+    more = materialize(_merge_across(open_postings, classes))
+    clusters = materialize(connected_components(joined.unionByName(more)))
 
     # Confirmation. A cluster's leader is the class whose pairs are most frequent: the text its copies derive from.
     scores = shared.groupBy(F.col("class_id").alias("vertex")).agg(F.max("score").alias("score"))

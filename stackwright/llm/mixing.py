@@ -26,7 +26,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE_SPACE, materialize, text_or_empty
+from .common import WHITE_SPACE, materialize, text_or_empty, unused
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -167,13 +167,16 @@ def take_copies(docs: DataFrame, mixed: DataFrame) -> DataFrame:
 
     ``mixed`` is mix_sources(docs); doc_ids are unique. A cut copy keeps the text up to the end of its last word.
     """
-    plan = mixed.select(F.col("doc_id").alias("_doc"), F.col("size").alias("_size"), F.col("taken").alias("_taken")).filter("_taken > 0")
-    joined = docs.join(plan, F.col("doc_id") == F.col("_doc"))
-    rest = F.col("_taken") % F.col("_size")
-    copies = F.floor(F.col("_taken") / F.col("_size")).cast("int")
+    doc, size, taken, part = (unused(f"_{n}", docs.columns) for n in ("doc", "size", "taken", "part"))
+    plan = mixed.select(F.col("doc_id").alias(doc), F.col("size").alias(size), F.col("taken").alias(taken)).filter(F.col(taken) > 0)
+    joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col(doc)))
+    rest = F.col(taken) % F.col(size)
+    copies = F.floor(F.col(taken) / F.col(size)).cast("int")
     first_words = F.array_join(F.slice(F.filter(F.split("text", WHITE_SPACE), lambda w: w != ""), 1, rest.cast("int")), " ")
     lengths = F.concat(F.array_repeat(F.lit(-1).cast("long"), copies), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
-    each = joined.withColumn("_part", F.explode(lengths))
-    cut = F.col("_part") >= 0
-    text = F.when(cut, first_words).otherwise(F.col("text"))
-    return each.withColumn("text", text).withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    each = joined.withColumn(part, F.explode(lengths))
+    cut = F.col(part) >= 0
+    each = each.withColumn("text", F.when(cut, first_words).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        each = each.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return each.select(*docs.columns)
