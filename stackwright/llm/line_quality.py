@@ -30,50 +30,59 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, WHITE_SPACE), lambda w: w != "")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, wherever the optimizer moves the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def repeat_words(words: Column) -> Column:
+    """Words in 3-word windows that are found twice or more, each word once."""
+    windows = F.transform(
+        F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))),
+        lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)),
+    )
+
+    def starts(placed: Column) -> Column:
+        again = F.filter(placed, lambda x, k: (x.h == F.get(placed, k - 1).h) | (x.h == F.get(placed, k + 1).h))
+        return F.sort_array(F.transform(again, lambda x: x.i))
+
+    def covered(starts: Column) -> Column:
+        added = F.transform(starts, lambda s, k: F.least(F.lit(3), F.coalesce(F.get(starts, k + 1) - s, F.lit(3))))
+        return F.aggregate(added, F.lit(0).cast("long"), lambda total, n: total + n)
+
+    def count(hashes: Column) -> Column:
+        placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        some = F.size(F.array_distinct(hashes)) < F.size(hashes)
+        return F.when(some, let(let(placed, starts), covered)).otherwise(F.lit(0).cast("long"))
+
+    return F.when(F.size(words) >= 3, let(windows, count)).otherwise(F.lit(0).cast("long"))
+
+
 def base_features(docs: DataFrame) -> DataFrame:
     """doc_id, host, text_hash, lines (normalised, with words) and the base features of each document."""
+    of_words = let(
+        words_of(F.col("_text")),
+        lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), repeat_words(w).alias("repeats")),
+    )
+    of_lines = let(
+        F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
+        lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+    )
+    raw_lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     symbols = F.length(F.regexp_replace("_text", r"[^#*$%&|<>]+", ""))
     one = docs.select("doc_id", F.col("source").alias("host"), text_or_empty().alias("_text"))
     one = one.select(
-        "doc_id", "host", "_text",
-        words_of(F.col("_text")).alias("_words"),
-        F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_raw_lines"),
+        "doc_id", "host",
+        of_words.alias("_words"),
+        of_lines.alias("n_dup_lines"),
+        F.transform(raw_lines, lambda x: F.lower(F.trim(F.regexp_replace(x, WHITE_SPACE, " ")))).alias("lines"),
         symbols.cast("long").alias("n_symbols"),
         F.xxhash64("_text").alias("text_hash"),
     )
-    one = one.select(
-        "doc_id", "host", "text_hash", "n_symbols", "_words",
-        F.size("_words").cast("long").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        (F.size("_raw_lines") - F.size(F.array_distinct("_raw_lines"))).cast("long").alias("n_dup_lines"),
-        F.transform("_raw_lines", lambda x: F.lower(F.trim(F.regexp_replace(x, WHITE_SPACE, " ")))).alias("lines"),
-        F.when(
-            F.size("_words") >= 3,
-            F.transform(
-                F.slice("_words", 1, F.greatest(F.size("_words") - 2, F.lit(0))),
-                lambda w, i: F.xxhash64(w, F.get("_words", i + 1), F.get("_words", i + 2)),
-            ),
-        ).otherwise(F.array().cast("array<bigint>")).alias("_windows"),
+    return one.select(
+        "doc_id", "host", "text_hash", "lines", F.col("_words.n").alias("n_words"), F.col("_words.chars").alias("word_chars"),
+        "n_symbols", "n_dup_lines", F.col("_words.repeats").alias("n_repeat_words"),
     )
-    some = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    one = one.withColumn(
-        "_sorted",
-        F.when(some, F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
-        .otherwise(F.array().cast("array<struct<h:bigint,i:int>>")),
-    )
-    one = one.withColumn(
-        "_starts",
-        F.sort_array(F.transform(
-            F.filter("_sorted", lambda x, k: (x.h == F.get("_sorted", k - 1).h) | (x.h == F.get("_sorted", k + 1).h)),
-            lambda x: x.i,
-        )),
-    )
-    covered = F.aggregate(
-        F.transform("_starts", lambda s, k: F.least(F.lit(3), F.coalesce(F.get("_starts", k + 1) - s, F.lit(3)))),
-        F.lit(0).cast("long"),
-        lambda total, n: total + n,
-    )
-    return one.select("doc_id", "host", "text_hash", "lines", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"))
 
 
 def line_quality(
