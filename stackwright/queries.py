@@ -2,18 +2,184 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .operators import catalog as op
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def library_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+def library_summary(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
-    return docs.agg(F.count("*").alias("n_docs"), F.sum("n_chars").cast("long").alias("total_chars"))
+    return docs.agg(
+        F.count("*").alias("n_docs"),
+        F.countDistinct(op.normalized(F.col("source"))).alias("n_sources"),
+        F.countDistinct(op.normalized(F.col("lang"))).alias("n_langs"),
+        F.count_if(op.normalized(F.col("text")) == "").alias("n_missing_text"),
+        F.sum("n_chars").cast("long").alias("total_chars"),
+    )
+
+
+def tag_completeness(spark, sf_dir):
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("labelled"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id").join(labels, "doc_id", "left")
+    return op.completeness(docs, F.col("labelled").isNull())
+
+
+def duplicate_members(spark, sf_dir):
+    return op.duplicate_members(_table(spark, sf_dir, "documents").select("doc_id", "text"), ["text"]).select("doc_id")
+
+
+def search_contains_paged(spark, sf_dir):
+    part = _table(spark, sf_dir, "part").filter(op.contains(F.col("p_name"), "red"))
+    return op.page(part.select(F.col("p_partkey").cast("long").alias("p_partkey"), "p_name"), ["p_partkey"], 20, 20)
+
+
+def search_missing(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id").join(_table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+
+
+def scope_semi(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders")
+    customer = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("c_custkey"))
+    return customer.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_semi")
+
+
+def scope_anti(spark, sf_dir):
+    urgent = _table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'")
+    customer = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("c_custkey"))
+    return customer.join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+
+
+def session_rollup(spark, sf_dir):
+    said = F.when(F.col("role") == "user", F.struct("turn", "text"))
+    return (
+        _table(spark, sf_dir, "conversations").groupBy("conv_id")
+        .agg(F.count("*").alias("n"), F.max("turn").cast("long").alias("last_turn"), F.count_if(F.col("role") == "assistant").alias("n_assistant"), F.min(said).alias("first"))
+        .select("conv_id", "n", "last_turn", "n_assistant", F.substring("first.text", 1, 200).alias("first_user"))
+    )
+
+
+def dataset_status(spark, sf_dir):
+    return _table(spark, sf_dir, "events").agg(F.count("*").alias("total"), (F.count_if(F.col("event_type") == "purchase") > 0).alias("any_purchase"))
+
+
+def number_by_rule_desc(spark, sf_dir):
+    part = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), "p_brand", "p_name", F.coalesce(F.col("p_size"), F.lit(-1)).alias("s"))
+    return op.numbered(part, ["p_brand"], [F.desc("s"), F.asc("p_name"), F.asc("p_partkey")]).select("p_partkey", "p_brand", "number", "total")
+
+
+def latest_wins(spark, sf_dir):
+    events = _table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("user_id"), "ts", "event_id", "event_type")
+    return op.latest_wins(events, ["user_id"], ["ts", "event_id"], ["event_type"])
+
+
+def patch_merge(spark, sf_dir):
+    events = _table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("user_id"), "event_type", "ts", "event_id", "value")
+    return op.latest_wins(events, ["user_id", "event_type"], ["ts", "event_id"], ["value"])
+
+
+def top3_ranked(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("long").alias("o_custkey"), F.col("o_orderkey").cast("long").alias("o_orderkey"), (F.col("o_orderstatus") == "F").cast("int").alias("hit"), "o_orderdate")
+    return op.top_ranked(orders, ["o_custkey"], [F.desc("hit"), F.desc("o_orderdate"), F.asc("o_orderkey")], 3).select("o_custkey", "o_orderkey", "rank")
+
+
+def position_join_unique(spark, sf_dir):
+    lines = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long").alias("l_orderkey"), F.col("l_linenumber").cast("long").alias("l_linenumber"), "l_returnflag")
+    keys = ["l_orderkey", "l_linenumber"]
+    one, other = (op.unique_on(lines.filter(c).select(*keys), keys) for c in ("l_returnflag = 'R'", "l_returnflag <> 'R'"))
+    return one.join(other, keys)
+
+
+def band_join(spark, sf_dir):
+    part = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), "p_name", F.col("p_size").cast("double").alias("p_size"))
+    return op.band_pairs(part, "p_name", "p_partkey", "p_size")
+
+
+RULES = [
+    ("late_status", "warning", F.expr("o_orderstatus = 'O' AND o_totalprice > 100000")),
+    ("high_price", "error", F.expr("o_totalprice > 400000")),
+    ("pending", "info", F.expr("o_orderstatus = 'P'")),
+]
+
+
+def _findings(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").withColumn("o_orderkey", F.col("o_orderkey").cast("long")).withColumn("o_custkey", F.col("o_custkey").cast("long"))
+    return op.findings(orders, RULES, ["o_orderkey", "o_custkey"])
+
+
+def audit_rules(spark, sf_dir):
+    return _findings(spark, sf_dir).select("o_orderkey", "rule", "severity")
+
+
+def audit_rollup(spark, sf_dir):
+    return op.finding_rollup(_findings(spark, sf_dir), "o_custkey")
+
+
+def artist_split_explode(spark, sf_dir):
+    names = F.array_distinct(F.split("p_name", " "))
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), F.explode(names).alias("name"))
+
+
+def filename_facts(spark, sf_dir):
+    number = F.regexp_extract("url", r"([0-9]+)[^0-9]*$", 1)
+    return _table(spark, sf_dir, "pages").select("page_id", F.when(number != "", number).alias("number"))
+
+
+def query_hash(spark, sf_dir):
+    joined = F.concat_ws("|", F.col("n_nationkey").cast("string"), op.normalized(F.col("n_name")))
+    return _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), F.sha2(joined, 256).alias("hash"))
+
+
+def size_buckets(spark, sf_dir):
+    bucket = F.when(F.col("n_chars") < 500, "small").when(F.col("n_chars") < 2000, "medium").when(F.col("n_chars") < 10000, "large").otherwise("huge")
+    return _table(spark, sf_dir, "documents").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def sliding_600s(spark, sf_dir):
+    # Users are the groups here: a global window would be one task's work.
+    before = Window.partitionBy("user_id").orderBy("s").rangeBetween(-600, 0)
+    events = _table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return events.withColumn("s", F.floor(F.col("us") / 1000000)).select("event_id", F.count("*").over(before).alias("n"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        library_summary, tag_completeness, duplicate_members, search_contains_paged, search_missing, scope_semi, scope_anti, session_rollup,
+        dataset_status, number_by_rule_desc, latest_wins, patch_merge, top3_ranked, position_join_unique, band_join, audit_rules, audit_rollup,
+        artist_split_explode, filename_facts, query_hash, size_buckets, sliding_600s,
+    )
+}
 
+_FOUND = """SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(o_custkey AS BIGINT) AS o_custkey, 'late_status' AS rule, 'warning' AS severity FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 100000
+UNION ALL SELECT o_orderkey, o_custkey, 'high_price', 'error' FROM orders WHERE o_totalprice > 400000
+UNION ALL SELECT o_orderkey, o_custkey, 'pending', 'info' FROM orders WHERE o_orderstatus = 'P'"""
 
-QUERIES = {"library_summary": library_summary}
-ORACLE_SQL = {"library_summary": "SELECT count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS total_chars FROM documents"}
+ORACLE_SQL = {
+    "library_summary": "SELECT count(*) AS n_docs, count(DISTINCT lower(trim(coalesce(source, '')))) AS n_sources, count(DISTINCT lower(trim(coalesce(lang, '')))) AS n_langs, count(*) FILTER (trim(coalesce(text, '')) = '') AS n_missing_text, CAST(sum(n_chars) AS BIGINT) AS total_chars FROM documents",
+    "tag_completeness": "SELECT count(*) AS total, count(*) FILTER (l.doc_id IS NULL) AS missing, CAST(CASE WHEN count(*) = 0 THEN 100 ELSE round((count(*) - count(*) FILTER (l.doc_id IS NULL)) / count(*) * 100) END AS BIGINT) AS percent FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
+    "duplicate_members": "SELECT doc_id FROM (SELECT doc_id, count(*) OVER (PARTITION BY lower(trim(coalesce(text, '')))) AS n FROM documents) WHERE n > 1",
+    "search_contains_paged": "SELECT CAST(p_partkey AS BIGINT) AS p_partkey, p_name FROM part WHERE contains(lower(p_name), 'red') ORDER BY p_partkey LIMIT 20 OFFSET 20",
+    "search_missing": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "scope_semi": "SELECT CAST(c_custkey AS BIGINT) AS c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)",
+    "scope_anti": "SELECT CAST(c_custkey AS BIGINT) AS c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
+    "session_rollup": "SELECT conv_id, count(*) AS n, CAST(max(turn) AS BIGINT) AS last_turn, count(*) FILTER (role = 'assistant') AS n_assistant, substr(arg_min(text, turn) FILTER (role = 'user'), 1, 200) AS first_user FROM conversations GROUP BY conv_id",
+    "dataset_status": "SELECT count(*) AS total, count(*) FILTER (event_type = 'purchase') > 0 AS any_purchase FROM events",
+    "number_by_rule_desc": "SELECT CAST(p_partkey AS BIGINT) AS p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY coalesce(p_size, -1) DESC, p_name, p_partkey) AS number, count(*) OVER (PARTITION BY p_brand) AS total FROM part",
+    "latest_wins": "SELECT CAST(user_id AS BIGINT) AS user_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id",
+    "patch_merge": "SELECT CAST(user_id AS BIGINT) AS user_id, event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id, event_type",
+    "top3_ranked": "SELECT CAST(o_custkey AS BIGINT) AS o_custkey, CAST(o_orderkey AS BIGINT) AS o_orderkey, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderstatus = 'F' AS INT) DESC, o_orderdate DESC, o_orderkey) AS r FROM orders) WHERE r <= 3",
+    "position_join_unique": "WITH a AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL HAVING count(*) = 1), b AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag <> 'R' GROUP BY ALL HAVING count(*) = 1) SELECT CAST(a.l_orderkey AS BIGINT) AS l_orderkey, CAST(a.l_linenumber AS BIGINT) AS l_linenumber FROM a JOIN b USING (l_orderkey, l_linenumber)",
+    "band_join": "SELECT a.p_name AS key, CAST(a.p_partkey AS BIGINT) AS left_id, CAST(b.p_partkey AS BIGINT) AS right_id FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_partkey <> b.p_partkey WHERE abs(a.p_size - b.p_size) <= greatest(5.0, a.p_size * 0.03)",
+    "audit_rules": f"SELECT o_orderkey, rule, severity FROM ({_FOUND})",
+    "audit_rollup": f"SELECT o_custkey, count(*) AS n_findings, CAST(max(CASE severity WHEN 'error' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END) AS BIGINT) AS max_rank, bool_or(severity = 'error') AS any_error FROM ({_FOUND}) GROUP BY o_custkey",
+    "artist_split_explode": "SELECT CAST(p_partkey AS BIGINT) AS p_partkey, unnest(list_distinct(string_split(p_name, ' '))) AS name FROM part",
+    "filename_facts": "SELECT page_id, nullif(regexp_extract(url, '([0-9]+)[^0-9]*$', 1), '') AS number FROM pages",
+    "query_hash": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, sha256(n_nationkey || '|' || lower(trim(n_name))) AS hash FROM nation",
+    "size_buckets": "SELECT CASE WHEN n_chars < 500 THEN 'small' WHEN n_chars < 2000 THEN 'medium' WHEN n_chars < 10000 THEN 'large' ELSE 'huge' END AS bucket, count(*) AS n FROM documents GROUP BY 1",
+    "sliding_600s": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000 RANGE BETWEEN 600 PRECEDING AND CURRENT ROW) AS n FROM events",
+}
