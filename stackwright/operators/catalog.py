@@ -72,9 +72,9 @@ def band_pairs(rows: DataFrame, key: str, id_column: str, size: str) -> DataFram
     return left.join(right, ["key", "band"]).filter(near & (F.col("left_id") != F.col("right_id"))).select("key", "left_id", "right_id")
 
 
-def findings(rows: DataFrame, rules: list[tuple[str, str, Column]], keep: list[str]) -> DataFrame:
-    """(rule, severity) of each rule whose condition holds, in one pass over the rows."""
-    held = F.array(*[F.when(c, F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"))) for rule, severity, c in rules])
+def findings(rows: DataFrame, rules: list[tuple[str, str, str]], keep: list[str]) -> DataFrame:
+    """(rule, severity) of each rule whose condition (SQL text) holds, in one pass over the rows."""
+    held = F.array(*[F.when(F.expr(c), F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"))) for rule, severity, c in rules])
     return rows.select(*keep, F.explode(F.filter(held, lambda x: x.isNotNull())).alias("f")).select(*keep, "f.rule", "f.severity")
 
 

@@ -100,9 +100,9 @@ def band_join(spark, sf_dir):
 
 
 RULES = [
-    ("late_status", "warning", F.expr("o_orderstatus = 'O' AND o_totalprice > 100000")),
-    ("high_price", "error", F.expr("o_totalprice > 400000")),
-    ("pending", "info", F.expr("o_orderstatus = 'P'")),
+    ("late_status", "warning", "o_orderstatus = 'O' AND o_totalprice > 100000"),
+    ("high_price", "error", "o_totalprice > 400000"),
+    ("pending", "info", "o_orderstatus = 'P'"),
 ]
 
 
