@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import text as T
+from .functions.pipeline import pipeline
+from .operators import audit, candidates, health, matching, planning, state
 from .operators import catalog as op
 
 
@@ -146,12 +149,131 @@ def sliding_600s(spark, sf_dir):
     return events.withColumn("s", F.floor(F.col("us") / 1000000)).select("event_id", F.count("*").over(before).alias("n"))
 
 
+def auto_number(spark, sf_dir):
+    lines = _table(spark, sf_dir, "lineitem").select(*[F.col(c).cast("long").alias(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")], "l_shipdate", "l_extendedprice")
+    order = [F.asc("l_linenumber"), F.asc("l_partkey"), F.asc("l_suppkey"), F.asc("l_shipdate"), F.asc("l_extendedprice")]
+    numbered = op.numbered(lines, ["l_orderkey"], order)
+    return numbered.filter("number <> l_linenumber").select("l_orderkey", "l_linenumber", "number", "total")
+
+
+def coalesce_by_priority(spark, sf_dir):
+    def side(name: str, p: str, source: str) -> DataFrame:
+        t = _table(spark, sf_dir, name)
+        return t.select(
+            F.col(f"{p}_nationkey").cast("long").alias("request_id"), F.col(f"{p}_name").alias("artist"), F.col(f"{p}_acctbal").alias("balance"),
+            F.col(f"{p}_{'suppkey' if p == 's' else 'custkey'}").cast("long").alias("ord"), F.lit(source).alias("source"),
+        )
+
+    both = side("supplier", "s", "discogs").filter("balance > 5000").unionByName(side("customer", "c", "llm"))
+    none = F.lit(None).cast("string")
+    rows = both.withColumns({"year": F.when(F.col("balance") > 9000, F.floor("balance").cast("string")), "musicbrainz_album_id": none, "discogs_release_id": none})
+    rows = rows.withColumn("ord", F.col("ord") * 2 + (F.col("source") == "llm").cast("long"))
+    return candidates.merge_by_priority(rows, ["artist", "year"])
+
+
+def _flags(spark, sf_dir, condition: str, eligible: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders").filter(condition)
+    return orders.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.col("o_orderstatus").alias("field"), F.expr(eligible).alias("eligible"))
+
+
+def union_anti_merge(spark, sf_dir):
+    ruled = _flags(spark, sf_dir, "o_totalprice > 100000", "o_totalprice > 300000").withColumn("origin", F.lit("rule"))
+    reviewed = _flags(spark, sf_dir, "o_orderpriority = '1-URGENT'", "false").withColumn("origin", F.lit("review"))
+    return audit.merge_findings(ruled, reviewed, ["o_orderkey", "field"])
+
+
+PIPELINE = [("literal_replace", {"find": "red", "replacement": "RED"}), ("regex_replace", {"pattern": "[0-9]+", "replacement": ""}), ("trim", {}), ("title_case", {}), ("strip_prefix", {"text": "Red "})]
+
+
+def pipeline_ops(spark, sf_dir):
+    part = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), pipeline(F.col("p_name"), PIPELINE).alias("r"))
+    return part.select("p_partkey", "r.value", "r.changed")
+
+
+def json_extract(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+def month_buckets(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
+
+
+def health_rollup(spark, sf_dir):
+    lines = _table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").cast("long").alias("l_suppkey"),
+        (F.col("l_quantity") > 49).alias("unplayable"), F.when(F.col("l_returnflag") == "R", F.array(F.lit("resync"))).otherwise(F.array().cast("array<string>")).alias("repairs"),
+        (F.col("l_discount") > 0.09).alias("alert"), (F.col("l_tax") > 0.07).alias("playable_failure"), F.lit(False).alias("warning"),
+    )
+    return health.rollup(lines.withColumn("bucket", health.bucket()), ["l_suppkey"])
+
+
+def collision_suffix(spark, sf_dir):
+    customer = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("ord"), "c_mktsegment")
+    moves = customer.select(F.format_string("in/%d.flac", F.col("ord")).alias("source"), F.format_string("out/%s.flac", F.col("c_mktsegment")).alias("target"), "ord")
+    return planning.with_suffixes(moves, moves.filter("false").select(F.col("target").alias("path")))
+
+
+def metadata_patch(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "lang", "source")
+    return planning.patch(docs, F.col("path").endswith("7"), {"lang": "en", "source": " "})
+
+
+def changed_fields(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("path"), "o_orderstatus", F.col("o_orderpriority"))
+    wanted = orders.withColumn("o_orderstatus", F.lit("F")).withColumn("o_orderpriority", F.nullif("o_orderpriority", F.lit("5-LOW")))
+    fields = ["o_orderstatus", "o_orderpriority"]
+    return planning.changes(planning.long_fields(wanted, ["path"], fields, "new_value"), planning.long_fields(orders, ["path"], fields, "old_value"), ["path", "field"])
+
+
+def keyed_upsert(spark, sf_dir):
+    customer = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("k"), F.col("c_custkey").cast("long").alias("v"))
+    supplier = _table(spark, sf_dir, "supplier").filter("s_acctbal > 9000").select(F.col("s_nationkey").cast("long").alias("k"), F.col("s_suppkey").cast("long").alias("v"))
+    old, new = (t.groupBy("k").agg(F.max("v").alias("v")) for t in (customer, supplier))
+    return state.upsert(old, new, ["k"])
+
+
+def uniform_guard(spark, sf_dir):
+    lines = _table(spark, sf_dir, "lineitem").select(F.concat_ws("/", F.col("l_suppkey"), F.col("l_orderkey")).alias("path"), F.col("l_returnflag").alias("field"), F.when(F.col("l_returnflag") == "A", "A").otherwise(F.col("l_linestatus")).alias("new_value"))
+    return planning.uniform_literals(lines)
+
+
+def grouped_tags(spark, sf_dir):
+    events = _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("path"), F.col("event_id").cast("long").alias("ord"), F.col("event_type").alias("key"), (F.col("event_id") % 7).cast("string").alias("value"))
+    return state.grouped_tags(events).select("key", "value", F.size("paths").cast("long").alias("n_paths"))
+
+
+def name_similarity(spark, sf_dir):
+    part = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), F.split("p_name", " ").alias("w"))
+    return part.select("p_partkey", T.similarity(F.get("w", F.lit(0)), F.get("w", F.lit(1))).cast("long").alias("similarity"))
+
+
+def nfkc_normalize(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.title_key(T.nfkc(F.col("text"))), 256).alias("title_key_sha256"))
+
+
+def chinese_convert(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.simplified(F.col("text")), 256).alias("simplified_sha256"))
+
+
+def greedy_match(spark, sf_dir):
+    """Order lines as an album's tracks, matched with the parts' names of the same order."""
+    lines = _table(spark, sf_dir, "lineitem").join(_table(spark, sf_dir, "part").withColumn("p_partkey", F.col("p_partkey").cast("long")), F.col("l_partkey") == F.col("p_partkey"))
+    place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    rows = lines.select(F.col("l_orderkey").alias("album_id"), (F.row_number().over(place) - 1).cast("long").alias("idx"), F.col("p_name").alias("title"), F.col("l_linenumber").cast("int").alias("track_number"), F.col("l_quantity").cast("double").alias("length"))
+    null, nulls = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    local = rows.withColumns({"artist": null, "artists": nulls, "artist_hint": null, "filename": F.format_string("%02d. %s.flac", F.col("track_number"), F.col("title")), "disc_number": F.lit(None).cast("int"), "musicbrainz_track_id": null})
+    remote = rows.filter("idx % 3 <> 2").withColumns({"source": F.lit("discogs"), "match_titles": nulls, "disc_number": F.lit(None).cast("int"), "recording_id": null})
+    return matching.align_tracks(local, remote)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         library_summary, tag_completeness, duplicate_members, search_contains_paged, search_missing, scope_semi, scope_anti, session_rollup,
         dataset_status, number_by_rule_desc, latest_wins, patch_merge, top3_ranked, position_join_unique, band_join, audit_rules, audit_rollup,
-        artist_split_explode, filename_facts, query_hash, size_buckets, sliding_600s,
+        artist_split_explode, filename_facts, query_hash, size_buckets, sliding_600s, auto_number, coalesce_by_priority, union_anti_merge, pipeline_ops,
+        json_extract, month_buckets, health_rollup, collision_suffix, metadata_patch, changed_fields, keyed_upsert, uniform_guard, grouped_tags,
+        name_similarity, nfkc_normalize, chinese_convert, greedy_match,
     )
 }
 
@@ -182,4 +304,30 @@ ORACLE_SQL = {
     "query_hash": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, sha256(n_nationkey || '|' || lower(trim(n_name))) AS hash FROM nation",
     "size_buckets": "SELECT CASE WHEN n_chars < 500 THEN 'small' WHEN n_chars < 2000 THEN 'medium' WHEN n_chars < 10000 THEN 'large' ELSE 'huge' END AS bucket, count(*) AS n FROM documents GROUP BY 1",
     "sliding_600s": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000 RANGE BETWEEN 600 PRECEDING AND CURRENT ROW) AS n FROM events",
+    "auto_number": "SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, n AS number, total FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS n, count(*) OVER (PARTITION BY l_orderkey) AS total FROM lineitem) WHERE n <> l_linenumber",
+    "coalesce_by_priority": """WITH u AS (SELECT CAST(s_nationkey AS BIGINT) AS k, s_name AS name, s_acctbal AS b, s_suppkey * 2 AS ord, 'discogs' AS source FROM supplier WHERE s_acctbal > 5000
+UNION ALL SELECT c_nationkey, c_name, c_acctbal, c_custkey * 2 + 1, 'llm' FROM customer),
+y AS (SELECT *, CASE WHEN b > 9000 THEN CAST(CAST(floor(b) AS BIGINT) AS VARCHAR) END AS year FROM u)
+SELECT k AS request_id, arg_min(source, (source = 'llm', ord)) AS source, arg_min(name, (source = 'llm', ord)) AS artist,
+coalesce(arg_min(year, ord) FILTER (source = 'discogs' AND year IS NOT NULL), arg_min(year, ord) FILTER (year IS NOT NULL)) AS year FROM y GROUP BY k""",
+    "union_anti_merge": """WITH a AS (SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, o_orderstatus AS field, o_totalprice > 300000 AS eligible, 'rule' AS origin FROM orders WHERE o_totalprice > 100000),
+b AS (SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, o_orderstatus AS field, false AS eligible, 'review' AS origin FROM orders WHERE o_orderpriority = '1-URGENT')
+SELECT * FROM a WHERE eligible OR NOT EXISTS (SELECT 1 FROM b WHERE b.o_orderkey = a.o_orderkey AND b.field = a.field) UNION ALL SELECT * FROM b""",
+    "pipeline_ops": """WITH t AS (SELECT CAST(p_partkey AS BIGINT) AS p_partkey, p_name, trim(regexp_replace(regexp_replace(replace(p_name, 'red', 'RED'), '[0-9]+', '', 'g'), '\\s+', ' ', 'g')) AS v FROM part),
+u AS (SELECT *, array_to_string(list_transform(string_split(v, ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') AS c FROM t)
+SELECT p_partkey, CASE WHEN starts_with(c, 'Red ') THEN c[5:] ELSE c END AS value, replace(p_name, 'red', 'RED') <> p_name OR regexp_matches(p_name, '[0-9]') OR c <> p_name AS changed FROM u""",
+    "json_extract": "SELECT event_id, CAST(props->>'k' AS BIGINT) AS k FROM events",
+    "month_buckets": "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY 1",
+    "health_rollup": """WITH b AS (SELECT CAST(l_suppkey AS BIGINT) AS l_suppkey, CASE WHEN l_quantity > 49 THEN 'broken' WHEN l_returnflag = 'R' THEN 'minor' WHEN l_discount > CAST(0.09 AS DOUBLE) THEN 'broken' WHEN l_tax > CAST(0.07 AS DOUBLE) THEN 'medium' ELSE 'clean' END AS b FROM lineitem)
+SELECT l_suppkey, count(*) AS total, count(*) FILTER (b = 'clean') AS clean, count(*) FILTER (b = 'minor') AS minor, count(*) FILTER (b = 'medium') AS medium, count(*) FILTER (b = 'broken') AS broken, count(*) FILTER (b <> 'clean') AS with_issues FROM b GROUP BY 1""",
+    "collision_suffix": "SELECT 'in/' || c_custkey || '.flac' AS source, 'out/' || c_mktsegment || '.flac' AS target, 'out/' || c_mktsegment || CASE WHEN r = 0 THEN '' ELSE '_' || r END || '.flac' AS final FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS r FROM customer)",
+    "metadata_patch": """WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS path, lang, source FROM documents WHERE CAST(doc_id AS VARCHAR) LIKE '%7')
+SELECT path, 'lang' AS field, lang AS old_value, 'en' AS new_value, 'set' AS operation FROM d WHERE lang IS DISTINCT FROM 'en'
+UNION ALL SELECT path, 'source', source, NULL, 'remove' FROM d WHERE source IS NOT NULL""",
+    "changed_fields": """SELECT CAST(o_orderkey AS BIGINT) AS path, 'o_orderstatus' AS field, o_orderstatus AS old_value, 'F' AS new_value, 'set' AS operation FROM orders WHERE o_orderstatus <> 'F'
+UNION ALL SELECT o_orderkey, 'o_orderpriority', o_orderpriority, NULL, 'remove' FROM orders WHERE o_orderpriority = '5-LOW'""",
+    "keyed_upsert": """WITH n AS (SELECT CAST(s_nationkey AS BIGINT) AS k, CAST(max(s_suppkey) AS BIGINT) AS v FROM supplier WHERE s_acctbal > 9000 GROUP BY 1)
+SELECT CAST(c_nationkey AS BIGINT) AS k, CAST(max(c_custkey) AS BIGINT) AS v FROM customer WHERE c_nationkey NOT IN (SELECT k FROM n) GROUP BY 1 UNION ALL SELECT * FROM n""",
+    "uniform_guard": "SELECT l_returnflag AS field, count(DISTINCT l_suppkey || '/' || l_orderkey) AS n_paths, count(DISTINCT l_suppkey) AS n_folders FROM lineitem GROUP BY 1 HAVING count(DISTINCT CASE WHEN l_returnflag = 'A' THEN 'A' ELSE l_linestatus END) = 1 AND count(DISTINCT l_suppkey) > 1",
+    "grouped_tags": "SELECT event_type AS key, CAST(event_id % 7 AS VARCHAR) AS value, count(DISTINCT user_id) AS n_paths FROM events GROUP BY 1, 2",
 }
