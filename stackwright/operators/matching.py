@@ -48,16 +48,19 @@ def _variants(title: Column) -> Column:
 
 def _without_artist(title: Column, artist_keys: Column, last: bool) -> Column:
     """The title if a dash parts it from a known artist behind it (``last``) or before it; else null."""
-    pieces = F.split(title, "(?=[-–—])")
-    places = F.sequence(F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(1)))
 
-    def cut(i: Column) -> Column:
-        before = T.trim(F.array_join(F.slice(pieces, F.lit(1), i), ""))
-        after = T.trim(F.substr(F.array_join(F.slice(pieces, i + 1, F.size(pieces)), ""), F.lit(2)))
-        rest, artist = (before, after) if last else (after, before)
-        return F.when((rest != "") & F.array_contains(artist_keys, T.title_key(artist)), rest)
+    def of(pieces: Column) -> Column:
+        def cut(i: Column) -> Column:
+            before = T.trim(F.array_join(F.slice(pieces, F.lit(1), i), ""))
+            after = T.trim(F.substr(F.array_join(F.slice(pieces, i + 1, F.size(pieces)), ""), F.lit(2)))
+            rest, artist = (before, after) if last else (after, before)
+            return F.when((rest != "") & F.array_contains(artist_keys, T.title_key(artist)), rest)
 
-    return F.when(F.size(pieces) > 1, F.get(F.filter(F.transform(places, cut), lambda x: x.isNotNull()), F.lit(0)))
+        places = F.sequence(F.lit(1), F.size(pieces) - 1)
+        return F.when(F.size(pieces) > 1, F.get(F.filter(F.transform(places, cut), lambda x: x.isNotNull()), F.lit(0)))
+
+    # Few titles have a dash: the others don't get to the search.
+    return F.when(title.rlike("[-–—]"), F.get(F.transform(F.array(F.split(title, "(?=[-–—])")), of), F.lit(0)))
 
 
 def _seconds(length: Column, source: Column) -> Column:
@@ -71,24 +74,28 @@ def _number() -> Column:
 def _local_forms(local: DataFrame) -> DataFrame:
     """Rows of album_id, idx, length, musicbrainz_track_id, current title and forms: array of struct(form, evidence) in order."""
     joined = F.array_join(F.concat(F.coalesce("artists", F.array().cast("array<string>")), F.array(F.coalesce("artist", F.lit("")), F.coalesce("artist_hint", F.lit("")))), "\x1f")
-    named = local.select("*", T.nfkc(F.col("title")).alias("_t"), T.nfkc(T.trim(T.stem(F.col("filename")))).alias("_f"), T.nfkc(joined).alias("_a"))
-    artists = F.filter(F.transform(F.split("_a", "\x1f"), T.title_key), lambda x: x != "")
-    named = named.withColumn("_artists", artists).withColumn("_t", T.strip_annotations(T.trim(F.col("_t"))))
-    bare = T.trim(F.regexp_replace("_f", r"^\d+[\s.‐‑‒–—―-]*", ""))
-    spaced = T.extract(bare, r"^.+?\s[-–—]\s(.+)$")
-    by_name = T.strip_annotations(F.coalesce(spaced, _without_artist(bare, F.col("_artists"), last=False), bare))
-    tag = F.concat(F.array("_t"), F.filter(F.array(_without_artist(F.col("_t"), F.col("_artists"), last=True)), lambda x: x.isNotNull()))
-    tag_forms = F.when(F.col("_t").isNotNull(), F.array_distinct(F.flatten(F.transform(tag, _variants))))
-    file_forms = F.when(by_name != "", _variants(by_name))
-    empty = F.array().cast("array<string>")
-
-    def marked(forms: Column, evidence: str) -> Column:
-        return F.transform(F.coalesce(forms, empty), lambda f: F.struct(f.alias("form"), F.lit(evidence).alias("evidence")))
-
-    current = T.title_key(F.when(F.col("_t").isNotNull(), T.nfkc(F.col("title"))).otherwise(by_name))
-    return named.select(
+    named = local.select(
         "album_id", "idx", F.when(F.col("length") > 0, F.col("length")).alias("length"), "musicbrainz_track_id",
-        F.concat(marked(tag_forms, "tag_title"), marked(file_forms, "filename_title")).alias("forms"), current.alias("current"),
+        T.nfkc(F.col("title")).alias("_raw"), T.nfkc(T.trim(T.stem(F.col("filename")))).alias("_f"), T.nfkc(joined).alias("_a"),
+    )
+    # One column a step: an expression that several others use is computed once.
+    named = named.withColumns({
+        "_artists": F.filter(F.transform(F.split("_a", "\x1f"), T.title_key), lambda x: x != ""),
+        "_t": T.strip_annotations(T.trim(F.col("_raw"))),
+        "_bare": T.trim(F.regexp_replace("_f", r"^\d+[\s.‐‑‒–—―-]*", "")),
+    })
+    spaced = T.extract(F.col("_bare"), r"^.+?\s[-–—]\s(.+)$")
+    named = named.withColumn("_name", T.strip_annotations(F.coalesce(spaced, _without_artist(F.col("_bare"), F.col("_artists"), last=False), "_bare")))
+    tag = F.filter(F.array("_t", _without_artist(F.col("_t"), F.col("_artists"), last=True)), lambda x: x.isNotNull())
+    by_file = F.filter(F.array("_name"), lambda x: x != "")
+
+    def marked(titles: Column, evidence: str) -> Column:
+        forms = F.array_distinct(F.flatten(F.transform(titles, _variants)))
+        return F.transform(F.coalesce(forms, F.array().cast("array<string>")), lambda f: F.struct(f.alias("form"), F.lit(evidence).alias("evidence")))
+
+    return named.select(
+        "album_id", "idx", "length", "musicbrainz_track_id",
+        F.concat(marked(tag, "tag_title"), marked(by_file, "filename_title")).alias("forms"), T.title_key(F.coalesce("_raw", "_name")).alias("current"),
     )
 
 

@@ -14,7 +14,10 @@ LEAST_COVER_BYTES = 1024
 
 
 def files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, length, modified): every file below ``root``; its path is relative to it. A missing root is an error."""
+    """(path, length, modified): every file below ``root``; its path is relative to it. A missing root is an error.
+
+    Spark's reader passes over empty files and names that start with a dot or an underscore.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
     whole = F.regexp_replace("path", r"^\w+:/+", "")

@@ -23,7 +23,7 @@ def _plain(value):
     return round(value, 6) if isinstance(value, float) else value
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_sql(spark, duck, name):
     found = queries.QUERIES[name](spark, DATA)
     names = sorted(found.columns)
