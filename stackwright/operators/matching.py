@@ -38,7 +38,8 @@ def _components(title: Column) -> Column:
 
 def _keys(titles: Column) -> Column:
     """Comparison forms of titles: each as it is, traditional and simplified; distinct, in order."""
-    forms = F.flatten(F.transform(titles, lambda t: F.transform(F.array(t, T.traditional(t), T.simplified(t)), T.title_key)))
+    scripts = lambda t: F.when(t.rlike(T.CJK), F.array(t, T.traditional(t), T.simplified(t))).otherwise(F.array(t))
+    forms = F.transform(F.array_distinct(F.flatten(F.transform(titles, scripts))), T.title_key)
     return F.filter(F.array_distinct(forms), lambda x: x.isNotNull() & (x != ""))
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions.pipeline import pipeline
-from .operators import audit, candidates, health, matching, planning, state
+from .operators import audit, candidates, health, matching, state
 from .operators import catalog as op
+from .plans import changes as planning
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from stackwright.functions import text as T
 from stackwright.functions.pipeline import pipeline
-from stackwright.operators import audit, candidates, health, matching, planning, state
+from stackwright.operators import audit, candidates, health, matching, state
+from stackwright.plans import changes as planning
 from stackwright.sources import library, providers, tags
 from stackwright.streaming import incremental
 
