@@ -1,4 +1,4 @@
-"""Audit of tags against folder and file names: nine rules in one pass, as an array of structs that is inlined."""
+"""Audit of tags against folder and file names: rules for ten fields in one pass, as an array of structs that is inlined."""
 
 from __future__ import annotations
 
