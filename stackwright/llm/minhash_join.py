@@ -10,8 +10,9 @@
    it still spans several clusters, across clusters in blocks, skipping pairs already joined. Collisions are counted on the
    signatures; pairs with ``MATCHES`` minima or more are joined to clusters. So a posting of n near copies costs n pairs, not n * n.
 4. Links are confirmed on full shingle sets within clusters, in blocks of ``BLOCK`` classes: first every class against
-   the cluster's leader, then the classes not linked to it against all blocks. Only links that join something are
-   kept, so rows grow with the cluster; no link between different components is lost.
+   the cluster's leader, then the classes not linked to it, in blocks of their own (turns), against all blocks. A task
+   holds two blocks of sets at once, however large the cluster is. Only links that join something within the two blocks
+   are kept; no link between different components is lost.
 
 A pair with similarity 0.8 agrees on fewer than 36 of 64 minima with probability about 2e-6.
 
@@ -291,9 +292,10 @@ def confirmed_links(members: list[np.ndarray], probes: list[np.ndarray]) -> list
 
 
 def _confirm(members: DataFrame, probes: DataFrame) -> DataFrame:
-    """Links (a, b) between ``probes`` and ``members``, both (cluster, block, class_id, group, shingles).
+    """Links (a, b) between ``probes`` and ``members``, both (cluster, block, turn, class_id, group, shingles).
 
-    Of the links of a block, those are kept that join something not yet joined; classes with the same group are.
+    Those of the same (cluster, block, turn) are compared: a block of members by a block of probes. Of their links, those
+    are kept that join something not yet joined; classes with the same group are.
     """
 
     def run(key, held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
@@ -318,9 +320,14 @@ def _confirm(members: DataFrame, probes: DataFrame) -> DataFrame:
                     out.append((int(probe), int(ids[k])))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    members = members.select("cluster", "block", "class_id", "group", "shingles")
-    probes = probes.select(F.col("cluster").alias("_cluster"), F.col("block").alias("_block"), F.col("class_id").alias("probe_id"), F.col("group").alias("probe_group"), F.col("shingles").alias("probe_shingles"))
-    return members.groupBy("cluster", "block").cogroup(probes.groupBy("_cluster", "_block")).applyInPandas(run, "a long, b long")
+    members = members.select("cluster", "block", "turn", "class_id", "group", "shingles")
+    probes = probes.select(F.col("cluster").alias("_cluster"), F.col("block").alias("_block"), F.col("turn").alias("_turn"), F.col("class_id").alias("probe_id"), F.col("group").alias("probe_group"), F.col("shingles").alias("probe_shingles"))
+    return members.groupBy("cluster", "block", "turn").cogroup(probes.groupBy("_cluster", "_block", "_turn")).applyInPandas(run, "a long, b long")
+
+
+def _blocks(members, shingles):
+    """Number of blocks for so many classes with so many shingles altogether."""
+    return F.ceil(F.greatest(members / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -349,22 +356,26 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     scores = shared.groupBy(F.col("class_id").alias("vertex")).agg(F.max("score").alias("score"))
     sized = clusters.join(scores, "vertex").join(classes.select(F.col("class_id").alias("vertex"), "n_shingles"), "vertex")
     leaders = sized.groupBy("component").agg(F.max(F.struct("score", "vertex")).alias("head"), F.count("*").alias("members"), F.sum("n_shingles").alias("shingles"))
-    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    leaders = leaders.select(F.col("component").alias("cluster"), F.col("head.vertex").alias("leader"), blocks.alias("blocks"))
+    leaders = leaders.select(F.col("component").alias("cluster"), F.col("head.vertex").alias("leader"), _blocks(F.col("members"), F.col("shingles")).alias("blocks"))
     full = _sets_of(docs, clusters.select(F.col("vertex").alias("class_id")), words).dropDuplicates(["class_id"])
     members = clusters.select(F.col("vertex").alias("class_id"), F.col("component").alias("cluster")).join(leaders, "cluster").join(full, "class_id")
+    members = members.withColumn("n_shingles", (F.octet_length("shingles") / 8).cast("long"))
     members = materialize(members.withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")))
 
     def asked(rows: DataFrame) -> DataFrame:
         return rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
-    own = members.withColumn("group", F.col("class_id"))
+    own = members.withColumns({"group": F.col("class_id"), "turn": F.lit(0)})
     first = materialize(_confirm(own, asked(own.filter("class_id = leader"))))
+    # Turns are blocks of the unlinked classes of a cluster; ids only, so that sets are dealt out once.
     to_leader = first.select(F.col("a").alias("_leader"), F.col("b").alias("_member"))
-    grouped = members.join(to_leader, F.col("class_id") == F.col("_member"), "left")
-    grouped = grouped.withColumn("group", F.when(F.col("class_id") == F.col("leader"), F.col("class_id")).otherwise(F.coalesce("_leader", "class_id")))
-    unlinked = grouped.filter("_leader IS NULL AND class_id <> leader")
-    rest = _confirm(grouped, asked(unlinked))
+    placed = members.select("class_id", "cluster", "leader", "n_shingles").join(to_leader, F.col("class_id") == F.col("_member"), "left")
+    placed = placed.withColumn("unlinked", F.expr("_leader IS NULL AND class_id <> leader"))
+    turns = placed.filter("unlinked").groupBy("cluster").agg(_blocks(F.count("*"), F.sum("n_shingles")).alias("turns"))
+    placed = placed.join(turns, "cluster").select("class_id", "unlinked", "turns", F.when(F.col("unlinked"), F.col("class_id")).otherwise(F.col("leader")).alias("group"))
+    grouped = members.join(materialize(placed), "class_id")
+    probes = grouped.filter("unlinked").withColumn("turn", F.pmod(F.xxhash64("class_id"), F.col("turns")).cast("int"))
+    rest = _confirm(grouped.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))), asked(probes))
     components = connected_components(materialize(first.unionByName(rest)))
 
     found = sets.join(classes.select("set_high", "set_low", "class_id", F.col("n_shingles").alias("_n")), ["set_high", "set_low"], "left")
