@@ -21,7 +21,8 @@ def _kept(docs: DataFrame, decided: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _kept(docs, line_quality.line_quality(docs))
+    """Without boilerplate lines and the texts that a base rule rejects or that consist mostly of such lines."""
+    return line_quality.kept_texts(docs, max_line_documents=line_quality.MAX_LINE_DOCUMENTS)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,10 @@ number of distinct documents that hold a line is counted; a line held by more th
 distinct documents, and by at least ``min_documents``, is boilerplate. Documents are rejected if a base rule fails or
 if they are depleted: boilerplate holds more than ``max_removed_fraction`` of their words.
 
+line_quality() returns the decisions; kept_texts() returns the kept documents without their boilerplate lines, and can
+also count a line as boilerplate that more than ``max_line_documents`` distinct texts of the whole corpus hold: one that
+stands a little below the fraction in each of many hosts.
+
 Documents with the same text count once, so that a group of exact copies (which exact deduplication reduces to one)
 doesn't make its own lines look like boilerplate. Counting is a partial aggregation before the shuffle, so a line that
 a third of all documents share costs one row per task; lines are looked up again by an equi-join that adaptive
@@ -16,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE_SPACE, text_or_empty
+from .common import WHITE_SPACE, materialize, text_or_empty, unused
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -24,6 +28,8 @@ MAX_REPEAT_PERCENT = 50
 MAX_DOC_FRACTION = 0.10
 MIN_DOCUMENTS = 10
 MAX_REMOVED_FRACTION = 0.8
+#: Of kept_texts() in the pipeline: distinct texts of the whole corpus that may hold a line.
+MAX_LINE_DOCUMENTS = 1000
 
 
 def words_of(text: Column) -> Column:
@@ -58,6 +64,19 @@ def repeat_words(words: Column) -> Column:
     return F.when(F.size(words) >= 3, let(windows, count)).otherwise(F.lit(0).cast("long"))
 
 
+def has_words(line: Column) -> Column:
+    return line.rlike(r"[^\x20\x09-\x0D]")
+
+
+def normal_line(line: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(line, WHITE_SPACE, " ")))
+
+
+def line_words(line: Column) -> Column:
+    """Words of a normalised line."""
+    return (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1).cast("long")
+
+
 def base_features(docs: DataFrame) -> DataFrame:
     """doc_id, host, text_hash, lines (normalised, with words) and the base features of each document."""
     of_words = let(
@@ -65,17 +84,17 @@ def base_features(docs: DataFrame) -> DataFrame:
         lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), repeat_words(w).alias("repeats")),
     )
     of_lines = let(
-        F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
+        F.filter(F.split("_text", "\n"), has_words),
         lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"),
     )
-    raw_lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    raw_lines = F.filter(F.split("_text", "\n"), has_words)
     symbols = F.length(F.regexp_replace("_text", r"[^#*$%&|<>]+", ""))
     one = docs.select("doc_id", F.col("source").alias("host"), text_or_empty().alias("_text"))
     one = one.select(
         "doc_id", "host",
         of_words.alias("_words"),
         of_lines.alias("n_dup_lines"),
-        F.transform(raw_lines, lambda x: F.lower(F.trim(F.regexp_replace(x, WHITE_SPACE, " ")))).alias("lines"),
+        F.transform(raw_lines, normal_line).alias("lines"),
         symbols.cast("long").alias("n_symbols"),
         F.xxhash64("_text").alias("text_hash"),
     )
@@ -85,6 +104,65 @@ def base_features(docs: DataFrame) -> DataFrame:
     )
 
 
+def common_lines(lines: DataFrame, docs: DataFrame, max_doc_fraction: float, min_documents: int) -> DataFrame:
+    """_host and _line_hash of the lines (host, text_hash, line_hash) in too many of their host's distinct texts."""
+    # Hosts are few next to lines, but may be many: joined by key, broadcast only if Spark's size check allows.
+    hosts = docs.select(F.col("source").alias("host"), F.xxhash64(text_or_empty()).alias("text_hash")).distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
+    counted = lines.select("host", "line_hash", "text_hash").distinct().groupBy("host", "line_hash").agg(F.count("*").alias("line_docs"))
+    return (
+        counted.filter(F.col("line_docs") >= min_documents)
+        .join(hosts.withColumnRenamed("host", "_host"), F.col("host").eqNullSafe(F.col("_host")))
+        .filter(F.col("line_docs") > F.col("host_docs") * F.lit(max_doc_fraction))
+        .select(F.col("host").alias("_host"), F.col("line_hash").alias("_line_hash"))
+    )
+
+
+def fails_base(n_words: Column, n_repeat_words: Column) -> Column:
+    return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words)
+
+
+def kept_texts(
+    docs: DataFrame,
+    max_doc_fraction: float = MAX_DOC_FRACTION,
+    min_documents: int = MIN_DOCUMENTS,
+    max_removed_fraction: float = MAX_REMOVED_FRACTION,
+    max_line_documents: int | None = None,
+) -> DataFrame:
+    """``docs`` (text, source, any further columns) without rejected rows and without boilerplate lines.
+
+    The decision is that of line_quality(), but depends on a row's text and host only, so doc_ids may repeat or be null.
+    The other lines stay as they are, in order; a text without boilerplate is unchanged. n_chars, if there, is set anew
+    for changed texts.
+    """
+    host, key, gone = (unused(f"_{n}", docs.columns) for n in ("host", "key", "gone"))
+    hashed = lambda x: F.xxhash64(normal_line(x))
+    lines = docs.select(
+        F.col("source").alias("host"), F.xxhash64(text_or_empty()).alias("text_hash"),
+        F.explode(F.array_distinct(F.transform(F.filter(F.split(text_or_empty(), "\n"), has_words), hashed))).alias("line_hash"),
+    )
+    lines = materialize(lines.distinct())
+    common = common_lines(lines, docs, max_doc_fraction, min_documents)
+    found = lines.join(common, F.col("host").eqNullSafe(F.col("_host")) & (F.col("line_hash") == F.col("_line_hash"))).select("host", "text_hash", "line_hash")
+    if max_line_documents is not None:
+        texts = lines.select("line_hash", "text_hash").distinct().groupBy("line_hash").agg(F.count("*").alias("n"))
+        often = texts.filter(F.col("n") > max_line_documents).select("line_hash")
+        found = found.unionByName(lines.join(often, "line_hash", "left_semi").select("host", "text_hash", "line_hash"))
+    removed = found.groupBy(F.col("host").alias(host), F.col("text_hash").alias(key)).agg(F.collect_set("line_hash").alias(gone))
+    joined = docs.join(removed, F.col("source").eqNullSafe(F.col(host)) & (F.xxhash64(text_or_empty()) == F.col(key)), "left")
+
+    is_gone = lambda x: has_words(x) & F.array_contains(F.col(gone), hashed(x))
+    cut = F.filter(F.split(text_or_empty(), "\n"), is_gone)
+    n_gone = F.when(F.col(gone).isNull(), F.lit(0).cast("long")).otherwise(F.aggregate(cut, F.lit(0).cast("long"), lambda n, x: n + line_words(normal_line(x))))
+    counts = let(words_of(text_or_empty()), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(w).alias("repeats")))
+    decided = let(counts, lambda q: ~fails_base(q.n, q.repeats) & ~(n_gone > F.lit(max_removed_fraction) * q.n))
+    stay = F.array_join(F.filter(F.split(text_or_empty(), "\n"), lambda x: ~is_gone(x)), "\n")
+    out = joined.filter(decided)
+    out = out.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(stay))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*docs.columns)
+
+
 def line_quality(
     docs: DataFrame,
     max_doc_fraction: float = MAX_DOC_FRACTION,
@@ -101,24 +179,16 @@ def line_quality(
     lines = lines.select(
         "doc_id", "host", "text_hash",
         F.xxhash64("line").alias("line_hash"),
-        (F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1).cast("long").alias("line_words"),
+        line_words(F.col("line")).alias("line_words"),
     )
-    # Hosts are few next to lines, but may be many: joined by key, broadcast only if Spark's size check allows.
-    hosts = docs.select(F.col("source").alias("host"), F.xxhash64(text_or_empty()).alias("text_hash")).distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    counted = lines.select("host", "line_hash", "text_hash").distinct().groupBy("host", "line_hash").agg(F.count("*").alias("line_docs"))
-    common = (
-        counted.filter(F.col("line_docs") >= min_documents)
-        .join(hosts.withColumnRenamed("host", "_host"), F.col("host").eqNullSafe(F.col("_host")))
-        .filter(F.col("line_docs") > F.col("host_docs") * F.lit(max_doc_fraction))
-        .select(F.col("host").alias("_host"), F.col("line_hash").alias("_line_hash"))
-    )
+    common = common_lines(lines, docs, max_doc_fraction, min_documents)
     removed = (
         lines.select("doc_id", "host", "line_hash", "line_words")
         .join(common, F.col("host").eqNullSafe(F.col("_host")) & (F.col("line_hash") == F.col("_line_hash")))
         .groupBy(F.col("doc_id").alias("_doc"))
         .agg(F.sum("line_words").alias("_removed"))
     )
-    base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    base_failed = fails_base(F.col("n_words"), F.col("n_repeat_words"))
     depleted = F.col("n_boilerplate_words") > F.lit(max_removed_fraction) * F.col("n_words")
     return (
         features.drop("lines", "text_hash", "host")

@@ -5,7 +5,10 @@ from collections import Counter
 
 import pytest
 
-from stackwright.llm import minhash_join
+import corpus_pipeline
+from stackwright.llm import line_quality, minhash_join
+
+DATA = "/root/testdata/sf0.001"
 
 
 def brute_components(rows, words):
@@ -59,3 +62,39 @@ def test_near_duplicates_in_blocks(spark, monkeypatch, words):
     assert {r.doc_id: (r.component_id, r.kept) for r in found} == {i: (c, c == i) for i, c in wanted.items()}
     assert 1 < len(set(wanted.values())) < len(rows)
     assert max(largest) <= 3 * minhash_join.BLOCK
+
+
+def test_lines_above_limits_are_removed(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    rows = []
+    for i in range(80):
+        lines = [" ".join(word() for _ in range(30)) for _ in range(3)]
+        if i % 4 == 0:
+            lines.insert(1, "  Menu \t HOME about " if i % 8 else "menu home about")
+        if i < 40:
+            lines.insert(2, "read more")  # common, but in one host of two
+        lines.insert(1, "")
+        rows.append((i, "\n".join(lines), "a" if i < 40 else "b", None, "x"))
+    rows += [rows[0], (5, "\n".join(["read more"] * 60 + ["x"]), "a", None, None), (None, None, None, 0, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, gone string")
+    for most, everywhere in ((None, False), (15, True)):
+        removed = {"a": {"read more"}, "b": set()}
+        if everywhere:
+            removed = {h: {"menu home about", "read more"} for h in "ab"}
+        wanted = Counter()
+        for i, t, host, n, x in rows[:-2]:
+            stay = "\n".join(line for line in t.split("\n") if " ".join(line.split()).lower() not in removed[host])
+            wanted[i, stay, host, n if stay == t else len(stay), x] += 1
+        found = line_quality.kept_texts(docs, min_documents=11, max_line_documents=most)
+        assert Counter(tuple(r) for r in found.collect()) == wanted
+
+
+def test_quality_stage_removes_lines(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    kept = {r.doc_id for r in line_quality.line_quality(docs).filter("kept").collect()}
+    before = {r.doc_id: r.text for r in docs.collect()}
+    after = {r.doc_id: r.text for r in line_quality.kept_texts(docs).collect()}
+    assert set(after) == kept
+    words = {r.doc_id: r.n_boilerplate_words for r in line_quality.line_quality(docs).collect()}
+    assert {i: len(before[i].split()) - len(t.split()) for i, t in after.items()} == {i: words[i] for i in after}
