@@ -10,7 +10,8 @@ slot's winner, the others form groups of their own. Last, each row gets its grou
 digest, which adaptive execution splits if one text holds much of the table.
 
 Null text counts as empty, empty texts equal each other; texts aren't changed. Of equal rows that also repeat doc_id,
-all count in group_size and all share that doc_id. Either side may be empty.
+all count in group_size and all share that doc_id. A null doc_id is less than any other: a text that only such rows
+hold has keep_id null, and they are its kept row, as equal rows are. Either side may be empty.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .common import materialize, text_or_empty
 
 #: Distinct digests a shard holds on average: 2 MB of digests, and as much again while it is built.
 SHARD_DIGESTS = 1 << 16
+#: Stands for a null doc_id while a group's largest is sought: keep_id stays a long in pandas, exact above 2**53.
+NO_ID = -(1 << 63)
 #: Keys for each displacement bucket.
 BUCKET_KEYS = 4
 
@@ -133,7 +136,7 @@ def _look_up(new: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
 
 
 def _distinct(rows: DataFrame, shards: int) -> DataFrame:
-    found = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    found = rows.groupBy("digest").agg(F.coalesce(F.max("doc_id"), F.lit(NO_ID)).alias("keep_id"), F.count("*").alias("group_size"))
     return found.withColumn("shard", F.pmod(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long"), F.lit(shards)).cast("int"))
 
 
@@ -156,9 +159,10 @@ def mph_dedup(history: DataFrame, incoming: DataFrame, shard_digests: int = SHAR
     shards = max(1, math.ceil(rows.count() / shard_digests))
     index = build_index(rows.filter(~F.col("new")), shards)
     found = _distinct(rows.filter("new"), shards).groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(_look_up, FOUND_SCHEMA)
+    own = F.coalesce("doc_id", F.lit(NO_ID))
     return (
         rows.join(found.withColumnRenamed("digest", "_digest"), F.col("digest") == F.col("_digest"))
-        .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+        .select("doc_id", F.nullif("keep_id", F.lit(NO_ID)).alias("keep_id"), "group_size", (own == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
     )
 
 

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from stackwright.llm import line_quality, minhash_join
+from stackwright.llm import line_quality, minhash_join, mph_dedup
 
 DATA = "/root/testdata/sf0.001"
 
@@ -98,3 +98,13 @@ def test_quality_stage_removes_lines(spark):
     assert set(after) == kept
     words = {r.doc_id: r.n_boilerplate_words for r in line_quality.line_quality(docs).collect()}
     assert {i: len(before[i].split()) - len(t.split()) for i, t in after.items()} == {i: words[i] for i in after}
+
+
+def test_exact_dedup_of_null_and_large_ids(spark):
+    """A text that only null doc_ids hold keeps its row, and ids over 2**53 in the same shard stay exact."""
+    big = 2**60 + 1
+    rows = [(None, "only null"), (None, "twice"), (None, "twice"), (None, "both"), (3, "both"), (big, "big"), (big - 1, "big"), (-5, "low"), (None, None)]
+    found = mph_dedup.mph_dedup(*[spark.createDataFrame(r, "doc_id long, text string") for r in (rows[:4], rows[4:])]).collect()
+    wanted = [(None, None, 1, True), (None, None, 2, True), (None, None, 2, True), (None, 3, 2, False), (3, 3, 2, True)]
+    wanted += [(big, big, 2, True), (big - 1, big, 2, False), (-5, -5, 1, True), (None, None, 1, True)]
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in found) == Counter(wanted)
