@@ -7,12 +7,14 @@ copies are gone, the mix repeats or drops documents, and the last stage returns
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from stackwright.llm import line_quality, minhash_join, mixing, mph_dedup, packing
-from stackwright.llm.common import shared_dir, unused
+from stackwright.llm.common import materialize, shared_dir, text_or_empty, unused
 
 
 def _kept(docs: DataFrame, decided: DataFrame) -> DataFrame:
@@ -20,22 +22,43 @@ def _kept(docs: DataFrame, decided: DataFrame) -> DataFrame:
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept[kept.columns[0]]), "left_semi")
 
 
+def _by_row(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``stage`` where texts share a doc_id or have none: over rows numbered in the order of doc_id (null first).
+
+    The numbers stand in for doc_id while the stage decides, so no row is taken for its namesake.
+    """
+    ids = docs.select("doc_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    if ids.filter("n > 1 OR doc_id IS NULL").isEmpty():
+        return stage(docs)
+    own = unused("_own_id", docs.columns)
+    ordered = docs.withColumn(own, F.col("doc_id")).repartitionByRange(F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    numbered = materialize(ordered.withColumn("doc_id", F.monotonically_increasing_id()))
+    return stage(numbered).withColumn("doc_id", F.col(own)).select(*docs.columns)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without boilerplate lines and the texts that a base rule rejects or that consist mostly of such lines."""
     return line_quality.kept_texts(docs, max_line_documents=line_quality.MAX_LINE_DOCUMENTS)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _kept(docs, mph_dedup.dedup_by_halves(docs))
+    """One row of each text, with the largest doc_id. Of rows that also repeat doc_id, the least by their other columns."""
+    digest, kept_id, kept_digest, row = (unused(f"_{n}", docs.columns) for n in ("digest", "kept_id", "kept_digest", "row"))
+    kept = mph_dedup.dedup_by_halves(docs).filter("kept").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_digest))
+    hashed = docs.withColumn(digest, F.sha2(text_or_empty(), 256))
+    found = hashed.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(digest) == F.col(kept_digest)), "left_semi")
+    order = [f.name for f in docs.schema if f.name not in ("doc_id", "text") and isinstance(f.dataType, AtomicType)]
+    one = F.min_by(F.struct(*docs.columns), F.struct(F.lit(0).alias("_"), *order))
+    return found.groupBy("doc_id", digest).agg(one.alias(row)).select(f"{row}.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Near duplicates of 80 % of five-word shingles; the smallest doc_id of a component stays."""
-    return _kept(docs, minhash_join.near_duplicates(docs, words=5))
+    return _by_row(docs, lambda rows: _kept(rows, minhash_join.near_duplicates(rows, words=5)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.take_copies(docs, mixing.mix_sources(docs))
+    return _by_row(docs, lambda rows: mixing.take_copies(rows, mixing.mix_sources(rows)))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from stackwright.llm import line_quality, minhash_join, mph_dedup
+from stackwright.llm import line_quality, minhash_join, mixing, mph_dedup
 
 DATA = "/root/testdata/sf0.001"
 
@@ -108,3 +108,51 @@ def test_exact_dedup_of_null_and_large_ids(spark):
     wanted = [(None, None, 1, True), (None, None, 2, True), (None, None, 2, True), (None, 3, 2, False), (3, 3, 2, True)]
     wanted += [(big, big, 2, True), (big - 1, big, 2, False), (-5, -5, 1, True), (None, None, 1, True)]
     assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in found) == Counter(wanted)
+
+
+def repeated_rows():
+    rng = random.Random(4)
+    text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(60 + rng.randrange(40)))
+    rows = [(i, text(), "en", f"s{i % 2}") for i in range(30)]
+    rows += [rows[3]] * 4 + [(4, rows[4][1], "de", "s1")]  # rows repeated as a whole, and but for a column
+    rows += [(5, text(), "en", "s0"), (6, "too short", "en", "s0"), (7, rows[2][1] + " end", "en", "s0")]  # shared doc_ids
+    rows += [(None, text(), "en", "s0"), (None, text(), "en", "s1")]
+    return rows
+
+
+def test_pipeline_with_repeated_rows_equals_brute_force(spark):
+    """Repeated rows are one, texts that share a doc_id are judged each, and no text is taken over MAX_EPOCHS times."""
+    rows = repeated_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    docs = stages["quality_rules"](spark, docs, DATA)
+    wanted = Counter(r for r in rows if r[1] != "too short")
+    assert Counter(tuple(r) for r in docs.collect()) == wanted
+    docs = stages["exact_dedup"](spark, docs, DATA)
+    one: dict = {}
+    for r in sorted(wanted, key=lambda r: (r[0] is not None, r[0] or 0, r[2]), reverse=True):
+        one[r[1]] = r if r[1] not in one or one[r[1]][0] == r[0] else one[r[1]]
+    assert Counter(tuple(r) for r in docs.collect()) == Counter(one.values())
+    docs = stages["near_dedup"](spark, docs, DATA)
+    numbered = list(enumerate(sorted(one.values(), key=lambda r: (r[0] is not None, r[0] or 0))))
+    least = brute_components([(n, r[1]) for n, r in numbered], 5)
+    kept = [r for n, r in numbered if least[n] == n]
+    assert len(kept) == len(one) - 1
+    assert Counter(tuple(r) for r in docs.collect()) == Counter(kept)
+    mixed = stages["mix_sources"](spark, docs, DATA)
+    taken = Counter((r.doc_id, r.text) for r in mixed.collect())
+    whole = {(r[0], r[1]) for r in kept}
+    assert all(n <= mixing.MAX_EPOCHS for k, n in taken.items() if k in whole)
+    cut = [k for k in taken if k not in whole]
+    assert all(taken[k] == 1 and any(i == k[0] and t.startswith(k[1] + " ") for i, t in whole) for k in cut)
+    # The mix takes each source's target to the word.
+    total = Counter()
+    for r in mixed.collect():
+        total[r.source] += len(r.text.split())
+    size = Counter()
+    for r in kept:
+        size[r[3]] += len(r[1].split())
+    share = sum(size.values()) / 7  # weights 5 and 2
+    target = {"s0": min(5 * share, 3 * size["s0"])}
+    target["s1"] = sum(size.values()) - target["s0"]
+    assert all(abs(total[s] - target[s]) <= 1 for s in target)
