@@ -6,7 +6,9 @@ learning with non-negative risk estimator" (2017): ``prior * R_P(+) + max(0, R_U
 bracket falls below 0 a step goes the other way, against overfitting. The prior is the share of toxic texts among the
 labelled ones that may be learned from.
 
-A text's features are the hashes of its distinct words and of their first 4, 5 and 6 letters. The samples are bounded:
+A text's features are the hashes of its distinct words, whole, and of their first 4, 5 and 6 letters; words of more than
+LONG letters also have all their 4-letter strings, and words with letters of a script without spaces (Chinese, Japanese,
+Thai, Lao, Burmese, Khmer), where a run of letters is a clause, all strings of 1 to 4 letters. The samples are bounded:
 MOST_POSITIVE confirmed texts and, for each of CLASSIFIERS classifiers, MOST_UNLABELLED others, chosen by hash; the
 classifiers train in a task each and their logits are averaged. Scoring covers all whole texts.
 
@@ -38,9 +40,22 @@ STEPS = 120
 LEAST_TEXTS = 3
 LEAST_DEVIATIONS = 5
 _WORDS = re.compile(r"\w+")
+#: Features of words up to LONG letters are the word and its beginnings alone; those of words over LONGEST are not cached.
+LONG = 6
+LONGEST = 64
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 _CACHE = 200_000
 
 
+def word_parts(word: str) -> set[str]:
+    """The strings whose hashes are a word's features."""
+    parts = {f"{word}$", *(word[:k] for k in (4, 5, 6) if len(word) >= k)}
+    lengths = (1, 2, 3, 4) if _UNSPACED.search(word) else (4,) if len(word) > LONG else ()
+    for n in lengths:
+        parts.update(word[i : i + n] for i in range(len(word) - n + 1))
+    return parts
+
+
 class Features:
     """Feature numbers of a text; words met before are looked up."""
 
@@ -52,10 +67,11 @@ class Features:
         for word in set(_WORDS.findall(text.lower())):
             numbers = self.held.get(word)
             if numbers is None:
-                if len(self.held) >= _CACHE:
-                    self.held.clear()
-                parts = {f"{word[:32]}$", *(word[:k] for k in (4, 5, 6) if len(word) >= k)}
-                numbers = self.held[word] = tuple(zlib.crc32(p.encode()) % self.dimensions for p in parts)
+                numbers = tuple({zlib.crc32(p.encode()) % self.dimensions for p in word_parts(word)})
+                if len(word) <= LONGEST:
+                    if len(self.held) >= _CACHE:
+                        self.held.clear()
+                    self.held[word] = numbers
             found.update(numbers)
         return np.fromiter(found, np.int32, len(found))
 

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from stackwright.llm import line_quality, minhash_join, mixing, mph_dedup
+from stackwright.llm import line_quality, minhash_join, mixing, mph_dedup, pu_toxicity
 
 DATA = "/root/testdata/sf0.001"
 
@@ -156,3 +156,20 @@ def test_pipeline_with_repeated_rows_equals_brute_force(spark):
     target = {"s0": min(5 * share, 3 * size["s0"])}
     target["s1"] = sum(size.values()) - target["s0"]
     assert all(abs(total[s] - target[s]) <= 1 for s in target)
+
+
+@pytest.mark.parametrize("script", ["unspaced", "joined", "tail"])
+def test_toxicity_sees_whole_words(spark, script):
+    """A toxic word inside a clause of an unspaced script, inside a joined token, or behind a long word's 32nd letter."""
+    rng = random.Random(6)
+    letters, bad, glue = ("的一是不了人我在有他这中大来上国", "毒蠢", "") if script == "unspaced" else ("abcdeimnorst", "qxzvjk", "_")
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+
+    def text(toxic):
+        clauses = [glue.join([word(40 if script == "tail" else 8), bad if toxic and k == 2 else word(len(bad)), word(5)]) for k in range(6)]
+        return ", ".join(clauses)
+
+    docs = spark.createDataFrame([(i, text(i % 5 == 1)) for i in range(600)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 5 == 1)) for i in range(0, 600, 2)], "doc_id long, toxic int")
+    found = pu_toxicity.toxicity(docs, marks).collect()
+    assert sum(r.predicted == int(r.doc_id % 5 == 1) for r in found) > 0.97 * len(found)
