@@ -2,15 +2,17 @@
 
 Removes each byte that a ``LENGTH``-byte string covers which also starts earlier (smaller doc_id, or earlier in the
 same document). Candidate texts come from ``repeats``: the texts of runs whose anchor stands in several places. A task
-concatenates the texts under its anchors and sorts their suffixes by doubling, which gives the Burrows-Wheeler
+concatenates the different texts under its anchors and sorts their suffixes by doubling, which gives the Burrows-Wheeler
 transform and its last-to-first mapping. Breadth-first backward extension then goes from the intervals of strings of
 k bytes to those of k + 1 bytes, all intervals of a level at once in numpy, and so finds the common prefixes of
 neighbouring suffixes by increasing value (after Beller, Gog, Ohlebusch, Schnattinger, "Computing the longest common
 prefix array based on the Burrows-Wheeler transform", 2013). It stops at LENGTH: boundaries not found by then lie
 inside intervals of suffixes that agree on LENGTH bytes or more, and all but the earliest of an interval are repeats.
+Equal texts are one text of the transform with several places, so its copies are members of the same intervals.
 
 Whole texts are compared, as UTF-8; matches never cross documents. Null text is empty; a null doc_id sorts first; rows
-that share a doc_id but not a text are documents of their own, equal rows are one document. Empty table: no rows.
+that share a doc_id but not a text are documents of their own, equal rows are one document. Texts below LENGTH bytes
+stay as they are; there is no upper bound, and a text of one long period is cut into pieces. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -21,17 +23,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import NO_ID, Repeats, covered, tag_of
+from .repeats import NO_ID, Repeats, covered
 
 LENGTH = 100
-#: Anchors are hashes of 2 ** LOG_GRAM bytes.
-LOG_GRAM = 5
+#: Anchors are hashes of so many bytes.
+GRAM = 32
 
 _BYTE = np.random.Generator(np.random.PCG64(20)).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def byte_units(text: bytes) -> tuple[np.ndarray, bytes]:
-    return _BYTE[np.frombuffer(text, np.uint8)], text
+def byte_units(raw: bytes) -> np.ndarray:
+    return _BYTE[np.frombuffer(raw, np.uint8)]
 
 
 def suffix_array(text: np.ndarray, left: np.ndarray, longest: int) -> np.ndarray:
@@ -114,8 +116,8 @@ def interval_numbers(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarr
     return order, np.cumsum(found[:n])
 
 
-def later_starts(texts: list[bytes], starts: np.ndarray, places: dict[str, np.ndarray], length: int = LENGTH) -> np.ndarray:
-    """For each start of each text in turn: whether its string also starts at an earlier place."""
+def later_starts(texts: list[bytes], starts: np.ndarray, places: dict[str, np.ndarray], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """For each start of each text in turn: whether its string also starts at an earlier place, and whether it has an interval."""
     order, number = interval_numbers(texts, length)
     of_suffix = np.empty(len(order), np.int64)
     of_suffix[order] = number
@@ -129,20 +131,19 @@ def later_starts(texts: list[bytes], starts: np.ndarray, places: dict[str, np.nd
     first = np.full(int(group.max(initial=0)) + 1, -1, np.int64)
     first[group[by_place[::-1]]] = by_place[::-1]  # the earliest is written last
     first = first[group]
-    return (doc != doc[first]) | (tag != tag[first]) | (start != start[first])
+    return (doc != doc[first]) | (tag != tag[first]) | (start != start[first]), first >= 0
 
 
 def removed_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and ``kept`` (binary: the bytes that stay) of each document."""
-    finder = Repeats(length, LOG_GRAM, 1, byte_units, lambda texts, starts, places: later_starts(texts, starts, places, length))
-    dealt, repeats = finder.repeated(docs)
+    finder = Repeats(length, GRAM, 1, lambda text: text, byte_units, lambda texts, starts, places: later_starts(texts, starts, places, length))
 
     def cut(batches):
         for batch in batches:
             rows = []
             for doc, value, found in zip(batch["doc"].to_pylist(), batch["text"].cast(pa.binary()), batch["repeats"].to_pylist()):
                 text = value.as_py()
-                gone = covered(len(text), found, tag_of(text), length) if found else np.zeros(len(text), bool)
+                gone = covered(len(text), found, length) if found else np.zeros(len(text), bool)
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if found else text
                 spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(len(gone) > 0 and gone[0])
                 rows.append((None if doc == NO_ID else doc, len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
@@ -151,5 +152,4 @@ def removed_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
-    joined = dealt.join(repeats, "doc", "left").select("doc", "text", "repeats")
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return finder.repeated(docs).mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

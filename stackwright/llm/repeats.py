@@ -4,22 +4,27 @@ A string of ``length`` units (bytes or words) is owned by its anchor, the least
 occurrences of one string have the same anchor, wherever they stand. A *run* is a maximal row of starts with the same
 anchor, with the text that its strings cover (``starts + length - 1`` units). The steps:
 
-1. Scan: every document gives its runs as (anchor, hash of the run's text, place). Equal runs of one batch are one row.
-2. Group: rows meet by anchor and are streamed in the order (anchor, text, place). Runs with the same text as an
-   earlier one repeat it as a whole. Of each different text under an anchor the earliest run stays (a *head*), unless
-   it is the only text there and can't repeat itself. Nothing is held but the last head, however hot an anchor is.
-3. Heads fetch their texts and meet again by anchor: the caller's method compares the texts under an anchor, or several
-   anchors at once up to a fixed size, and says which starts also stand earlier.
-4. Anchors with over ``MOST_HEADS`` different texts take an exact way that deals them out: their heads are cut into
-   single strings, which meet by their hash after partial aggregation.
-
-Texts are shuffled once (the exchange serves steps 3 and the result). Places are (doc_id, tag, start): the tag, 23 bits
-of a hash of the text, tells rows apart that share a doc_id. Rows equal in both are the same document.
+1. Scan: every document gives its runs as (anchor, key, place), key being 64 bits of a hash of the run's text. Of equal
+   runs of one batch the earliest is a row for step 2, the others are its copies and stay out of it: so a passage that a
+   third of all documents hold costs step 2 one row for each batch.
+2. Group: rows meet by anchor and are streamed in the order (anchor, text, place). The earliest run of each text is a
+   *head*, equal ones are its copies. A head without copies goes no further if it is the only text under its anchor
+   and can't repeat itself. Nothing is held but the last head, however hot an anchor is.
+3. Heads fetch their texts and meet again by anchor: the caller's method compares the texts under an anchor, or under
+   several at once up to a fixed size. It says which starts of a head also stand earlier, and confirms each text whose
+   copies then repeat it. Every removed unit comes out of this step; copies meet the confirmed texts by an equi-join,
+   which adaptive execution can split.
+4. Heads of anchors with over ``MOST_HEADS`` different texts take steps 2 and 3 again under anchors from longer grams:
+   twice as long, and last as long as the strings themselves, where all texts under an anchor are the same string.
+
+Texts are shuffled once (the exchange serves step 3 and the result). Places are (doc_id, tag, start): the tag, 64 bits
+of a hash of the text, tells rows apart that share a doc_id or have none, and deals them out. Rows equal in both are the
+same document. A copy is told from its text's head by anchor and key, 128 bits of hashes of overlapping text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +37,8 @@ from .common import materialize, text_or_empty
 NO_ID = -(2**63)
 #: Runs are cut into pieces of so many starts at most (only periodic texts have longer ones).
 MOST_STARTS = 128
-#: Different texts under an anchor that one task compares, and rows in a list of equal runs.
+#: Different texts under an anchor that one task compares.
 MOST_HEADS = 2048
-LIST_ROWS = 256
 #: Anchors with more texts than that (8 bytes each) that are broadcast; more of them are joined by shuffling.
 MOST_BROADCAST = 1 << 20
 #: Units of text that are compared at once, under several anchors: with MOST_HEADS texts more at most.
@@ -43,22 +47,29 @@ BLOCK_UNITS = 1 << 19
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
-PLACE = np.dtype([("doc", "<i8"), ("start", "<i4"), ("tag", "<i4"), ("starts", "<i4")])
-RUN_SCHEMA = "anchor long, key long, alone boolean, doc long, start int, tag int, starts int, more binary"
-GROUPED_SCHEMA = "kind int, anchor long, doc long, start int, tag int, starts int"
-RANGE_SCHEMA = "doc long, tag int, start int, starts int"
-REPEAT, HEAD, HOT = 0, 1, 2
+PLACE = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("start", "<i4"), ("starts", "<i4")])
+RUN_COLUMNS = ["kind", "anchor", "key", "copies", "alone", "doc", "tag", "start", "starts"]
+RUN_SCHEMA = "kind int, anchor long, key long, copies boolean, alone boolean, doc long, tag long, start int, starts int"
+TEXT_SCHEMA = "anchor long, key long, copies boolean, doc long, tag long, start int, starts int, units binary"
+JUDGED_SCHEMA = "confirmed boolean, anchor long, key long, doc long, tag long, start int, starts int"
+COPY, RUN, HEAD, HOT = 0, 1, 2, 3
 
 
-def gram_hashes(units: np.ndarray, log_size: int) -> np.ndarray:
-    """Hashes of all grams of ``2 ** log_size`` units (uint64 each)."""
-    factor, out = _ODD, units
-    for k in range(log_size):
-        if len(out) <= 1 << k:
+def gram_hashes(units: np.ndarray, size: int) -> np.ndarray:
+    """Hashes (uint64) of all grams of ``size`` units, put together from grams of powers of two."""
+    factor, out, width = _ODD, units, 1
+    while 2 * width <= size:
+        if len(out) <= width:
             return np.zeros(0, np.uint64)
-        out = out[: -(1 << k)] * factor + out[1 << k :]
+        out = out[:-width] * factor + out[width:]
         out ^= out >> np.uint64(29)
         factor = np.uint64(int(factor) * int(_GOLDEN) % 2**64 | 1)
+        width *= 2
+    if width < size:
+        if len(out) <= size - width:
+            return np.zeros(0, np.uint64)
+        out = out[: width - size] * factor + out[size - width :]
+        out ^= out >> np.uint64(29)
     return out
 
 
@@ -73,9 +84,9 @@ def window_minima(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - n)], x[width - n :]) if n < width else x
 
 
-def runs_of(units: np.ndarray, length: int, log_gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def runs_of(units: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, start, number of starts) of each run."""
-    anchors = window_minima(gram_hashes(units, log_gram), length - (1 << log_gram) + 1)
+    anchors = window_minima(gram_hashes(units, gram), length - gram + 1)
     if not len(anchors):
         return anchors, np.zeros(0, np.int64), np.zeros(0, np.int64)
     first = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
@@ -89,178 +100,193 @@ def runs_of(units: np.ndarray, length: int, log_gram: int) -> tuple[np.ndarray,
     return anchors[first], first, starts
 
 
-def tag_of(text: bytes) -> int:
-    import xxhash
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc (doc_id, a number for null), tag and text (empty for null)."""
+    text = text_or_empty()
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("tag"), text.alias("text"))
+
 
-    return xxhash.xxh3_64_intdigest(text) & 0x7FFFFF
+def _rows(columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], RUN_COLUMNS)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc (doc_id, a number for null) and text (empty for null)."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), text_or_empty().alias("text"))
+def _same_place(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a["doc"] == b["doc"]) & (a["tag"] == b["tag"]) & (a["start"] == b["start"])
 
 
 class Repeats:
-    """Finds repeated strings of ``length`` units, ``units_of(text)`` giving the units (uint64) and their bytes."""
+    """Finds repeated strings of ``length`` units.
+
+    raw_of(text) gives a text's units as bytes, ``unit_bytes`` each, and units_of(raw) their hashes (uint64).
+    judge(texts, starts, places) flags the starts whose string also stands at an earlier place.
+    """
 
-    def __init__(self, length: int, log_gram: int, unit_bytes: int, units_of: Callable, judge: Callable):
-        #: units_of(text) -> (units for hashing, bytes of the units); judge(texts, starts, places) -> flags by start
-        self.length, self.log_gram, self.unit_bytes = length, log_gram, unit_bytes
-        self.units_of, self.judge = units_of, judge
+    def __init__(self, length: int, gram: int, unit_bytes: int, raw_of: Callable, units_of: Callable, judge: Callable):
+        self.length, self.unit_bytes = length, unit_bytes
+        self.grams = [gram, 2 * gram, length]
+        self.raw_of, self.units_of, self.judge = raw_of, units_of, judge
 
     # Step 1
 
-    def scan(self, keyed_docs: DataFrame) -> DataFrame:
-        length, log_gram, unit, units_of = self.length, self.log_gram, self.unit_bytes, self.units_of
+    def runs(self, texts: Iterable[tuple], gram: int) -> pa.RecordBatch | None:
+        """RUN and COPY rows of texts (doc, tag, number of the first unit, raw, has copies)."""
+        import xxhash
+
+        digest, unit, length = xxhash.xxh3_64_intdigest, self.unit_bytes, self.length
+        held: list[tuple] = []
+        for doc, tag, base, raw, copied in texts:
+            if len(raw) < length * unit:
+                continue
+            anchors, first, starts = runs_of(self.units_of(raw), length, gram)
+            low, high = first * unit, (first + starts + length - 1) * unit
+            # The units that all strings of a run share: found earlier in it, the run may repeat itself.
+            core_low, core_high = (first + starts - 1) * unit, (first + length) * unit
+            keys, alone = [], []
+            for a, b, c, d in zip(low.tolist(), high.tolist(), core_low.tolist(), core_high.tolist()):
+                keys.append(digest(raw[a:b]))
+                alone.append(c < d and raw.find(raw[c:d], a, b) == c)
+            place = np.empty(len(anchors), PLACE)
+            place["doc"], place["tag"], place["start"], place["starts"] = doc, tag, first + base, starts
+            held.append((anchors.view(np.int64), np.array(keys, np.uint64).view(np.int64), np.array(alone), place, np.full(len(anchors), copied)))
+        if not held:
+            return None
+        anchors, keys, alone, place, copied = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((place["start"], place["tag"], place["doc"], keys, anchors))
+        anchors, keys, alone, place, copied = anchors[order], keys[order], alone[order], place[order], copied[order]
+        new = np.concatenate([[True], (anchors[1:] != anchors[:-1]) | (keys[1:] != keys[:-1])])
+        head = np.flatnonzero(new)
+        of = np.cumsum(new) - 1
+        # A row that is the head itself again (from a repeated row of the table) isn't its copy.
+        copy = ~new & ~_same_place(place, place[head][of])
+        copies = (np.bincount(of, weights=copy | copied, minlength=len(head)) > 0)[of]
+        stay = new | copy
+        kind = np.where(copy, COPY, RUN).astype(np.int32)
+        columns = [kind, anchors, keys, copies, alone, place["doc"], place["tag"], place["start"], place["starts"]]
+        return _rows([np.ascontiguousarray(c[stay]) for c in columns])
 
+    def scan(self, keyed_docs: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import xxhash
+            for batch in batches:
+                texts = zip(batch["doc"].to_pylist(), batch["tag"].to_pylist(), batch["text"].cast(pa.binary()))
+                found = self.runs(((d, t, 0, self.raw_of(v.as_py()), False) for d, t, v in texts), self.grams[0])
+                if found is not None:
+                    yield found
 
-            digest = xxhash.xxh3_64_intdigest
+        return keyed_docs.select("doc", "tag", "text").mapInArrow(run, RUN_SCHEMA)
+
+    def scan_again(self, texts: DataFrame, gram: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                held: list[tuple] = []
-                for doc, value in zip(batch["doc"].to_pylist(), batch["text"].cast(pa.binary())):
-                    text = value.as_py()
-                    units, raw = units_of(text)
-                    if len(units) < length:
-                        continue
-                    anchors, first, starts = runs_of(units, length, log_gram)
-                    low, high = first * unit, (first + starts + length - 1) * unit
-                    # The units that all strings of a run share: found earlier in it, the run may repeat itself.
-                    core_low, core_high = (first + starts - 1) * unit, (first + length) * unit
-                    keys, alone = [], []
-                    for a, b, c, d in zip(low.tolist(), high.tolist(), core_low.tolist(), core_high.tolist()):
-                        keys.append(digest(raw[a:b]))
-                        alone.append(c < d and raw.find(raw[c:d], a, b) == c)
-                    place = np.empty(len(anchors), PLACE)
-                    place["doc"], place["start"], place["tag"], place["starts"] = doc, first, tag_of(text), starts
-                    held.append((anchors.view(np.int64), np.array(keys, np.uint64).view(np.int64), np.array(alone), place))
-                if not held:
-                    continue
-                anchors, keys, alone, place = (np.concatenate(x) for x in zip(*held))
-                order = np.lexsort((place["start"], place["tag"], place["doc"], keys, anchors))
-                anchors, keys, alone, place = anchors[order], keys[order], alone[order], place[order]
-                new = np.concatenate([[True], (anchors[1:] != anchors[:-1]) | (keys[1:] != keys[:-1])])
-                head = np.flatnonzero(new)
-                since = np.arange(len(new)) - head[np.cumsum(new) - 1]
-                head = np.flatnonzero(since % LIST_ROWS == 0)
-                rest = np.ones(len(new), bool)
-                rest[head] = False
-                sizes = np.diff(np.append(head, len(new))) - 1
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32) * PLACE.itemsize
-                more = pa.BinaryArray.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(place[rest].tobytes())])
-                own = place[head]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchors[head]), pa.array(keys[head]), pa.array(alone[head]), *(pa.array(np.ascontiguousarray(own[k])) for k in ("doc", "start", "tag", "starts")), more],
-                    ["anchor", "key", "alone", "doc", "start", "tag", "starts", "more"],
-                )
-
-        return keyed_docs.mapInArrow(run, RUN_SCHEMA)
+                rows = zip(*(batch[c].to_pylist() for c in ("doc", "tag", "start", "units", "copies")))
+                found = self.runs(rows, gram)
+                if found is not None:
+                    yield found
+
+        return texts.mapInArrow(run, RUN_SCHEMA)
 
     # Step 2
 
     def group(self, runs: DataFrame) -> DataFrame:
-        """Rows REPEAT (a run that repeats an earlier one), HEAD (one to compare) and HOT (an anchor with many heads).
-
-        An anchor's first head waits until another text or the anchor's end shows whether it is needed.
-        """
+        """Rows HEAD (a text to compare, with whether it has copies), COPY and HOT (an anchor with many heads)."""
 
         def stream(batches):
-            last = None  # (anchor, key, alone, place) of the last head, whether it is out, and heads under its anchor
+            last = None  # the last head: its row, whether it has copies, is first under its anchor, and its number there
+
+            def head_rows(kind, anchor, key, copies, place) -> pa.RecordBatch:
+                n = len(anchor)
+                return _rows([np.full(n, kind, np.int32), anchor, key, copies, np.zeros(n, bool), *(np.ascontiguousarray(place[k]) for k in PLACE.names)])
+
             for batch in batches:
+                kinds = batch["kind"].to_numpy()
+                if (kinds == COPY).any():
+                    yield batch.filter(pa.array(kinds == COPY))
+                    batch = batch.filter(pa.array(kinds != COPY))
                 if not batch.num_rows:
                     continue
-                more = batch["more"].to_pylist()
-                counts = np.array([len(x) // PLACE.itemsize for x in more]) + 1
-                at = np.repeat(np.arange(len(counts)), counts)
-                place = np.empty(len(at), PLACE)
-                own = np.cumsum(counts) - counts
+                place = np.empty(batch.num_rows, PLACE)
                 for k in PLACE.names:
-                    place[k][own] = batch[k].to_numpy()
-                others = np.ones(len(at), bool)
-                others[own] = False
-                place[others] = np.frombuffer(b"".join(more), PLACE)
-                anchor, key = batch["anchor"].to_numpy()[at], batch["key"].to_numpy()[at]
-                alone = batch["alone"].to_numpy(zero_copy_only=False)[at]
+                    place[k] = batch[k].to_numpy()
+                anchor, key = batch["anchor"].to_numpy(), batch["key"].to_numpy()
+                copies, alone = (batch[k].to_numpy(zero_copy_only=False) for k in ("copies", "alone"))
                 before = (last["anchor"], last["key"]) if last else (None, None)
                 new_anchor = np.concatenate([[anchor[0] != before[0]], anchor[1:] != anchor[:-1]])
                 new = new_anchor | np.concatenate([[key[0] != before[1]], key[1:] != key[:-1]])
-                heads = np.flatnonzero(new)
-                of = np.cumsum(new)
-                head_place = np.concatenate([last["place"] if last else place[:1], place[heads]])[of]
-                # A row that is the head itself again (from a repeated row of the table) isn't a repeat of it.
-                again = ~new & ((place["doc"] != head_place["doc"]) | (place["tag"] != head_place["tag"]) | (place["start"] != head_place["start"]))
-                out = [(REPEAT, anchor[again], place[again])]
-                if len(heads):
-                    firsts = new_anchor[heads]
-                    before_first = np.cumsum(firsts)
-                    number = np.arange(len(heads)) - np.concatenate([[-(last["number"] + 1) if last else 0], np.flatnonzero(firsts)])[before_first]
-                    followed = np.concatenate([~firsts[1:], [False]])
-                    emit = ~firsts | followed | ~alone[heads]
-                    if last and not last["out"] and not firsts[0]:
-                        out.append((HEAD, np.array([last["anchor"]]), last["place"]))
-                    out.append((HEAD, anchor[heads][emit], place[heads][emit]))
-                    hot = number == MOST_HEADS
-                    out.append((HOT, anchor[heads][hot], place[heads][hot]))
-                    z = heads[-1]
-                    last = {"anchor": anchor[z], "key": key[z], "place": place[z : z + 1].copy(), "out": bool(emit[-1]), "number": int(number[-1])}
-                kinds = np.concatenate([np.full(len(a), k, np.int32) for k, a, _ in out])
-                anchors, places = np.concatenate([a for _, a, _ in out]), np.concatenate([p for _, _, p in out])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(kinds), pa.array(np.where(kinds == REPEAT, 0, anchors)), *(pa.array(np.ascontiguousarray(places[k])) for k in ("doc", "start", "tag", "starts"))],
-                    ["kind", "anchor", "doc", "start", "tag", "starts"],
-                )
-
-        dealt = runs.repartition("anchor").sortWithinPartitions("anchor", "key", "doc", "tag", "start")
-        return dealt.mapInArrow(stream, GROUPED_SCHEMA)
-
-    # Steps 3 and 4
+                heads, of = np.flatnonzero(new), np.cumsum(new)  # 0: rows of the last batch's head
+                head_place = np.concatenate([last["place"] if last else place[:1], place[heads]])
+                copy = ~new & ~_same_place(place, head_place[of])
+                if copy.any():
+                    yield head_rows(COPY, anchor[copy], key[copy], copies[copy], place[copy])
+                has = np.bincount(of, weights=copy | copies, minlength=len(heads) + 1) > 0
+                if last:
+                    last["copies"] |= bool(has[0])
+                if not len(heads):
+                    continue
+                first = new_anchor[heads]
+                before_first = np.cumsum(first)
+                number = np.arange(len(heads)) - np.concatenate([[-(last["number"] + 1) if last else 0], np.flatnonzero(first)])[before_first]
+                if last and (last["copies"] or not last["first"] or not last["alone"] or not first[0]):
+                    yield head_rows(HEAD, *(np.array([last[k]]) for k in ("anchor", "key", "copies")), last["place"])
+                goes = has[1:] | ~first | ~alone[heads] | np.concatenate([~first[1:], [False]])
+                goes[-1] = False
+                if goes.any():
+                    yield head_rows(HEAD, anchor[heads][goes], key[heads][goes], has[1:][goes], place[heads][goes])
+                hot = number == MOST_HEADS
+                if hot.any():
+                    yield head_rows(HOT, anchor[heads][hot], key[heads][hot], has[1:][hot], place[heads][hot])
+                z = heads[-1]
+                last = {"anchor": anchor[z], "key": key[z], "place": place[z : z + 1].copy(), "copies": bool(has[-1]), "alone": bool(alone[z]), "first": bool(first[-1]), "number": int(number[-1])}
+            if last and (last["copies"] or not last["first"] or not last["alone"]):
+                yield head_rows(HEAD, *(np.array([last[k]]) for k in ("anchor", "key", "copies")), last["place"])
+
+        # Copies go by their documents: they aren't grouped.
+        dealt = runs.repartition(F.when(F.col("kind") == RUN, F.col("anchor")).otherwise(F.xxhash64("doc", "tag", "start")))
+        return dealt.sortWithinPartitions("kind", "anchor", "key", "doc", "tag", "start").mapInArrow(stream, RUN_SCHEMA)
+
+    # Step 3
 
     def texts(self, heads: DataFrame, dealt_docs: DataFrame) -> DataFrame:
-        """anchor, doc, tag, start, starts and the text (bytes of its units) of each head."""
-        length, unit, units_of = self.length, self.unit_bytes, self.units_of
+        """Each head with its text (bytes of its units)."""
+        length, unit, raw_of = self.length, self.unit_bytes, self.raw_of
 
         def fetch(batches):
             for batch in batches:
-                columns: list[list] = [[], [], [], [], [], []]
-                for doc, value, runs in zip(batch["doc"].to_pylist(), batch["text"].cast(pa.binary()), batch["runs"].to_pylist()):
-                    text = value.as_py()
-                    tag = tag_of(text)
-                    runs = [r for r in runs if r["tag"] == tag]
-                    if not runs:
-                        continue
-                    raw = units_of(text)[1]
+                columns: list[list] = [[] for _ in range(8)]
+                for doc, tag, value, runs in zip(batch["doc"].to_pylist(), batch["tag"].to_pylist(), batch["text"].cast(pa.binary()), batch["runs"].to_pylist()):
+                    raw = raw_of(value.as_py())
                     for r in runs:
                         held = raw[r["start"] * unit : (r["start"] + r["starts"] + length - 1) * unit]
-                        for column, x in zip(columns, (r["anchor"], doc, tag, r["start"], r["starts"], held)):
+                        for column, x in zip(columns, (r["anchor"], r["key"], r["copies"], doc, tag, r["start"], r["starts"], held)):
                             column.append(x)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))],
-                    ["anchor", "doc", "tag", "start", "starts", "units"],
-                )
+                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["anchor", "key", "copies", "doc", "tag", "start", "starts", "units"])
 
-        by_doc = heads.groupBy("doc").agg(F.collect_list(F.struct("anchor", "tag", "start", "starts")).alias("runs"))
-        joined = dealt_docs.join(by_doc, "doc").select("doc", "text", "runs")
-        return joined.mapInArrow(fetch, "anchor long, doc long, tag int, start int, starts int, units binary")
+        by_doc = heads.groupBy("doc", "tag").agg(F.collect_list(F.struct("anchor", "key", "copies", "start", "starts")).alias("runs"))
+        return dealt_docs.join(by_doc, ["doc", "tag"]).select("doc", "tag", "text", "runs").mapInArrow(fetch, TEXT_SCHEMA)
 
     def compare(self, texts: DataFrame) -> DataFrame:
-        """Ranges of starts, of heads, that stand earlier too; texts under one anchor meet in one task."""
-        judge, length, unit = self.judge, self.length, self.unit_bytes
-
-        def ranges(rows: list[dict]) -> pa.RecordBatch:
-            places = {k: np.array([r[k] for r in rows], np.int64) for k in ("doc", "tag", "start", "starts")}
-            starts = places["starts"]
-            flags = judge([r["units"] for r in rows], starts, places)
+        """Ranges of starts of heads that stand earlier too, and rows ``confirmed`` of the texts that have copies."""
+        judge, unit = self.judge, self.unit_bytes
+
+        def judged(rows: list[dict]) -> pa.RecordBatch:
+            held = {k: np.array([r[k] for r in rows], np.int64) for k in ("anchor", "key", "doc", "tag", "start", "starts")}
+            copies = np.array([r["copies"] for r in rows])
+            starts = held["starts"]
+            flags, seen = judge([r["units"] for r in rows], starts, held)
             owner = np.repeat(np.arange(len(rows)), starts)
             inner = np.arange(len(owner)) - np.repeat(np.cumsum(starts) - starts, starts)
             hit = np.flatnonzero(flags)
             begins = np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (owner[hit[1:]] != owner[hit[:-1]])])[: len(hit)]
             first = hit[begins]
             sizes = np.diff(np.append(np.flatnonzero(begins), len(hit)))
-            at = owner[first]
+            # A text is confirmed if the method has met each of its strings.
+            whole = np.flatnonzero(copies & (np.bincount(owner, weights=seen, minlength=len(rows)) == starts))
+            at = np.concatenate([owner[first], whole])
+            shift = np.concatenate([inner[first], np.zeros(len(whole), np.int64)])
+            n = np.concatenate([sizes, starts[whole]])
+            confirmed = np.arange(len(at)) >= len(first)
             return pa.RecordBatch.from_arrays(
-                [pa.array(places["doc"][at]), pa.array(places["tag"][at].astype(np.int32)), pa.array((places["start"][at] + inner[first]).astype(np.int32)), pa.array(sizes.astype(np.int32))],
-                ["doc", "tag", "start", "starts"],
+                [pa.array(confirmed), *(pa.array(held[k][at]) for k in ("anchor", "key", "doc", "tag")), pa.array((held["start"][at] + shift).astype(np.int32)), pa.array(n.astype(np.int32))],
+                ["confirmed", "anchor", "key", "doc", "tag", "start", "starts"],
             )
 
         def run(batches):
@@ -274,59 +300,50 @@ class Repeats:
                         in_block += sum(len(r["units"]) // unit for r in group)
                         group = []
                         if in_block >= BLOCK_UNITS:
-                            yield ranges(block)
+                            yield judged(block)
                             block, in_block = [], 0
                     group.append(row)
             if block + group:
-                yield ranges(block + group)
+                yield judged(block + group)
 
-        return texts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, RANGE_SCHEMA)
+        return texts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, JUDGED_SCHEMA)
 
-    def compare_singly(self, texts: DataFrame) -> DataFrame:
-        """The same by single strings: for anchors with more texts than one task should hold."""
-        length, unit = self.length, self.unit_bytes
+    # All steps
 
-        def split(batches):
-            import xxhash
-
-            for batch in batches:
-                columns: list[list] = [[], [], [], [], []]
-                for row in batch.to_pylist():
-                    for k in range(row["starts"]):
-                        high, low = np.frombuffer(xxhash.xxh3_128_digest(row["units"][k * unit : (k + length) * unit]), np.int64).tolist()
-                        for column, x in zip(columns, (high, low, row["doc"], row["tag"], row["start"] + k)):
-                            column.append(x)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))],
-                    ["high", "low", "doc", "tag", "start"],
-                )
-
-        strings = texts.mapInArrow(split, "high long, low long, doc long, tag int, start int")
-        earliest = strings.groupBy("high", "low").agg(F.min(F.struct("doc", "tag", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-        again = strings.join(earliest, ["high", "low"]).filter(F.struct("doc", "tag", "start") > F.col("first"))
-        return again.select("doc", "tag", "start", F.lit(1).alias("starts"))
-
-    def repeated(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(documents dealt out by doc with their text, ranges of repeated starts as doc and a list ``repeats``)."""
-        whole = keyed(docs)
-        found = materialize(self.group(self.scan(whole)))
-        dealt = whole.repartition("doc")
+    def _judged(self, runs: DataFrame, dealt: DataFrame, level: int) -> DataFrame:
+        """Ranges of repeated starts (doc, tag, start, starts) among ``runs``, under anchors from grams of a level."""
+        found = materialize(self.group(runs))
         heads = found.filter(F.col("kind") == HEAD)
+        copies = found.filter(F.col("kind") == COPY).select("anchor", "key", "doc", "tag", "start", "starts")
         hot = found.filter(F.col("kind") == HOT).select("anchor").distinct()
-        if hot.count() <= MOST_BROADCAST:
-            hot = F.broadcast(hot)
-        usual = self.compare(self.texts(heads.join(hot, "anchor", "left_anti"), dealt))
-        singly = self.compare_singly(self.texts(heads.join(hot, "anchor", "left_semi"), dealt))
-        ranges = found.filter(F.col("kind") == REPEAT).select("doc", "tag", "start", "starts").unionByName(usual).unionByName(singly)
-        by_doc = ranges.groupBy("doc").agg(F.collect_list(F.struct("tag", "start", "starts")).alias("repeats"))
-        return dealt, by_doc
+        n_hot = hot.count() if level + 1 < len(self.grams) else 0
+        if not n_hot:
+            judged = materialize(self.compare(self.texts(heads, dealt)))
+            confirmed, out = judged.filter("confirmed").select("anchor", "key"), judged.filter("NOT confirmed")
+        else:
+            hot = F.broadcast(hot) if n_hot <= MOST_BROADCAST else hot
+            judged = materialize(self.compare(self.texts(heads.join(hot, "anchor", "left_anti"), dealt)))
+            deeper = self.texts(heads.join(hot, "anchor", "left_semi"), dealt)
+            again = self._judged(self.scan_again(deeper, self.grams[level + 1]), dealt, level + 1)
+            # A text with copies has all its strings met one level deeper, where it keeps that mark.
+            confirmed = judged.filter("confirmed").select("anchor", "key").unionByName(heads.join(hot, "anchor", "left_semi").filter("copies").select("anchor", "key"))
+            out = judged.filter("NOT confirmed").select("doc", "tag", "start", "starts").unionByName(again)
+        columns = ["doc", "tag", "start", "starts"]
+        return out.select(*columns).unionByName(copies.join(confirmed.distinct(), ["anchor", "key"]).select(*columns))
+
+    def repeated(self, docs: DataFrame) -> DataFrame:
+        """doc, text and ``repeats`` (a list of ranges of repeated starts, or null) of each row of ``docs``."""
+        whole = keyed(docs)
+        dealt = whole.repartition("doc", "tag")
+        ranges = self._judged(self.scan(whole), dealt, 0)
+        by_doc = ranges.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "starts")).alias("repeats"))
+        return dealt.join(by_doc, ["doc", "tag"], "left").select("doc", "text", "repeats")
 
 
-def covered(n: int, repeats: list[dict] | None, tag: int, length: int) -> np.ndarray:
+def covered(n: int, repeats: list[dict], length: int) -> np.ndarray:
     """Flags of the ``n`` units that strings of ``length`` at the repeated starts cover."""
     steps = np.zeros(n + 1, np.int32)
-    for r in repeats or ():
-        if r["tag"] == tag:
-            steps[r["start"]] += 1
-            steps[min(n, r["start"] + r["starts"] - 1 + length)] -= 1
+    for r in repeats:
+        steps[r["start"]] += 1
+        steps[min(n, r["start"] + r["starts"] - 1 + length)] -= 1
     return np.cumsum(steps)[:n] > 0

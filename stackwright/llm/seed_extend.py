@@ -5,10 +5,11 @@ earlier in the same document). Seeds are winnowed anchors, the least hashes of 8
 are joined on them (see ``repeats``). Under a shared anchor each text pairs with the earliest text that holds one of its
 windows; the match is extended left and right from the window word by word, and its maximal repeats of WINDOW words or
 more are kept. A text has at most as many partners as starts, so nothing grows with the square of an anchor's texts.
+Equal texts under an anchor are one text with several places: a match with a copy extends over all of it.
 
 Words are maximal runs without ASCII white space, unchanged, and compared by 64-bit hashes. Null text has no words; a
 null doc_id sorts first; rows that share a doc_id but not a text are documents of their own, equal rows are one
-document. Empty table: no rows.
+document. Texts of fewer than WINDOW words stay as they are; there is no upper bound. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -20,23 +21,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .minhash_join import word_hashes
-from .repeats import NO_ID, Repeats, covered, tag_of
+from .repeats import NO_ID, Repeats, covered
 
 WINDOW = 20
-#: Anchors are hashes of 2 ** LOG_GRAM words.
-LOG_GRAM = 3
+#: Anchors are hashes of so many words.
+GRAM = 8
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
-def word_units(text: bytes) -> tuple[np.ndarray, bytes]:
+def word_raw(text: bytes) -> bytes:
     """Hashes of the words; bytes.split() splits at exactly the white space that ends words here."""
-    units = word_hashes(text.split())
-    return units, units.tobytes()
+    return word_hashes(text.split()).tobytes()
 
 
-def later_windows(texts: list[bytes], starts: np.ndarray, places: dict[str, np.ndarray], window: int = WINDOW) -> np.ndarray:
-    """For each start of each text (word hashes) in turn: whether a maximal repeat with an earlier place covers it."""
+def word_units(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint64)
+
+
+def later_windows(texts: list[bytes], starts: np.ndarray, places: dict[str, np.ndarray], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """For each start of each text (word hashes) in turn: whether a maximal repeat with an earlier place covers it, and
+    whether it was seeded: its window is one whose copies, in texts equal to this one, extend over the whole text."""
     sizes = np.array([len(t) // 8 for t in texts])
     words = np.frombuffer(b"".join(texts), np.uint64)
     begin = np.cumsum(sizes) - sizes
@@ -80,23 +85,21 @@ def later_windows(texts: list[bytes], starts: np.ndarray, places: dict[str, np.n
     low, high = base + mine - left, base + mine + right - window + 1
     np.add.at(steps, low[maximal], 1)
     np.add.at(steps, high[maximal], -1)
-    return np.cumsum(steps)[:-1] > 0
+    return np.cumsum(steps)[:-1] > 0, partner >= 0
 
 
 def removed_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and ``kept`` (string: the words that stay) of each document."""
-    finder = Repeats(window, LOG_GRAM, 8, word_units, lambda texts, starts, places: later_windows(texts, starts, places, window))
-    dealt, repeats = finder.repeated(docs)
+    finder = Repeats(window, GRAM, 8, word_raw, word_units, lambda texts, starts, places: later_windows(texts, starts, places, window))
 
     def cut(batches):
         for batch in batches:
             rows = []
             for doc, value, found in zip(batch["doc"].to_pylist(), batch["text"].cast(pa.binary()), batch["repeats"].to_pylist()):
-                text = value.as_py()
-                words = text.split()
+                words = value.as_py().split()
                 removed = 0
                 if found:
-                    gone = covered(len(words), found, tag_of(text), window)
+                    gone = covered(len(words), found, window)
                     removed = int(gone.sum())
                 kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if removed else words)
                 rows.append((None if doc == NO_ID else doc, len(words), removed, hashlib.sha256(kept).hexdigest(), kept.decode()))
@@ -105,5 +108,4 @@ def removed_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
             )
 
-    joined = dealt.join(repeats, "doc", "left").select("doc", "text", "repeats")
-    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return finder.repeated(docs).mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")

@@ -10,9 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from stackwright.llm import (
-    bwt_repeats, hierarchical_language, line_quality, minhash_join, mixing, mph_dedup, packing, pu_toxicity, repeats, revisit, seed_extend,
+    bwt_repeats, hierarchical_language, line_quality, minhash_join, mixing, mph_dedup, pu_toxicity, repeats, revisit, seed_extend,
 )
 
 DATA = "/root/testdata/sf0.001"
@@ -44,8 +43,9 @@ def labels(spark):
     return spark.createDataFrame([(i, i % 2, int(i % 4 == 1)) for i in range(20)] + [(None, None, None), (3, 1, None)], "doc_id long, quality int, toxic int")
 
 
-def brute_repeats(rows, length, by_word):
-    key = lambda r: (-(2**63) if r[0] is None else r[0], repeats.tag_of((r[1] or "").encode()))
+def brute_repeats(rows, tags, length, by_word):
+    """tags: Spark's hash of each text, which orders texts that share a doc_id or have none."""
+    key = lambda r: (-(2**63) if r[0] is None else r[0], tags[r[1] or ""])
     seen, done, out = set(), {}, Counter()
     for row in sorted(rows, key=key):
         text = (row[1] or "").encode()
@@ -57,18 +57,44 @@ def brute_repeats(rows, length, by_word):
                 gone[i : i + length] |= s in seen
                 seen.add(s)
             stay = [u for u, g in zip(units, gone) if not g]
-            done[key(row)] = (row[0], len(units), int(gone.sum()), hashlib.sha256(b" ".join(stay) if by_word else bytes(stay)).hexdigest())
+            spans = () if by_word else (int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()),)
+            done[key(row)] = (row[0], len(units), int(gone.sum()), *spans, hashlib.sha256(b" ".join(stay) if by_word else bytes(stay)).hexdigest())
         out[done[key(row)]] += 1
     return out
 
 
-@pytest.mark.parametrize("most_heads", [2048, 4])
+def check_repeats(docs, rows):
+    tags = {r.text: r.tag for r in repeats.keyed(docs).collect()}
+    found = bwt_repeats.removed_repeats(docs).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == brute_repeats(rows, tags, 100, False)
+    found = seed_extend.removed_repeats(docs).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found) == brute_repeats(rows, tags, 20, True)
+
+
+@pytest.mark.parametrize("most_heads", [2048, 4, 1])
 def test_repeats_equal_brute_force(edge, monkeypatch, most_heads):
+    """Also where anchors go one or two levels deeper."""
     monkeypatch.setattr(repeats, "MOST_HEADS", most_heads)
-    found = bwt_repeats.removed_repeats(edge).collect()
-    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in found) == brute_repeats(edge_rows(), 100, False)
-    found = seed_extend.removed_repeats(edge).collect()
-    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found) == brute_repeats(edge_rows(), 20, True)
+    check_repeats(edge, edge_rows())
+
+
+def test_repeats_of_a_hot_passage_and_null_ids(spark, monkeypatch):
+    """A passage in most texts, its neighbourhood differing, over several batches and partitions; many null doc_ids."""
+    monkeypatch.setattr(repeats, "MOST_HEADS", 8)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(6))
+    passage = [word() for _ in range(40)]
+    rows = []
+    for i in range(120):
+        cut = rng.randrange(15)
+        text = " ".join([word() for _ in range(rng.randrange(40))] + passage[cut : 40 - rng.randrange(10)] + [word() for _ in range(rng.randrange(30))])
+        rows.append((i if i % 3 else None, text if i % 10 else rows[i // 2][1] if i else text))
+    check_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), rows)
+
+
+def test_repeats_of_a_table(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    check_repeats(docs, [(r.doc_id, r.text) for r in docs.collect()])
 
 
 def test_intervals_of_small_texts():
@@ -81,7 +107,7 @@ def test_intervals_of_small_texts():
         held = [((places["doc"][k], k, i), t[i : i + 5]) for k, t in enumerate(texts) for i in range(starts[k])]
         for place, s in held:
             first[s] = min(first.get(s, place), place)
-        assert list(bwt_repeats.later_starts(texts, starts, places, 5)) == [first[s] != place for place, s in held]
+        assert list(bwt_repeats.later_starts(texts, starts, places, 5)[0]) == [first[s] != place for place, s in held]
 
 
 def test_language_held_out(spark):
@@ -139,27 +165,3 @@ OPERATORS = {
 def test_edge_rows_and_empty_tables(edge, nothing, labels, name):
     assert OPERATORS[name](nothing, labels).count() == 0
     assert Counter(r.doc_id for r in OPERATORS[name](edge, labels).collect()) == Counter(r[0] for r in edge_rows())
-
-
-def test_packing(edge, nothing):
-    assert packing.pack_best_fit(nothing).count() == 0
-    found = packing.pack_best_fit(edge).collect()
-    by_sequence: dict = {}
-    for r in found:
-        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
-    for held in by_sequence.values():
-        end = 0
-        for offset, length in sorted(held):
-            assert offset == end
-            end += length
-        assert end <= 2048
-    total = sum(len(packing._encoders()[0].encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in edge_rows())
-    assert sum(r.length for r in found) == total
-
-
-def test_pipeline_stages(spark, edge, nothing):
-    for docs in (nothing, edge):
-        for _, stage in corpus_pipeline.STAGES[:-1]:
-            docs = stage(spark, docs, DATA)
-            assert docs.columns == edge.columns
-        assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() >= 0
