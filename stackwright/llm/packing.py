@@ -11,13 +11,17 @@ Scale: only the histogram comes to the driver, and the plan (a few thousand patt
 the sequence length, not by the data. Ranks within a length are taken in two levels (within hash buckets, then over
 bucket totals), so a length that a third of all pieces share isn't one task's work.
 
-Null text counts as empty and yields the end id alone. Rows that repeat a doc_id are packed each on its own.
+Null text counts as empty and yields the end id alone. Rows that repeat a doc_id, or have none, are packed each on its
+own. Texts of any length are encoded whole; a text longer than a sequence is cut at the sequence's length from its end
+on. Pieces of a length are alike to the plan: which of them goes where follows from hashes of their rows. An empty table
+gives no pieces.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
 import zlib
 from collections import defaultdict
 from functools import lru_cache
@@ -35,50 +39,77 @@ END_ID = 0
 VOCABULARY = "byte_bpe_50k"
 BUCKET_ROWS = 1 << 14
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, bucket_key long"
-#: Texts of these characters alone are encoded by tiktoken, from the same vocabulary and several times faster; the
-#: ids are the same. Any other text goes through the tokenizers library.
-PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡«»¿-ſ]*")
+#: Words whose ids a Python worker remembers.
+MOST_WORDS = 1 << 19
+#: Fixed value: the tokenizer's own rule for cutting texts into words, within which it merges bytes.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPECIAL = "<|endoftext|>"
 
 
-def _vocabulary(suffix: str, folder: str | None) -> str:
-    if folder:
-        return f"{folder.rstrip('/')}/{VOCABULARY}{suffix}"
-    import public_tokenizers
-
-    return public_tokenizers.path(VOCABULARY + suffix)
+def _unsettled() -> re.Pattern:
+    """Matches characters that Unicode versions may class differently: all but those of version 3.2 that kept their class."""
+    settled, start = [], None
+    for code in range(0x10001):
+        c = chr(code)
+        now, then = unicodedata.category(c), unicodedata.ucd_3_2_0.category(c)
+        fine = code < 0x10000 and now[0] == then[0] and now not in ("Cn", "Cs", "Co") and not 0xD800 <= code < 0xE000
+        if fine and start is None:
+            start = code
+        elif not fine and start is not None:
+            settled.append(f"\\u{start:04x}-\\u{code - 1:04x}")
+            start = None
+    return re.compile(f"[^{''.join(settled)}]")
+
+
+class Encoder:
+    """Token ids by the tokenizers library. A word's ids don't depend on its neighbours, so each word is encoded once."""
+
+    def __init__(self, folder: str | None = None):
+        import regex
+        from tokenizers import Tokenizer
+
+        if folder:
+            path = f"{folder.rstrip('/')}/{VOCABULARY}.json"
+        else:
+            import public_tokenizers
+
+            path = public_tokenizers.path(f"{VOCABULARY}.json")
+        self.tokenizer, self.words, self.unsettled = Tokenizer.from_file(path), regex.compile(WORDS), _unsettled()
+        self.held: dict[str, list[int]] = {}
+
+    def whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def __call__(self, text: str) -> np.ndarray:
+        """Ids of the whole text, no special tokens added; where words may be cut otherwise, the text is encoded as one."""
+        if SPECIAL in text or self.unsettled.search(text):
+            return np.array(self.whole(text), "<u4")
+        ids: list[int] = []
+        for word in self.words.findall(text):
+            found = self.held.get(word)
+            if found is None:
+                if len(self.held) >= MOST_WORDS:
+                    self.held.clear()
+                found = self.held[word] = self.whole(word)
+            ids += found
+        return np.array(ids, "<u4")
 
 
 @lru_cache(maxsize=2)
-def _encoders(folder: str | None = None):
-    """The tokenizers tokenizer and its tiktoken twin, once for each Python worker."""
-    import base64
-
-    import public_tokenizers
-    import tiktoken
-    from tokenizers import Tokenizer
-
-    with open(_vocabulary(".tiktoken", folder), "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return Tokenizer.from_file(_vocabulary(".json", folder)), tiktoken.Encoding(VOCABULARY, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
-def encode(text: str, folder: str | None = None) -> np.ndarray:
-    """Token ids of the whole text, without special tokens added."""
-    whole, plain = _encoders(folder)
-    if PLAIN.fullmatch(text) and SPECIAL not in text:
-        return np.array(plain.encode_ordinary(text), "<u4")
-    return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4")
+def encoder(folder: str | None = None) -> Encoder:
+    """One for each Python worker."""
+    return Encoder(folder)
 
 
 def token_pieces(docs: DataFrame, sequence_tokens: int = SEQUENCE_TOKENS, folder: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece, with a hash of the row for ranking."""
 
     def cut(batches):
+        encode = encoder(folder)
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             for doc_id, key, text in zip(batch["doc_id"].to_pylist(), batch["bucket_key"].to_pylist(), batch["text"]):
-                ids = np.append(encode(text.as_py(), folder), np.uint32(END_ID)).astype("<u4")
+                ids = np.append(encode(text.as_py()), np.uint32(END_ID)).astype("<u4")
                 first = len(ids) % sequence_tokens or sequence_tokens
                 ends = range(first, len(ids) + 1, sequence_tokens)
                 for k, end in enumerate(ends):
@@ -201,8 +232,9 @@ def pack_best_fit(docs: DataFrame, sequence_tokens: int = SEQUENCE_TOKENS, folde
     for row in counted:
         histogram[row["length"]] = row["n"]
     places = spark.sparkContext.broadcast(plan_places(plan_patterns(histogram)))
-    buckets = max(1, math.ceil(int(histogram.sum()) / BUCKET_ROWS))
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("bucket_key", "piece"), F.lit(buckets)))
+    # A length has buckets by its own number of pieces; at most a row for each length.
+    buckets = spark.createDataFrame([(r["length"], max(1, math.ceil(r["n"] / BUCKET_ROWS))) for r in counted], "length long, buckets long")
+    dealt = pieces.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64("bucket_key", "piece"), F.col("buckets"))).drop("buckets")
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     inner = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "bucket_key")
