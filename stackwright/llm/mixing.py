@@ -7,26 +7,28 @@ The schedule is a sequence of slots of ``block_words`` words. Slot n draws the g
 falls in one source's share of the cumulative targets; the r-th slot of a source takes the r-th block of that source's
 shuffled word stream, starting over at its end. The stream is the source's documents in the order of a hash, cut into
 blocks of equal words (the last one shorter). A source's last slot stops at the word where its target is reached, and
-later slots of that source are void; slots that it
-still lacks when the schedule ends (a few) close it. So each source gets its target to the word. Since targets are at most MAX_EPOCHS
-streams, no document is taken more than MAX_EPOCHS times.
+later slots of that source are void; slots that it still lacks when the schedule ends (a few) close it. So each source
+gets its target to the word. Since targets are at most MAX_EPOCHS streams, no document is taken more than MAX_EPOCHS
+times.
 
-Scale: slots are ranked and words summed in two levels (within buckets of bounded size, then over bucket totals), so a
-source that holds a third of all rows isn't one task's work. The tables per source, per bucket and per cell of the
+Scale: slots are ranked and words summed in two levels (within buckets of bounded size, then over bucket totals, a row
+for thousands of documents), so a source that holds a third of all rows isn't one task's work. The tables per source, per bucket and per cell of the
 cumulative weights are far smaller than the documents. Slots meet sources by a cell of the unit interval, blocks meet
 documents by (source, block).
 
-Null and empty texts have size 0 and are taken 0 times. An empty table, or one without words, gives no slots.
+Null and empty texts have size 0 and are taken 0 times. An empty table, or one without words, gives no slots. A long
+text spans as many blocks as it has words for. Documents with equal hashes go by doc_id; a null doc_id or source is a
+value like any other. Further columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE_SPACE, materialize, text_or_empty, unused
+from .common import WHITE_SPACE, materialize, ranged, running, text_or_empty, unused
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -47,33 +49,38 @@ def sizes(docs: DataFrame) -> DataFrame:
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """source_no, source, source_size, target, lower and upper: the share of the cumulative targets.
 
-    The window over all sources sees one row for each source (hosts or feeds, not documents). Water filling needs a
-    pass for each time that further sources reach their limit; only sums come to the driver.
+    Water filling: sources reach their limits in the order of limit over weight. At the k-th of them the filled words are
+    the limits up to it and its level for all weight behind it; the last level not above the total is where to go on
+    from. Sources are numbered and summed within ranges, then over the ranges' totals: none of it is one task's work.
     """
-    spark = sized.sparkSession
-    by_code_point = Window.orderBy(F.col("source").asc_nulls_last())
+    sources = ranged(sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("_null", F.col("source").isNull()), "_null", "source")
+    sources = running(sources, ["_null", "source"], source_no=F.lit(1)).withColumn("source_no", F.col("source_no").cast("long") - 1).drop("_part", "_null")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("source_no") % len(weights) + 1).cast("int"))
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    sources = materialize(sources.withColumn("source_no", F.row_number().over(by_code_point).cast("long") - 1).withColumn("weight", weight))
-    limit = max_epochs * F.col("source_size")
-    total = sources.agg(F.sum("source_size")).first()[0] or 0
-    level = 0.0  # words for each unit of weight
-    while total:
-        full = F.col("weight") * F.lit(level) >= limit
-        at_limit, open_weight = sources.agg(F.sum(F.when(full, limit)), F.sum(F.when(~full, F.col("weight")))).first()
-        if open_weight is None:
-            break
-        raised = (total - (at_limit or 0)) / open_weight
-        if raised <= level:
-            break
-        level = raised
-    target = F.least(F.col("weight") * F.lit(level), limit.cast("double"))
-    running = F.sum("target").over(Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, 0))
-    all_targets = F.sum("target").over(Window.partitionBy())
-    shares = sources.withColumn("target", target).withColumn("upper", running / all_targets)
-    lower = F.coalesce(F.lag("upper").over(Window.orderBy("source_no")), F.lit(0.0))
-    last = F.lead("source_no").over(Window.orderBy("source_no")).isNull()
-    return materialize(shares.withColumn("lower", lower).withColumn("upper", F.when(last, 1.0).otherwise(F.col("upper"))).drop("weight"))
+    limit = F.lit(max_epochs) * F.col("source_size")
+    sources = sources.withColumn("weight", weight).withColumn("full_at", limit / F.col("weight"))
+    filling = ranged(sources, "full_at", "source_no")
+    total, all_weight = filling.agg(F.sum("source_size"), F.sum("weight")).first()
+    total = total or 0
+    filling = running(filling, ["full_at", "source_no"], limits=limit, weights=F.col("weight"))
+    filled = F.col("limits") + (F.lit(all_weight or 0.0) - F.col("weights")) * F.col("full_at")
+    reached = filling.filter(filled <= total).agg(F.max(F.struct("full_at", "source_no", "limits", "weights")).alias("r")).select("r.*").first()
+    limits, behind = (reached["limits"] or 0, all_weight - (reached["weights"] or 0.0)) if all_weight else (0, 0.0)
+    level = (total - limits) / behind if behind > 1e-9 else (reached["full_at"] if all_weight else 0.0)  # words for each unit of weight
+    target = F.least(F.col("weight") * F.lit(float(level)), limit.cast("double"))
+    shares = ranged(sources.withColumn("target", target).drop("full_at", "weight"), "source_no")
+    all_targets = shares.agg(F.sum("target"), F.max("source_no")).first()
+    shares = running(shares, ["source_no"], reached=F.col("target"))
+    of_all = lambda x: x / F.lit(float(all_targets[0] or 1.0))
+    lower = F.when(F.col("source_no") == 0, 0.0).otherwise(of_all(F.col("reached") - F.col("target")))
+    upper = F.when(F.col("source_no") == F.lit(all_targets[1]), 1.0).otherwise(of_all(F.col("reached")))
+    return materialize(shares.select("source_no", "source", "source_size", "target", lower.alias("lower"), upper.alias("upper")))
+
+
+def golden_points(ids: Column) -> Column:
+    """frac(id * phi), to 9 places up to 10 ** 13: the high and the low part of the id are multiplied apart."""
+    high, low = F.floor(ids / (1 << 20)), ids % (1 << 20)
+    part = high * F.lit((GOLDEN * (1 << 20)) % 1.0) + low * F.lit(GOLDEN)
+    return part - F.floor(part)
 
 
 def block_takes(spark, targets: DataFrame, total: int, n_sources: int, block_words: int) -> DataFrame:
@@ -87,7 +94,7 @@ def block_takes(spark, targets: DataFrame, total: int, n_sources: int, block_wor
         "source_no", "source_size", "target", "lower", "upper",
         F.explode(F.sequence(F.floor(F.col("lower") * CELLS), F.least(F.floor(F.col("upper") * CELLS), F.lit(CELLS - 1)))).alias("cell"),
     )
-    points = spark.range(slots).select("id", (F.col("id") * F.lit(GOLDEN) - F.floor(F.col("id") * F.lit(GOLDEN))).alias("u"))
+    points = spark.range(slots).select("id", golden_points(F.col("id")).alias("u"))
     drawn = points.withColumn("cell", F.floor(F.col("u") * CELLS)).join(cells, "cell").filter("u >= lower AND u < upper")
     drawn = drawn.select("id", F.floor(F.col("id") / BUCKET_ROWS).alias("bucket"), "source_no", "source_size", "target")
     before = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
