@@ -1,18 +1,21 @@
 """Quality rules from cross-document line frequency (DataFrame functions only).
 
 Lines are normalised (white space runs to one space, trimmed, lower case) and hashed to 64 bits. For each host the
-number of distinct documents that hold a line is counted; a line held by more than ``max_doc_fraction`` of its host's
-distinct documents, and by at least ``min_documents``, is boilerplate. Documents are rejected if a base rule fails or
+number of distinct documents that hold a line is counted; a line is above its limit, and so boilerplate, if more than
+``max_doc_fraction`` of its host's distinct documents hold it and ``min_documents`` at least (in a host of three texts,
+every line stands in a third of them). Documents are rejected if a base rule fails or
 if they are depleted: boilerplate holds more than ``max_removed_fraction`` of their words.
 
 line_quality() returns the decisions; kept_texts() returns the kept documents without their boilerplate lines, and can
 also count a line as boilerplate that more than ``max_line_documents`` distinct texts of the whole corpus hold: one that
 stands a little below the fraction in each of many hosts.
 
-Documents with the same text count once, so that a group of exact copies (which exact deduplication reduces to one)
+Documents are distinct if their texts are: those with the same text count once, so that a group of exact copies (which exact deduplication reduces to one)
 doesn't make its own lines look like boilerplate. Counting is a partial aggregation before the shuffle, so a line that
 a third of all documents share costs one row per task; lines are looked up again by an equi-join that adaptive
-execution can split. Null text counts as empty, null host is a host of its own; an empty table gives an empty result.
+execution can split. Whole texts are parsed once, into a narrow written table that all counts come from. Null text counts
+as empty, null host is a host of its own, a line's repeats in one document count once; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -77,50 +80,75 @@ def line_words(line: Column) -> Column:
     return (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
-def base_features(docs: DataFrame) -> DataFrame:
-    """doc_id, host, text_hash, lines (normalised, with words) and the base features of each document."""
+def text_features(text: Column) -> Column:
+    """struct(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lines): the features of a text.
+
+    lines: (hash, words) of its normalised lines, in order; those without words are left out.
+    """
     of_words = let(
-        words_of(F.col("_text")),
+        words_of(text),
         lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), repeat_words(w).alias("repeats")),
     )
-    of_lines = let(
-        F.filter(F.split("_text", "\n"), has_words),
-        lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-    )
-    raw_lines = F.filter(F.split("_text", "\n"), has_words)
-    symbols = F.length(F.regexp_replace("_text", r"[^#*$%&|<>]+", ""))
-    one = docs.select("doc_id", F.col("source").alias("host"), text_or_empty().alias("_text"))
-    one = one.select(
-        "doc_id", "host",
-        of_words.alias("_words"),
-        of_lines.alias("n_dup_lines"),
-        F.transform(raw_lines, normal_line).alias("lines"),
-        symbols.cast("long").alias("n_symbols"),
-        F.xxhash64("_text").alias("text_hash"),
-    )
-    return one.select(
-        "doc_id", "host", "text_hash", "lines", F.col("_words.n").alias("n_words"), F.col("_words.chars").alias("word_chars"),
-        "n_symbols", "n_dup_lines", F.col("_words.repeats").alias("n_repeat_words"),
-    )
 
+    def of_lines(lines: Column) -> Column:
+        hashed = F.transform(lines, lambda x: let(normal_line(x), lambda n: F.struct(F.xxhash64(n).alias("hash"), line_words(n).alias("words"))))
+        return F.struct((F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("dup"), hashed.alias("hashed"))
+
+    lines = let(F.filter(F.split(text, "\n"), has_words), of_lines)
+    symbols = F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long")
+    whole = F.struct(of_words.alias("w"), lines.alias("l"), symbols.alias("s"))
+    return let(whole, lambda x: F.struct(
+        x["w"]["n"].alias("n_words"), x["w"]["chars"].alias("word_chars"), x["s"].alias("n_symbols"),
+        x["l"]["dup"].alias("n_dup_lines"), x["w"]["repeats"].alias("n_repeat_words"), x["l"]["hashed"].alias("lines"),
+    ))
 
-def common_lines(lines: DataFrame, docs: DataFrame, max_doc_fraction: float, min_documents: int) -> DataFrame:
-    """_host and _line_hash of the lines (host, text_hash, line_hash) in too many of their host's distinct texts."""
-    # Hosts are few next to lines, but may be many: joined by key, broadcast only if Spark's size check allows.
-    hosts = docs.select(F.col("source").alias("host"), F.xxhash64(text_or_empty()).alias("text_hash")).distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    counted = lines.select("host", "line_hash", "text_hash").distinct().groupBy("host", "line_hash").agg(F.count("*").alias("line_docs"))
-    return (
+
+def narrow_table(docs: DataFrame) -> DataFrame:
+    """doc_id, host, text_hash and the features of each row, written once: whole texts are read and parsed in one scan."""
+    text = text_or_empty()
+    one = docs.select("doc_id", F.col("source").alias("host"), F.xxhash64(text).alias("text_hash"), text_features(text).alias("f"))
+    return materialize(one.select("doc_id", "host", "text_hash", "f.*"))
+
+
+def lines_above_limits(features: DataFrame, max_doc_fraction: float, min_documents: int, max_line_documents: int | None = None) -> DataFrame:
+    """_host and _line_hash of the lines of narrow_table() that too many documents hold.
+
+    A line's limit is the larger of ``max_doc_fraction`` of its host's documents and one below ``min_documents``. With
+    ``max_line_documents``, lines that more documents of the whole corpus hold are above limits in every host.
+    """
+    # Equal texts of a host are one document; hosts are few next to lines, but may be many, so they are joined by key.
+    hosts = features.select("host", "text_hash").distinct().groupBy(F.col("host").alias("_host")).agg(F.count("*").alias("host_docs"))
+    held = features.select("host", "text_hash", F.explode(F.array_distinct(F.transform("lines", lambda x: x["hash"]))).alias("line_hash")).distinct()
+    counted = held.groupBy("host", "line_hash").agg(F.count("*").alias("line_docs"))
+    limit = F.greatest(F.lit(float(min_documents - 1)), F.col("host_docs") * F.lit(max_doc_fraction))
+    found = (
         counted.filter(F.col("line_docs") >= min_documents)
-        .join(hosts.withColumnRenamed("host", "_host"), F.col("host").eqNullSafe(F.col("_host")))
-        .filter(F.col("line_docs") > F.col("host_docs") * F.lit(max_doc_fraction))
+        .join(hosts, F.col("host").eqNullSafe(F.col("_host")))
+        .filter(F.col("line_docs") > limit)
         .select(F.col("host").alias("_host"), F.col("line_hash").alias("_line_hash"))
-    )
+    )
+    if max_line_documents is None:
+        return found
+    anywhere = held.select("line_hash", "text_hash").distinct().groupBy("line_hash").agg(F.count("*").alias("n")).filter(F.col("n") > max_line_documents)
+    everywhere = counted.join(anywhere.select("line_hash"), "line_hash", "left_semi").select(F.col("host").alias("_host"), F.col("line_hash").alias("_line_hash"))
+    return found.unionByName(everywhere).distinct()
 
 
 def fails_base(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words)
 
 
+def _decided(features: DataFrame, removed: DataFrame, keys: list[str], max_removed_fraction: float) -> DataFrame:
+    """``features`` with n_boilerplate_words, base_failed and kept; ``removed`` holds _removed words under ``_`` + keys."""
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    base_failed = fails_base(F.col("n_words"), F.col("n_repeat_words"))
+    depleted = F.col("n_boilerplate_words") > F.lit(max_removed_fraction) * F.col("n_words")
+    joined = features.join(removed, same, "left").withColumn("n_boilerplate_words", F.coalesce("_removed", F.lit(0)).cast("long"))
+    return joined.withColumns({"base_failed": base_failed, "kept": ~base_failed & ~depleted}).drop(*[f"_{k}" for k in keys], "_removed")
+
+
 def kept_texts(
     docs: DataFrame,
     max_doc_fraction: float = MAX_DOC_FRACTION,
@@ -134,30 +162,24 @@ def kept_texts(
     The other lines stay as they are, in order; a text without boilerplate is unchanged. n_chars, if there, is set anew
     for changed texts.
     """
-    host, key, gone = (unused(f"_{n}", docs.columns) for n in ("host", "key", "gone"))
-    hashed = lambda x: F.xxhash64(normal_line(x))
-    lines = docs.select(
-        F.col("source").alias("host"), F.xxhash64(text_or_empty()).alias("text_hash"),
-        F.explode(F.array_distinct(F.transform(F.filter(F.split(text_or_empty(), "\n"), has_words), hashed))).alias("line_hash"),
+    host, key, gone, kept = (unused(f"_{n}", docs.columns) for n in ("host", "key", "gone", "kept"))
+    with_id = docs if "doc_id" in docs.columns else docs.withColumn("doc_id", F.lit(None).cast("long"))
+    texts = narrow_table(with_id).dropDuplicates(["host", "text_hash"])
+    above = lines_above_limits(texts, max_doc_fraction, min_documents, max_line_documents)
+    lines = texts.select("host", "text_hash", F.explode("lines").alias("line")).select("host", "text_hash", F.col("line.hash").alias("line_hash"), F.col("line.words").alias("line_words"))
+    removed = (
+        lines.join(above, F.col("host").eqNullSafe(F.col("_host")) & (F.col("line_hash") == F.col("_line_hash")))
+        .groupBy("host", "text_hash")
+        .agg(F.sum("line_words").alias("_removed"), F.collect_set("line_hash").alias("_gone"))
+        .select(F.col("host").alias("_host"), F.col("text_hash").alias("_text_hash"), "_removed", "_gone")
     )
-    lines = materialize(lines.distinct())
-    common = common_lines(lines, docs, max_doc_fraction, min_documents)
-    found = lines.join(common, F.col("host").eqNullSafe(F.col("_host")) & (F.col("line_hash") == F.col("_line_hash"))).select("host", "text_hash", "line_hash")
-    if max_line_documents is not None:
-        texts = lines.select("line_hash", "text_hash").distinct().groupBy("line_hash").agg(F.count("*").alias("n"))
-        often = texts.filter(F.col("n") > max_line_documents).select("line_hash")
-        found = found.unionByName(lines.join(often, "line_hash", "left_semi").select("host", "text_hash", "line_hash"))
-    removed = found.groupBy(F.col("host").alias(host), F.col("text_hash").alias(key)).agg(F.collect_set("line_hash").alias(gone))
-    joined = docs.join(removed, F.col("source").eqNullSafe(F.col(host)) & (F.xxhash64(text_or_empty()) == F.col(key)), "left")
-
-    is_gone = lambda x: has_words(x) & F.array_contains(F.col(gone), hashed(x))
-    cut = F.filter(F.split(text_or_empty(), "\n"), is_gone)
-    n_gone = F.when(F.col(gone).isNull(), F.lit(0).cast("long")).otherwise(F.aggregate(cut, F.lit(0).cast("long"), lambda n, x: n + line_words(normal_line(x))))
-    counts = let(words_of(text_or_empty()), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(w).alias("repeats")))
-    decided = let(counts, lambda q: ~fails_base(q.n, q.repeats) & ~(n_gone > F.lit(max_removed_fraction) * q.n))
-    stay = F.array_join(F.filter(F.split(text_or_empty(), "\n"), lambda x: ~is_gone(x)), "\n")
-    out = joined.filter(decided)
-    out = out.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(stay))
+    decided = _decided(texts.drop("lines", "doc_id"), removed, ["host", "text_hash"], max_removed_fraction)
+    stays = materialize(decided.filter("kept").select(F.col("host").alias(host), F.col("text_hash").alias(key), F.col("_gone").alias(gone)))
+    joined = docs.join(stays, F.col("source").eqNullSafe(F.col(host)) & (F.xxhash64(text_or_empty()) == F.col(key)))
+
+    stay = lambda x: ~(has_words(x) & F.array_contains(F.col(gone), F.xxhash64(normal_line(x))))
+    cut = F.array_join(F.filter(F.split(text_or_empty(), "\n"), stay), "\n")
+    out = joined.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
@@ -171,35 +193,21 @@ def line_quality(
 ) -> DataFrame:
     """One row per document: base features, ``n_boilerplate_words``, ``base_failed`` and ``kept``.
 
-    ``docs`` needs doc_id, text and source (the host); further columns are ignored. doc_id is taken to be unique;
-    a repeated row is judged like its copy.
+    ``docs`` needs doc_id, text and source (the host); further columns are ignored. Rows that repeat a doc_id are judged
+    each, as their text and host are.
     """
-    features = base_features(docs)
-    lines = features.filter(F.size("lines") > 0).select("doc_id", "host", "text_hash", F.explode("lines").alias("line"))
-    lines = lines.select(
-        "doc_id", "host", "text_hash",
-        F.xxhash64("line").alias("line_hash"),
-        line_words(F.col("line")).alias("line_words"),
-    )
-    common = common_lines(lines, docs, max_doc_fraction, min_documents)
+    features = narrow_table(docs)
+    above = lines_above_limits(features, max_doc_fraction, min_documents)
+    lines = features.select("host", "text_hash", "lines").dropDuplicates(["host", "text_hash"]).select("host", "text_hash", F.explode("lines").alias("line"))
     removed = (
-        lines.select("doc_id", "host", "line_hash", "line_words")
-        .join(common, F.col("host").eqNullSafe(F.col("_host")) & (F.col("line_hash") == F.col("_line_hash")))
-        .groupBy(F.col("doc_id").alias("_doc"))
+        lines.select("host", "text_hash", F.col("line.hash").alias("line_hash"), F.col("line.words").alias("line_words"))
+        .join(above, F.col("host").eqNullSafe(F.col("_host")) & (F.col("line_hash") == F.col("_line_hash")))
+        .groupBy(F.col("host").alias("_host"), F.col("text_hash").alias("_text_hash"))
         .agg(F.sum("line_words").alias("_removed"))
-    )
-    base_failed = fails_base(F.col("n_words"), F.col("n_repeat_words"))
-    depleted = F.col("n_boilerplate_words") > F.lit(max_removed_fraction) * F.col("n_words")
-    return (
-        features.drop("lines", "text_hash", "host")
-        .join(removed, F.col("doc_id") == F.col("_doc"), "left")
-        .withColumn("n_boilerplate_words", F.coalesce("_removed", F.lit(0)).cast("long"))
-        .select(
-            "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-            base_failed.alias("base_failed"),
-            (~base_failed & ~depleted).alias("kept"),
-            "n_boilerplate_words",
-        )
+    )
+    decided = _decided(features.drop("lines"), removed, ["host", "text_hash"], max_removed_fraction)
+    return decided.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_boilerplate_words"
     )
 
 
