@@ -6,11 +6,14 @@ its letters in lower case, with a space for all else; their shares make the text
 
 Machines are trained with numpy, a task each, from at most MOST_TEXTS texts of a language, chosen by hash from rows
 that may be learned from (crc32 of doc_id not 0 modulo 5, lang not null). Languages outside the table of families are
-families of their own. Prediction covers all whole texts; ``score`` multiplies, over both levels, the sigmoid of the
-winner's narrowest margin.
+dealt into families of FAMILY_SIZE, so that machines don't grow with the square of the languages; the model's size is
+checked before it is trained and broadcast. Prediction covers all whole texts; ``score`` multiplies, over both levels,
+the sigmoid of the winner's narrowest margin.
 
 Texts that are null or have no letter are ``und`` with score 0, and so is every text if nothing can be learned. With
-one language learned, all other texts get it. Rows that repeat a doc_id are predicted each.
+one language learned, all other texts get it. A name that wins as many machines as another needs the larger sum of
+margins. Rows that repeat a doc_id, or have none, are predicted each; long texts count with all their n-grams. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,7 +45,11 @@ FAMILIES = {
     "austronesian": "id ms tl",
     "dravidian": "kn ml ta te",
 }
+#: Languages outside the table share families of so many, in the order of their names.
+FAMILY_SIZE = 12
 DIMENSIONS = 1 << 16
+#: The weights of all machines, which every worker holds, may take so many bytes; about 150 languages stay below it.
+MOST_MODEL_BYTES = 1 << 28
 MOST_TEXTS = 800
 GRAMS = (1, 2, 3, 4)
 STEPS = 80
@@ -51,24 +58,27 @@ UNKNOWN = "und"
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
-def family_of(lang: str) -> str:
-    code = re.split("[-_]", lang.lower())[0]
-    return next((name for name, codes in FAMILIES.items() if code in codes.split()), f"only-{lang}")
+def families_of(langs: list[str]) -> dict[str, str]:
+    """The family of each language. Languages outside the table are dealt into families of FAMILY_SIZE."""
+    known = {code: name for name, codes in FAMILIES.items() for code in codes.split()}
+    found = {lang: known.get(re.split("[-_]", lang.lower())[0]) for lang in langs}
+    others = sorted(lang for lang, name in found.items() if name is None)
+    return found | {lang: f"other-{k // FAMILY_SIZE}" for k, lang in enumerate(others)}
 
 
 def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
     """Feature numbers of a text and their shares times SCALE; None without letters."""
     letters = _NO_LETTERS.sub(" ", (text or "").lower()).strip()
-    if not letters:
+    if not any(map(str.isalpha, letters)):  # numerals like a half sign are neither digits nor letters
         return None
     units = np.frombuffer(f" {letters} ".encode(), np.uint8).astype(np.uint32)
-    gram, total = np.zeros(len(units), np.uint32), np.zeros(DIMENSIONS, np.int64)
+    gram, found = np.zeros(len(units), np.uint32), []
     for n in GRAMS:
         if n > len(units):
             break
         gram = gram[: len(units) - n + 1] * np.uint32(257) + units[n - 1 :]
-        mixed = (gram + np.uint32(n)) * np.uint32(2654435761)
-        total += np.bincount((mixed >> np.uint32(16)).astype(np.int64), minlength=DIMENSIONS)
+        found.append(((gram + np.uint32(n)) * np.uint32(2654435761)) >> np.uint32(16))
+    total = np.bincount(np.concatenate(found), minlength=DIMENSIONS)
     numbers = np.flatnonzero(total)
     return numbers.astype(np.int32), (SCALE * total[numbers] / total.sum()).astype(np.float32)
 
@@ -94,9 +104,9 @@ def train_machine(texts: list[tuple[np.ndarray, np.ndarray]], side: np.ndarray,
 
 def machines(langs: list[str]) -> list[tuple[str, str, str]]:
     """(level, one, other): pairs of families at level "", pairs of languages at their family's level."""
-    families: dict[str, list[str]] = {}
+    own, families = families_of(langs), {}
     for lang in sorted(langs):
-        families.setdefault(family_of(lang), []).append(lang)
+        families.setdefault(own[lang], []).append(lang)
     pairs = [("", a, b) for a, b in combinations(sorted(families), 2)]
     return pairs + [(name, a, b) for name, held in sorted(families.items()) for a, b in combinations(held, 2)]
 
@@ -108,14 +118,17 @@ def fit(docs: DataFrame, most_texts: int = MOST_TEXTS) -> tuple[list[str], list[
     pairs = machines(langs)
     if not pairs:
         return langs, [], np.zeros((0, DIMENSIONS + 1), np.float32)
+    if len(pairs) * (DIMENSIONS + 1) * 4 > MOST_MODEL_BYTES:
+        raise ValueError(f"{len(langs)} languages make {len(pairs)} machines, more than MOST_MODEL_BYTES holds: clean up lang, or raise it")
+    family = families_of(langs)
     chosen = bounded_sample(usable.select("doc_id", "lang").distinct(), "lang", "doc_id", most_texts)
     # Ids of the sample: most_texts for each language at most.
     texts = usable.join(F.broadcast(chosen), ["doc_id", "lang"])
     sides: dict[str, list[tuple[int, int]]] = {lang: [] for lang in langs}
     for number, (level, a, b) in enumerate(pairs):
         for lang in langs:
-            own = lang if level else family_of(lang)
-            if own in (a, b) and (not level or family_of(lang) == level):
+            own = lang if level else family[lang]
+            if own in (a, b) and (not level or family[lang] == level):
                 sides[lang].append((number, 1 if own == a else -1))
     table = docs.sparkSession.createDataFrame([(lang, n, s) for lang, held in sides.items() for n, s in held], "lang string, machine int, side int")
 
@@ -166,9 +179,9 @@ def predict_language(docs: DataFrame, most_texts: int = MOST_TEXTS) -> DataFrame
         by_level: dict[str, list[tuple[int, str, str]]] = {}
         for number, (level, a, b) in enumerate(pairs):
             by_level.setdefault(level, []).append((number, a, b))
-        families: dict[str, list[str]] = {}
+        own, families = families_of(langs), {}
         for lang in langs:
-            families.setdefault(family_of(lang), []).append(lang)
+            families.setdefault(own[lang], []).append(lang)
         by_feature, bias = np.ascontiguousarray(weights[:, :-1].T), weights[:, -1]
 
         def guess(text: str | None) -> tuple[str, float]:
