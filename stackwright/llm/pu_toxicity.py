@@ -3,8 +3,8 @@
 Linear classifiers are trained with numpy from confirmed toxic texts (P) and unlabelled texts (U, drawn from all that
 may be learned from, their labels unread) on the class-prior-corrected risk of Kiryo et al., "Positive-unlabeled
 learning with non-negative risk estimator" (2017): ``prior * R_P(+) + max(0, R_U(-) - prior * R_P(-))``. Where the
-bracket falls below 0 a step goes the other way, against overfitting. The prior is the share of toxic texts among the
-labelled ones that may be learned from.
+bracket falls below 0 a step goes the other way, against overfitting. The prior is a parameter; by default it is the
+share of toxic texts among the labelled ones that may be learned from, the only use of labels that aren't toxic.
 
 A text's features are the hashes of its distinct words, whole, and of their first 4, 5 and 6 letters; words of more than
 LONG letters also have all their 4-letter strings, and words with letters of a script without spaces (Chinese, Japanese,
@@ -14,7 +14,7 @@ classifiers train in a task each and their logits are averaged. Scoring covers a
 
 Null and empty texts have no features and get the score of the bias. Without toxic examples or unlabelled texts all
 scores are 0. Rows with a null doc_id are held out; a doc_id labelled twice is toxic if any of its labels says so.
-Rows that repeat a doc_id are scored each.
+Rows that repeat a doc_id are scored each; long texts count with all their words. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ MOST_POSITIVE = 3000
 MOST_UNLABELLED = 5000
 CLASSIFIERS = 3
 STEPS = 120
-#: Features count that stand in so many texts of the sample, and are commoner among P than U by so many deviations.
+#: Features count that stand in so many texts of the sample, and whose shares of P and of U differ by so many deviations.
 LEAST_TEXTS = 3
 LEAST_DEVIATIONS = 5
 _WORDS = re.compile(r"\w+")
@@ -91,7 +91,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     in_u = np.bincount(features[owner >= n_p], minlength=dimensions) / n_u
     pooled = (in_p * n_p + in_u * n_u) / (n_p + n_u)
     spread = np.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u) + 1e-12)
-    keep = (frequent & (in_p - in_u >= LEAST_DEVIATIONS * spread))[features]
+    keep = (frequent & (np.abs(in_p - in_u) >= LEAST_DEVIATIONS * spread))[features]
     features, owner = features[keep], owner[keep]
     w, bias = np.zeros(dimensions), float(np.log(prior / (1 - prior)))
     first, second, t = np.zeros(dimensions + 1), np.zeros(dimensions + 1), 0
@@ -113,12 +113,13 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     return np.append(w, bias)
 
 
-def training_texts(docs: DataFrame, labels: DataFrame, most_positive: int, most_unlabelled: int, classifiers: int) -> tuple[DataFrame, float]:
+def training_texts(docs: DataFrame, labels: DataFrame, most_positive: int, most_unlabelled: int, classifiers: int, prior: float | None) -> tuple[DataFrame, float]:
     """(part, text): part -1 for confirmed toxic texts, 0 and on for each classifier's unlabelled ones; and the prior."""
     usable = docs.select("doc_id").filter(~held_out()).distinct()
     known = labels.filter("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(usable, "doc_id")
     toxic, labelled = known.agg(F.sum((F.col("toxic") == 1).cast("long")), F.count("*")).first()
-    prior = min(0.9, max(0.001, (toxic or 0) / labelled)) if labelled else 0.0
+    share = (toxic or 0) / labelled if labelled else 0.0
+    prior = min(0.9, max(0.001, share if prior is None else prior)) if labelled else 0.0
     confirmed = known.filter("toxic = 1").select("doc_id", F.lit(-1).alias("part"))
     parts = usable.select("doc_id", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(classifiers)).cast("int").alias("part"))
     ids = bounded_sample(confirmed, "part", "doc_id", most_positive).unionByName(bounded_sample(parts, "part", "doc_id", most_unlabelled))
@@ -127,9 +128,9 @@ def training_texts(docs: DataFrame, labels: DataFrame, most_positive: int, most_
     return texts.select("part", "doc_id", "text"), prior
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, classifiers: int = CLASSIFIERS) -> np.ndarray | None:
+def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, classifiers: int = CLASSIFIERS, prior: float | None = None) -> np.ndarray | None:
     """Mean weights of the classifiers (DIMENSIONS, then the bias); None without examples."""
-    texts, prior = training_texts(docs, labels, most_positive, most_unlabelled, classifiers)
+    texts, prior = training_texts(docs, labels, most_positive, most_unlabelled, classifiers, prior)
     if not prior:
         return None
 
@@ -157,7 +158,10 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE,
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
-    """doc_id, held_out, score and predicted for each row of ``docs`` (doc_id, text); ``labels`` has doc_id, toxic."""
+    """doc_id, held_out, score and predicted for each row of ``docs`` (doc_id, text); ``labels`` has doc_id, toxic.
+
+    ``bounds``: the sizes of the samples, the number of classifiers and the prior, as fit() takes them.
+    """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(fit(docs, labels, **bounds))
 
