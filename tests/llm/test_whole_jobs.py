@@ -135,7 +135,7 @@ def test_pipeline_with_repeated_rows_equals_brute_force(spark):
     assert Counter(tuple(r) for r in docs.collect()) == Counter(one.values())
     docs = stages["near_dedup"](spark, docs, DATA)
     numbered = list(enumerate(sorted(one.values(), key=lambda r: (r[0] is not None, r[0] or 0))))
-    least = brute_components([(n, r[1]) for n, r in numbered], 5)
+    least = brute_components([(n, r[1]) for n, r in numbered], minhash_join.SHINGLE_WORDS)
     kept = [r for n, r in numbered if least[n] == n]
     assert len(kept) == len(one) - 1
     assert Counter(tuple(r) for r in docs.collect()) == Counter(kept)
