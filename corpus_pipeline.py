@@ -37,12 +37,19 @@ def _by_row(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFra
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without boilerplate lines and the texts that a base rule rejects or that consist mostly of such lines."""
+    """Without boilerplate lines and the texts that a base rule rejects or that consist mostly of such lines.
+
+    Null and empty texts fail the base rules; rows that repeat or share a doc_id are judged each by text and source; a
+    null source is a host of its own. Of all stages: no rows in, no rows out; columns of the input with any names stay.
+    """
     return line_quality.kept_texts(docs, max_line_documents=line_quality.MAX_LINE_DOCUMENTS)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each text, with the largest doc_id. Of rows that also repeat doc_id, the least by their other columns."""
+    """One row of each text, with the largest doc_id. Of rows that also repeat doc_id, the least by their other columns.
+
+    A null doc_id is less than any other, null text is empty text. Texts are compared whole, by SHA-256.
+    """
     digest, kept_id, kept_digest, row = (unused(f"_{n}", docs.columns) for n in ("digest", "kept_id", "kept_digest", "row"))
     kept = mph_dedup.dedup_by_halves(docs).filter("kept").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_digest))
     hashed = docs.withColumn(digest, F.sha2(text_or_empty(), 256))
@@ -53,15 +60,24 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near duplicates of 80 % of five-word shingles; the smallest doc_id of a component stays."""
-    return _by_row(docs, lambda rows: _kept(rows, minhash_join.near_duplicates(rows, words=5)))
+    """Without near duplicates, 80 % of two-word shingles as in op5; the smallest doc_id of a component stays.
+
+    Texts without words are no duplicates of each other. Rows that share a doc_id, or have none, are judged each: ties go
+    to the row with the least hash of its text.
+    """
+    return _by_row(docs, lambda rows: _kept(rows, minhash_join.near_duplicates(rows)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix takes them, the last copy cut where a source's target is reached; texts without words go.
+
+    Rows that share a doc_id, or have none, are taken each. A null source is a source, in the last place.
+    """
     return _by_row(docs, lambda rows: mixing.take_copies(rows, mixing.mix_sources(rows)))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows and their places in sequences; each copy that the mix took is packed on its own."""
     return packing.pack_best_fit(docs)
 
 
