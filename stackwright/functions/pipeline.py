@@ -42,7 +42,7 @@ def _prettify(v: Column) -> Column:
     return F.array_join(F.transform(F.split(T.collapse(bare), " "), word), " ")
 
 
-#: name -> (value, arguments) -> new value, or null where the operation doesn't apply.
+#: Fixed values are the names. name -> (value, arguments) -> new value, or null where the operation doesn't apply.
 OPERATIONS: dict[str, Callable[[Column, dict], Column]] = {
     "regex_replace": lambda v, a: F.regexp_replace(v, _pattern(a["pattern"]), a.get("replacement", "")),
     "regex_extract": lambda v, a: T.extract(v, _pattern(a["pattern"]), a.get("group", 1)),

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, StringType
 
 # Fixed values.
 AUDIO_EXTENSIONS = ["mp3", "flac", "m4a", "mp4", "wav", "ogg", "opus", "aiff", "ape"]
@@ -21,21 +21,33 @@ SIMPLIFIED = "爱长变风飞欢国话开来乐龙马门梦你鸟气情让时书
 
 
 @pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Unicode NFKC; null stays null."""
+def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
 @pandas_udf(StringType())
-def lookup_form(text: pd.Series) -> pd.Series:
-    """NFKD without combining marks, lower case: the form in which names are looked up."""
-
+def _lookup_form(text: pd.Series) -> pd.Series:
     def form(t: str) -> str:
         return "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower()
 
     return text.map(form, na_action="ignore")
 
 
+def _beyond_ascii(text: Column) -> Column:
+    """The text if it isn't ASCII, else null: only such texts travel to Python."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), text)
+
+
+def nfkc(text: Column) -> Column:
+    """Unicode NFKC; null stays null."""
+    return F.coalesce(_nfkc(_beyond_ascii(text)), text)
+
+
+def lookup_form(text: Column) -> Column:
+    """NFKD without combining marks, lower case: the form in which names are looked up."""
+    return F.coalesce(_lookup_form(_beyond_ascii(text)), F.lower(text))
+
+
 def trim(text: Column) -> Column:
     """Trims Unicode white space; SQL's trim takes blanks only."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -75,6 +87,41 @@ def parent(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, "/+$", ""), "/?[^/]*$", "")
 
 
+def posix(path: Column) -> Column:
+    return F.translate(path, "\\", "/")
+
+
+def components(path: Column) -> Column:
+    """The parts of a path without empty ones."""
+    return F.filter(F.split(posix(path), "/"), lambda p: p != "")
+
+
+def short_path(path: Column, depth: int = 4) -> Column:
+    """The last parts of a path."""
+    parts = components(path)
+    return F.array_join(F.slice(parts, F.greatest(F.lit(1), F.size(parts) - (depth - 1)), F.lit(depth)), "/")
+
+
+def resolved(path: Column) -> Column:
+    """The parts of a path with ``.`` and ``..`` carried out; null where that leads above its beginning."""
+
+    def step(done: Column, part: Column) -> Column:
+        up = F.when(F.size(done) > 0, F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))))
+        return F.when(done.isNull(), done).when(part == "..", up).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+
+    return F.aggregate(components(path), F.array().cast("array<string>"), step)
+
+
+def inside(path: Column, folder: Column) -> Column:
+    """Whether ``path`` is ``folder`` or below it, by whole parts; false where either leads above its beginning."""
+    mine, its = resolved(path), resolved(folder)
+    return F.coalesce((F.size(mine) >= F.size(its)) & (F.slice(mine, F.lit(1), F.greatest(F.size(its), F.lit(1))) == its) | ((F.size(its) == 0) & mine.isNotNull()), F.lit(False))
+
+
+def path_hash(path: Column) -> Column:
+    return F.sha2(path, 256)
+
+
 def stem(path: Column) -> Column:
     return F.regexp_replace(basename(path), r"(?<=.)\.[^.]*$", "")
 
@@ -94,13 +141,6 @@ def distinct_ignoring_case(names: Column) -> Column:
     return F.filter(names, lambda n, i: F.array_position(lowered, F.lower(n)) == i + 1)
 
 
-def split_names(credit: Column) -> Column:
-    """The artists of a credit: feat., & / ; , + and their full-width forms, and dots between CJK names, part them."""
-    dotted = F.regexp_replace(credit, f"(?<={CJK})\\.(?={CJK})", "|")
-    delimiter = r"(?iU)\s+(?:feat\.?|ft\.?|featuring)\s+|\s*[&/;,＋+、，；·‧|]\s*"
-    return distinct_ignoring_case(F.transform(F.split(dotted, delimiter), trim))
-
-
 def comparable(normalized: Column) -> Column:
     """Of an NFKC text: lower case, without punctuation that spellings differ by, one kind of dash, single blanks."""
     bare = F.regexp_replace(F.lower(collapse(normalized)), r"[._:：'\"`()\[\]{}《》「」【】]", "")
@@ -131,46 +171,64 @@ def traditional(text: Column) -> Column:
     return F.translate(text, SIMPLIFIED.replace("你", ""), TRADITIONAL.replace("妳", ""))
 
 
+#: How file names tell disc, track and the rest, the first that fits; groups by name.
+NAME_FORMS = [
+    (r"(?U)^(\d{1,2})[-_](\d{1,3})(?:\s*[.\-_\s]+\s*|\s+)(.+)$", {"disc": 1, "track": 2, "rest": 3}),
+    (r"(?U)^(\d{1,3})(?:\s*[.)_-]\s*|\s+)(.+)$", {"track": 1, "rest": 2}),
+    (r"(?s)^(.*)$", {"rest": 1}),
+]
+CREDITED = r"(?U)^(.+?)\s[-–—]\s(.*)$"
+#: Where an audited folder name states its year.
+YEAR = r"((?:19|20)\d{2})"
+YEAR_FORMS = [rf"^{YEAR}[-.]", rf"[《（\[]\s*{YEAR}\s*[-.]", rf"[\[(（]\s*{YEAR}\s*[\])）]", rf"(?:^|\D){YEAR}(?:\D|$)"]
+#: What isn't part of an album's name.
+ALBUM_NOISE = [r"(?U)^\d{4}\s*[-—]\s*", r"(?U)^\d{4}(?:[-.]\d{2}(?:[-.]\d{2})?)?\s*", r"(?iU)\s*\[?(?:flac|mp3|wav|aac|ogg|m4a|wma|ape)(?:\s*分轨)?\]?\s*$"]
+AFTER_ARTIST = r"(?U)^\s*(?:[-—–._:：]+|\s{2,})\s*"
+
+
+def _first_form(text: Column, part: str) -> Column:
+    """What the first of NAME_FORMS that fits says of ``part``."""
+    found = F.lit(None).cast("string")
+    for pattern, groups in reversed(NAME_FORMS):
+        found = F.when(text.rlike(pattern), F.regexp_extract(text, pattern, groups[part]) if part in groups else F.lit(None)).otherwise(found)
+    return found
+
+
+def without(text: Column, patterns: list[str]) -> Column:
+    for pattern in patterns:
+        text = F.regexp_replace(text, pattern, "")
+    return text
+
+
 def file_facts(filename: Column) -> Column:
     """struct(disc, track, artist, title) as a file name (no path) tells: ``1-02. Artist - Title``, ``02 Title``."""
     name = trim(F.regexp_replace(filename, r"\.[^.]*$", ""))
-    on_disc = r"(?U)^(\d{1,2})[-_](\d{1,3})(?:\s*[.\-_\s]+\s*|\s+)(.+)$"
-    alone = r"(?U)^(\d{1,3})(?:\s*[.)_-]\s*|\s+)(.+)$"
-    both, one = name.rlike(on_disc), name.rlike(alone)
-    rest = trim(F.when(both, F.regexp_extract(name, on_disc, 3)).when(one, F.regexp_extract(name, alone, 2)).otherwise(name))
-    credited = r"(?U)^(.+?)\s[-–—]\s(.*)$"
-    has_artist = rest.rlike(credited)
+    rest = trim(_first_form(name, "rest"))
+    artist, title = (trim(extract(rest, CREDITED, k)) for k in (1, 2))
     return F.struct(
-        F.when(both, F.regexp_extract(name, on_disc, 1).cast("int")).alias("disc"),
-        F.when(both, F.regexp_extract(name, on_disc, 2).cast("int")).when(one, F.regexp_extract(name, alone, 1).cast("int")).alias("track"),
-        F.when(has_artist, trim(F.regexp_extract(rest, credited, 1))).alias("artist"),
-        F.when(has_artist, trim(F.regexp_extract(rest, credited, 2))).when(rest != "", rest).alias("title"),
-    )
+        _first_form(name, "disc").cast("int").alias("disc"), _first_form(name, "track").cast("int").alias("track"),
+        artist.alias("artist"), F.coalesce(title, F.nullif(rest, F.lit(""))).alias("title"),
+    )
 
 
 def folder_year(folder: Column) -> Column:
-    """The year that a folder name states: leading, behind an opening quote, in brackets, or on its own."""
-    year = r"((?:19|20)\d{2})"
-    return F.coalesce(
-        extract(folder, rf"^{year}[-.]"),
-        extract(folder, rf"[《（\[]\s*{year}\s*[-.]"),
-        extract(folder, rf"[\[(（]\s*{year}\s*[\])）]"),
-        extract(folder, rf"(?:^|\D){year}(?:\D|$)"),
-    )
+    """The year that an audited folder name states: leading, behind an opening quote, in brackets, or on its own."""
+    return F.coalesce(*[extract(folder, pattern) for pattern in YEAR_FORMS])
+
+
+def release_year(folder: Column) -> Column:
+    """The year that a folder name begins with, or a title in quotes within it; one in brackets or behind doesn't count."""
+    quoted = [rf"{a}\s*{YEAR}(?!\d)[^{b}]*{b}" for a, b in ("《》", "〈〉", "「」", "『』")]
+    return F.coalesce(*[extract(folder, pattern) for pattern in (rf"^\s*{YEAR}(?!\d)", *quoted)])
 
 
 def folder_album(folder: Column, artist: Column) -> Column:
     """The album that a folder name states, without its year, its format and the artist before it."""
-    name = trim(folder)
-    name = F.coalesce(extract(name, "《([^》]+)》"), name)
-    name = F.regexp_replace(name, r"(?U)^\d{4}\s*[-—]\s*", "")
-    name = F.regexp_replace(name, r"(?U)^\d{4}(?:[-.]\d{2}(?:[-.]\d{2})?)?\s*", "")
-    name = F.regexp_replace(name, r"(?iU)\s*\[?(?:flac|mp3|wav|aac|ogg|m4a|wma|ape)(?:\s*分轨)?\]?\s*$", "")
-    before = F.lower(F.substr(name, F.lit(1), F.length(trim(artist))))
-    rest = F.substr(name, F.length(trim(artist)) + 1)
-    parted = r"(?U)^\s*(?:[-—–._:：]+|\s{2,})\s*"
-    led = (before == F.lower(trim(artist))) & rest.rlike(parted)
-    return trim(F.when(F.coalesce(led, F.lit(False)), F.regexp_replace(rest, parted, "")).otherwise(name))
+    name = without(F.coalesce(extract(trim(folder), "《([^》]+)》"), trim(folder)), ALBUM_NOISE)
+    known = trim(artist)
+    rest = F.substr(name, F.length(known) + 1)
+    led = (F.lower(F.substr(name, F.lit(1), F.length(known))) == F.lower(known)) & rest.rlike(AFTER_ARTIST)
+    return trim(F.when(F.coalesce(led, F.lit(False)), F.regexp_replace(rest, AFTER_ARTIST, "")).otherwise(name))
 
 
 def safe_name(text: Column) -> Column:
@@ -205,20 +263,27 @@ def lyric_lines(lrc: Column) -> Column:
     return F.array_sort(F.flatten(F.transform(lines, timed)))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """0 to 100: twice the longest common subsequence over both lengths. One table row at a time, in an aggregate."""
-    xs, ys = (F.filter(F.split(c, ""), lambda x: x != "") for c in (a, b))
-    first = F.transform(ys, lambda y: F.lit(0))
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a row of bits for each letter of ``b`` (Hyyrö, 2004)."""
+    places: dict[str, int] = {}
+    for k, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << k
+    every = (1 << len(a)) - 1
+    open_places = every
+    for c in b:
+        hit = open_places & places.get(c, 0)
+        open_places = (open_places + hit | open_places - hit) & every
+    return len(a) - open_places.bit_count()
+
 
-    def row(before: Column, x: Column) -> Column:
-        def cell(done: Column, i: Column) -> Column:
-            up, left = F.get(before, i), F.coalesce(F.get(done, i - 1), F.lit(0))
-            corner = F.coalesce(F.get(before, i - 1), F.lit(0))
-            return F.concat(done, F.array(F.when(F.get(ys, i) == x, corner + 1).otherwise(F.greatest(up, left))))
+@pandas_udf(IntegerType())
+def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """0 to 100: twice the longest common subsequence over both lengths, rounded; 100 of two empty texts; null of a null."""
 
-        places = F.transform(ys, lambda y, i: i)
-        return F.aggregate(places, F.array().cast("array<int>"), cell)
+    def of(x, y):
+        if x is None or y is None:
+            return None
+        both = len(x) + len(y)
+        return (200 * common_length(x, y) + both // 2) // both if both else 100
 
-    common = F.coalesce(F.element_at(F.aggregate(xs, first, row), -1), F.lit(0))
-    both = F.size(xs) + F.size(ys)
-    return F.when(both == 0, 0).when((F.size(xs) == 0) | (F.size(ys) == 0), 0).otherwise(F.floor((common * 200 + F.floor(both / 2)) / both)).cast("int")
+    return pd.Series([of(x, y) for x, y in zip(a, b)], dtype="Int32")

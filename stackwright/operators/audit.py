@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import names as N
 from ..functions import text as T
 
 
@@ -35,19 +36,19 @@ def audit_findings(tracks: DataFrame) -> DataFrame:
     rows = tracks.join(sizes, F.col("album_path").eqNullSafe(F.col("_path"))).drop("_path")
     rows = rows.withColumn("facts", T.file_facts(F.col("filename")))
     rows = rows.withColumn("expected_album", F.coalesce(T.folder_album(F.col("album_hint"), F.col("artist_hint")), F.lit("")))
-    many = lambda c: F.when(F.size(T.split_names(c)) >= 2, c)
+    many = lambda c: F.when(F.size(N.split_names(c)) >= 2, c)
     rows = rows.withColumn("source_artist", F.coalesce(many(F.col("facts.artist")), many(F.col("artist")), F.col("facts.artist"), F.col("artist")))
     rows = _text_columns(rows)
 
     hint = T.collapse(F.coalesce(F.col("n_artist_hint"), F.lit("")))
-    hinted = T.split_names(hint)
+    hinted = N.split_names(hint)
     obvious = F.col("album_artist").isNull() & _same(F.col("n_artist"), hint)
     by_hint = (hint != "") & ~obvious
     listed = lambda c: F.filter(F.split(F.col(c), "\x1f"), lambda x: x != "")
     artists, album_artists = listed("n_artists"), listed("n_album_artists")
 
     source = F.col("source_artist")
-    expected = T.split_names(source)
+    expected = N.split_names(source)
     sure = source.rlike(r"(?iU)\s+(?:feat\.?|ft\.?|featuring)\s+|[&;；、，＋+·‧]") | source.rlike(f"{T.CJK}\\.{T.CJK}")
     only = F.get(artists, F.lit(0))
     replaceable = (F.size(artists) == 0) | (
@@ -69,7 +70,7 @@ def audit_findings(tracks: DataFrame) -> DataFrame:
         rule("albumArtists", by_hint & (F.size(album_artists) > 0) & (F.size(hinted) > 0) & (_list_key(album_artists) != _list_key(hinted)), F.array_join(hinted, ", ")),
         rule("title", F.col("facts.title").isNotNull() & ~_same(F.col("n_title"), F.col("n_fact_title")), F.col("facts.title")),
         rule("artist", F.col("facts.artist").isNotNull() & ~_same(F.col("n_artist"), F.col("n_fact_artist")), F.col("facts.artist")),
-        rule("artists", (F.size(expected) >= 2) & (_list_key(artists) != _list_key(T.split_names(F.col("n_source_artist")))), F.array_join(expected, ", "), F.coalesce(fix_artists, F.lit(False))),
+        rule("artists", (F.size(expected) >= 2) & (_list_key(artists) != _list_key(N.split_names(F.col("n_source_artist")))), F.array_join(expected, ", "), F.coalesce(fix_artists, F.lit(False))),
         rule("year", year.isNotNull() & (T.comparable(F.col("n_year")) != year), year),
         rule("trackNumber", number.isNotNull() & ~F.col("track_number").eqNullSafe(number), number),
         rule("trackTotal", F.col("track_number").eqNullSafe(number) & number.isNotNull() & total.isNotNull() & ~F.col("track_total").eqNullSafe(total), total),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Fixed values.
 PROVIDERS = ["musicbrainz", "discogs"]
 FIELDS = ["artist", "artists", "album", "album_artist", "album_artists", "year", "genre", "musicbrainz_album_id", "musicbrainz_artist_id", "discogs_release_id", "discogs_artist_id"]
 

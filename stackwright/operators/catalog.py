@@ -43,17 +43,6 @@ def latest_wins(rows: DataFrame, keys: list[str], order: list[str], values: list
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_v")).select(*keys, *[F.col(f"_v.{v}").alias(v) for v in values])
 
 
-def numbered(rows: DataFrame, group: list[str], order: list[Column], name: str = "number") -> DataFrame:
-    """Rows numbered from 1 within their group (an album, an order), and the group's size."""
-    window = Window.partitionBy(*group)
-    return rows.withColumn(name, F.row_number().over(window.orderBy(*order)).cast("long")).withColumn("total", F.count("*").over(window))
-
-
-def top_ranked(rows: DataFrame, group: list[str], order: list[Column], most: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long")
-    return rows.withColumn("rank", rank).filter(F.col("rank") <= most)
-
-
 def unique_on(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key no other row has."""
     one = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n = 1").select(*keys)

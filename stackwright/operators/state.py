@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.patterns import canonical_struct
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """``old`` with rows of ``new`` in place of those of the same keys, and the rest of ``new`` added."""
@@ -21,18 +23,39 @@ def live(cache: DataFrame, now: Column, hours: int = 24) -> DataFrame:
 
 
 def requests_in_window(log: DataFrame, by: list[str], seconds: int = 60) -> DataFrame:
-    """``log`` with n: requests of the same client in the last ``seconds``, this one included (its time at in seconds)."""
-    return log.withColumn("n", F.count("*").over(Window.partitionBy(*by).orderBy("at").rangeBetween(1 - seconds, 0)))
+    """``log`` with n: requests of the same client in the last ``seconds``, this one included (its time at in seconds).
+
+    ``by`` may be empty: all requests count. Requests are counted by second first, and a span of seconds is windowed with
+    the one before it, so no window holds more than two spans however many requests there are.
+    """
+    at = F.col("at").cast("long")
+    counted = log.groupBy(*by, at.alias("_at")).agg(F.count("*").alias("_n"))
+    span = F.floor(F.col("_at") / seconds)
+    placed = counted.withColumn("_span", F.explode(F.array(span, span + 1))).withColumn("_own", F.col("_span") == F.floor(F.col("_at") / seconds))
+    window = Window.partitionBy(*by, "_span").orderBy("_at").rangeBetween(1 - seconds, 0)
+    sums = placed.withColumn("n", F.sum("_n").over(window)).filter("_own").select(*[F.col(c).alias(f"_{c}") for c in by], "_at", "n")
+    same = at == F.col("_at")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return log.join(sums, same).drop(*[f"_{c}" for c in by], "_at")
 
 
 def query_hash(fields: list[str], version: int = 4) -> Column:
-    """SHA-256 of the fields as JSON, nulls kept, with the cache's version."""
-    return F.sha2(F.to_json(F.struct(F.lit(version).alias("cache_version"), *[F.col(f) for f in fields]), {"ignoreNullFields": "false"}), 256)
+    """SHA-256 of the fields as JSON with sorted keys, nulls kept, with the cache's version."""
+    return F.sha2(canonical_struct(fields, cache_version=version), 256)
 
 
 def grouped_tags(rows: DataFrame) -> DataFrame:
-    """Tags across tracks: (key, value, paths) by upper-case key and value, in the key's first spelling. rows: path, ord, key, value."""
-    return rows.groupBy(F.upper("key").alias("_key"), "value").agg(F.min_by("key", F.struct("path", "ord")).alias("key"), F.sort_array(F.collect_set("path")).alias("paths")).select("key", "value", "paths")
+    """Tags across tracks: (key, value, n_paths) by upper-case key and value, in the key's first spelling.
+
+    ``rows``: path, ord, key, value. Paths are counted, not gathered; tag_paths() has them as rows.
+    """
+    return rows.groupBy(F.upper("key").alias("_key"), "value").agg(F.min_by("key", F.struct("path", "ord")).alias("key"), F.countDistinct("path").alias("n_paths")).select("key", "value", "n_paths")
+
+
+def tag_paths(rows: DataFrame) -> DataFrame:
+    """(key, value, path): the paths of each tag, keys in upper case."""
+    return rows.select(F.upper("key").alias("key"), "value", "path").distinct()
 
 
 def same_tags(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import track_queries
+from .functions import names
 from .functions import text as T
 from .functions.pipeline import pipeline
-from .operators import audit, candidates, health, matching, state
+from .operators import audit, candidates, health, matching, positions, state
 from .operators import catalog as op
 from .plans import changes as planning
+from .plans import edits
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,8 +75,8 @@ def dataset_status(spark, sf_dir):
 
 
 def number_by_rule_desc(spark, sf_dir):
-    part = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), "p_brand", "p_name", F.coalesce(F.col("p_size"), F.lit(-1)).alias("s"))
-    return op.numbered(part, ["p_brand"], [F.desc("s"), F.asc("p_name"), F.asc("p_partkey")]).select("p_partkey", "p_brand", "number", "total")
+    tracks = track_queries.track_table(spark, sf_dir).withColumn("folder", T.parent(F.col("path")))
+    return planning.number_by_rule(tracks, ["folder"], "existing-desc").select("path", F.col("number").cast("long").alias("number"))
 
 
 def latest_wins(spark, sf_dir):
@@ -82,13 +85,15 @@ def latest_wins(spark, sf_dir):
 
 
 def patch_merge(spark, sf_dir):
-    events = _table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("user_id"), "event_type", "ts", "event_id", "value")
-    return op.latest_wins(events, ["user_id", "event_type"], ["ts", "event_id"], ["value"])
+    value = F.col("value").cast("string")
+    events = _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("path"), F.col("event_type").alias("field"), F.col("event_id").alias("ord"), (F.col("event_id") % 10).cast("string").alias("old_value"), F.when(value != "", F.col("event_id").cast("string")).alias("new_value"), F.when(F.col("event_id") % 3 == 0, "remove").otherwise("set").alias("operation"))
+    return planning.merge_patches(events)
 
 
 def top3_ranked(spark, sf_dir):
-    orders = _table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("long").alias("o_custkey"), F.col("o_orderkey").cast("long").alias("o_orderkey"), (F.col("o_orderstatus") == "F").cast("int").alias("hit"), "o_orderdate")
-    return op.top_ranked(orders, ["o_custkey"], [F.desc("hit"), F.desc("o_orderdate"), F.asc("o_orderkey")], 3).select("o_custkey", "o_orderkey", "rank")
+    orders = _table(spark, sf_dir, "orders")
+    releases = orders.select(F.col("o_custkey").cast("long").alias("request_id"), F.when(F.col("o_orderstatus") != "P", F.year("o_orderdate")).alias("year"), F.lit(1997).alias("wanted_year"), F.col("o_orderkey").cast("string").alias("title"))
+    return candidates.rank_releases(releases).select("request_id", "title", F.col("rank").cast("long").alias("rank"))
 
 
 def position_join_unique(spark, sf_dir):
@@ -119,42 +124,46 @@ def audit_rules(spark, sf_dir):
     return _findings(spark, sf_dir).select("o_orderkey", "rule", "severity")
 
 
+def audit_findings(spark, sf_dir):
+    """The audit's rules over tracks whose files tell number, artist and title."""
+    tracks = positions.indexed(track_queries.track_table(spark, sf_dir))
+    none, nones = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    rows = tracks.withColumns({"filename": T.basename(F.col("path")), "artists": nones, "album_artists": nones, "track_total": F.lit(None).cast("int"), "artist_hint": none, "album_hint": none, "disc_folder": none})
+    return audit.audit_findings(rows).select("album_path", F.col("idx").cast("long").alias("idx"), "field", "status", "suggestion", "eligible")
+
+
 def audit_rollup(spark, sf_dir):
     return op.finding_rollup(_findings(spark, sf_dir), "o_custkey")
 
 
 def artist_split_explode(spark, sf_dir):
-    names = F.array_distinct(F.split("p_name", " "))
-    return _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), F.explode(names).alias("name"))
+    credit = F.concat_ws(" feat. ", F.replace("p_name", F.lit(" "), F.lit(" & ")), "p_brand")
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), F.explode(names.split_names(credit)).alias("name"))
 
 
 def filename_facts(spark, sf_dir):
-    number = F.regexp_extract("url", r"([0-9]+)[^0-9]*$", 1)
-    return _table(spark, sf_dir, "pages").select("page_id", F.when(number != "", number).alias("number"))
+    tracks = track_queries.track_table(spark, sf_dir)
+    name = F.when(F.col("ord") % 3 == 0, F.concat(F.lit("2-"), T.basename(F.col("path")))).otherwise(T.basename(F.col("path")))
+    return tracks.select("ord", T.file_facts(name).alias("f")).select("ord", "f.*")
 
 
 def query_hash(spark, sf_dir):
-    joined = F.concat_ws("|", F.col("n_nationkey").cast("string"), op.normalized(F.col("n_name")))
-    return _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), F.sha2(joined, 256).alias("hash"))
+    nation = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), F.col("n_name").alias("album"), F.lit(None).cast("string").alias("year"))
+    return nation.select("n_nationkey", state.query_hash(["year", "album"]).alias("hash"))
 
 
 def size_buckets(spark, sf_dir):
-    bucket = F.when(F.col("n_chars") < 500, "small").when(F.col("n_chars") < 2000, "medium").when(F.col("n_chars") < 10000, "large").otherwise("huge")
-    return _table(spark, sf_dir, "documents").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    return _table(spark, sf_dir, "documents").groupBy(edits.size_bucket(F.col("n_chars") * 50000).alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def sliding_600s(spark, sf_dir):
-    # Users are the groups here: a global window would be one task's work.
-    before = Window.partitionBy("user_id").orderBy("s").rangeBetween(-600, 0)
-    events = _table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return events.withColumn("s", F.floor(F.col("us") / 1000000)).select("event_id", F.count("*").over(before).alias("n"))
+    events = _table(spark, sf_dir, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return state.requests_in_window(events.withColumn("at", F.floor(F.col("us") / 1000000)), [], 601).select("event_id", "n")
 
 
 def auto_number(spark, sf_dir):
-    lines = _table(spark, sf_dir, "lineitem").select(*[F.col(c).cast("long").alias(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")], "l_shipdate", "l_extendedprice")
-    order = [F.asc("l_linenumber"), F.asc("l_partkey"), F.asc("l_suppkey"), F.asc("l_shipdate"), F.asc("l_extendedprice")]
-    numbered = op.numbered(lines, ["l_orderkey"], order)
-    return numbered.filter("number <> l_linenumber").select("l_orderkey", "l_linenumber", "number", "total")
+    tracks = track_queries.track_table(spark, sf_dir).withColumn("album_artists", F.lit(None).cast("array<string>"))
+    return planning.number_tracks(tracks).select("path", F.col("number").cast("long").alias("number"), F.col("total").cast("long").alias("total"), F.col("disc").cast("long").alias("disc"), F.col("discs").cast("long").alias("discs"))
 
 
 def coalesce_by_priority(spark, sf_dir):
@@ -240,7 +249,7 @@ def uniform_guard(spark, sf_dir):
 
 def grouped_tags(spark, sf_dir):
     events = _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("path"), F.col("event_id").cast("long").alias("ord"), F.col("event_type").alias("key"), (F.col("event_id") % 7).cast("string").alias("value"))
-    return state.grouped_tags(events).select("key", "value", F.size("paths").cast("long").alias("n_paths"))
+    return state.grouped_tags(events)
 
 
 def name_similarity(spark, sf_dir):
@@ -271,7 +280,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         library_summary, tag_completeness, duplicate_members, search_contains_paged, search_missing, scope_semi, scope_anti, session_rollup,
-        dataset_status, number_by_rule_desc, latest_wins, patch_merge, top3_ranked, position_join_unique, band_join, audit_rules, audit_rollup,
+        dataset_status, number_by_rule_desc, latest_wins, patch_merge, top3_ranked, position_join_unique, band_join, audit_rules, audit_findings, audit_rollup,
         artist_split_explode, filename_facts, query_hash, size_buckets, sliding_600s, auto_number, coalesce_by_priority, union_anti_merge, pipeline_ops,
         json_extract, month_buckets, health_rollup, collision_suffix, metadata_patch, changed_fields, keyed_upsert, uniform_guard, grouped_tags,
         name_similarity, nfkc_normalize, chinese_convert, greedy_match,
@@ -292,20 +301,33 @@ ORACLE_SQL = {
     "scope_anti": "SELECT CAST(c_custkey AS BIGINT) AS c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
     "session_rollup": "SELECT conv_id, count(*) AS n, CAST(max(turn) AS BIGINT) AS last_turn, count(*) FILTER (role = 'assistant') AS n_assistant, substr(arg_min(text, turn) FILTER (role = 'user'), 1, 200) AS first_user FROM conversations GROUP BY conv_id",
     "dataset_status": "SELECT count(*) AS total, count(*) FILTER (event_type = 'purchase') > 0 AS any_purchase FROM events",
-    "number_by_rule_desc": "SELECT CAST(p_partkey AS BIGINT) AS p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY coalesce(p_size, -1) DESC, p_name, p_partkey) AS number, count(*) OVER (PARTITION BY p_brand) AS total FROM part",
+    "number_by_rule_desc": f"WITH {track_queries._TRACKS} SELECT path, row_number() OVER (PARTITION BY regexp_replace(path, '/[^/]*$', '') ORDER BY coalesce(track_number, -1) DESC, lower(regexp_extract(path, '[^/]*$')), path) AS number FROM t",
     "latest_wins": "SELECT CAST(user_id AS BIGINT) AS user_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id",
-    "patch_merge": "SELECT CAST(user_id AS BIGINT) AS user_id, event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id, event_type",
-    "top3_ranked": "SELECT CAST(o_custkey AS BIGINT) AS o_custkey, CAST(o_orderkey AS BIGINT) AS o_orderkey, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderstatus = 'F' AS INT) DESC, o_orderdate DESC, o_orderkey) AS r FROM orders) WHERE r <= 3",
+    "patch_merge": "SELECT CAST(user_id AS VARCHAR) AS path, event_type AS field, CAST(min(event_id) % 10 AS VARCHAR) AS old_value, CAST(max(event_id) AS VARCHAR) AS new_value, CASE WHEN max(event_id) % 3 = 0 THEN 'remove' ELSE 'set' END AS operation FROM events GROUP BY user_id, event_type",
+    "top3_ranked": "SELECT CAST(o_custkey AS BIGINT) AS request_id, CAST(o_orderkey AS VARCHAR) AS title, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderstatus <> 'P' AND year(o_orderdate) = 1997 THEN 0 ELSE 1 END, CASE WHEN o_orderstatus <> 'P' THEN year(o_orderdate) END DESC NULLS LAST, CAST(o_orderkey AS VARCHAR)) AS r FROM orders) WHERE r <= 3",
     "position_join_unique": "WITH a AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL HAVING count(*) = 1), b AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag <> 'R' GROUP BY ALL HAVING count(*) = 1) SELECT CAST(a.l_orderkey AS BIGINT) AS l_orderkey, CAST(a.l_linenumber AS BIGINT) AS l_linenumber FROM a JOIN b USING (l_orderkey, l_linenumber)",
     "band_join": "SELECT a.p_name AS key, CAST(a.p_partkey AS BIGINT) AS left_id, CAST(b.p_partkey AS BIGINT) AS right_id FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_partkey <> b.p_partkey WHERE abs(a.p_size - b.p_size) <= greatest(5.0, a.p_size * 0.03)",
     "audit_rules": f"SELECT o_orderkey, rule, severity FROM ({_FOUND})",
+    "audit_findings": f"""WITH {track_queries._TRACKS}, i AS (SELECT *, regexp_replace(path, '/[^/]*$', '') AS album_path, ord % 90 + 10 AS number, regexp_extract(path, 'Brand#[0-9]+') AS fa, regexp_extract(path, ' - ([^/]*)[.]flac$', 1) AS ft,
+row_number() OVER (PARTITION BY regexp_replace(path, '/[^/]*$', '') ORDER BY ord) - 1 AS idx, count(*) OVER (PARTITION BY regexp_replace(path, '/[^/]*$', '')) AS n FROM t)
+SELECT album_path, idx, 'title' AS field, 'error' AS status, ft AS suggestion, true AS eligible FROM i UNION ALL SELECT album_path, idx, 'artist', 'error', fa, true FROM i WHERE artist = ''
+UNION ALL SELECT album_path, idx, 'trackNumber', 'error', CAST(number AS VARCHAR), true FROM i WHERE track_number IS DISTINCT FROM number UNION ALL SELECT album_path, idx, 'trackTotal', 'error', CAST(n AS VARCHAR), true FROM i WHERE track_number = number AND n > 1""",
+    "chinese_convert": f"SELECT doc_id, sha256(translate(text, '{T.TRADITIONAL}', '{T.SIMPLIFIED}')) AS simplified_sha256 FROM documents",
+    "nfkc_normalize": r"SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(lower(text), '[\p{P}\p{S}]+', ' ', 'g'), '\s+', ' ', 'g'))) AS title_key_sha256 FROM documents",
+    # The common subsequence by rows: a row's cell is the larger of the one above and of the best match up to it.
+    "name_similarity": """WITH RECURSIVE p AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[2] AS b FROM part WHERE contains(p_name, ' ')),
+r AS (SELECT a, b, 0 AS i, list_transform(range(0, len(b) + 1), lambda j: 0::BIGINT) AS cells FROM p UNION ALL
+SELECT a, b, i + 1, list_transform(range(0, len(b) + 1), lambda j: greatest(cells[j + 1], coalesce(list_max(list_transform(list_filter(range(1, j + 1), lambda k: b[k:k] = a[i + 1:i + 1]), lambda k: cells[k] + 1)), 0))) FROM r WHERE i < len(a)),
+s AS (SELECT a, b, (200 * cells[len(b) + 1] + (len(a) + len(b)) // 2) // (len(a) + len(b)) AS s FROM r WHERE i = len(a))
+SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CAST(s AS BIGINT) AS similarity FROM part LEFT JOIN s ON s.a = string_split(p_name, ' ')[1] AND s.b = string_split(p_name, ' ')[2]""",
     "audit_rollup": f"SELECT o_custkey, count(*) AS n_findings, CAST(max(CASE severity WHEN 'error' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END) AS BIGINT) AS max_rank, bool_or(severity = 'error') AS any_error FROM ({_FOUND}) GROUP BY o_custkey",
-    "artist_split_explode": "SELECT CAST(p_partkey AS BIGINT) AS p_partkey, unnest(list_distinct(string_split(p_name, ' '))) AS name FROM part",
-    "filename_facts": "SELECT page_id, nullif(regexp_extract(url, '([0-9]+)[^0-9]*$', 1), '') AS number FROM pages",
-    "query_hash": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, sha256(n_nationkey || '|' || lower(trim(n_name))) AS hash FROM nation",
-    "size_buckets": "SELECT CASE WHEN n_chars < 500 THEN 'small' WHEN n_chars < 2000 THEN 'medium' WHEN n_chars < 10000 THEN 'large' ELSE 'huge' END AS bucket, count(*) AS n FROM documents GROUP BY 1",
-    "sliding_600s": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000 RANGE BETWEEN 600 PRECEDING AND CURRENT ROW) AS n FROM events",
-    "auto_number": "SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, n AS number, total FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS n, count(*) OVER (PARTITION BY l_orderkey) AS total FROM lineitem) WHERE n <> l_linenumber",
+    "artist_split_explode": "SELECT CAST(p_partkey AS BIGINT) AS p_partkey, unnest(list_distinct(list_append(string_split(p_name, ' '), p_brand))) AS name FROM part",
+    "filename_facts": f"WITH {track_queries._TRACKS} SELECT ord, CAST(CASE WHEN ord % 3 = 0 THEN 2 END AS INT) AS disc, CAST(ord % 90 + 10 AS INT) AS track, regexp_extract(path, 'Brand#[0-9]+') AS artist, regexp_extract(path, ' - ([^/]*)[.]flac$', 1) AS title FROM t",
+    "query_hash": """SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, sha256('{"album":"' || n_name || '","cache_version":4,"year":null}') AS hash FROM nation""",
+    "size_buckets": "SELECT CASE WHEN n_chars * 50000 < 10485760 THEN 'small' WHEN n_chars * 50000 < 104857600 THEN 'medium' WHEN n_chars * 50000 < 1073741824 THEN 'large' ELSE 'huge' END AS bucket, count(*) AS n FROM documents GROUP BY 1",
+    "sliding_600s": "SELECT event_id, count(*) OVER (ORDER BY epoch_us(ts) // 1000000 RANGE BETWEEN 600 PRECEDING AND CURRENT ROW) AS n FROM events",
+    "auto_number": f"""WITH {track_queries._TRACKS}, k AS (SELECT path, track_number, greatest(coalesce(disc_number, 1), 1) AS disc, CASE WHEN trim(album) = '' THEN lower(regexp_replace(path, '/[^/]*$', '')) ELSE lower(coalesce(album_artist, '')) || '/' || lower(album) END AS k FROM t)
+SELECT path, row_number() OVER (PARTITION BY k, disc ORDER BY track_number NULLS LAST, path) AS number, count(*) OVER (PARTITION BY k, disc) AS total, CAST(disc AS BIGINT) AS disc, CAST(max(disc) OVER (PARTITION BY k) AS BIGINT) AS discs FROM k""",
     "coalesce_by_priority": """WITH u AS (SELECT CAST(s_nationkey AS BIGINT) AS k, s_name AS name, s_acctbal AS b, s_suppkey * 2 AS ord, 'discogs' AS source FROM supplier WHERE s_acctbal > 5000
 UNION ALL SELECT c_nationkey, c_name, c_acctbal, c_custkey * 2 + 1, 'llm' FROM customer),
 y AS (SELECT *, CASE WHEN b > 9000 THEN CAST(CAST(floor(b) AS BIGINT) AS VARCHAR) END AS year FROM u)
@@ -332,3 +354,6 @@ SELECT CAST(c_nationkey AS BIGINT) AS k, CAST(max(c_custkey) AS BIGINT) AS v FRO
     "uniform_guard": "SELECT l_returnflag AS field, count(DISTINCT l_suppkey || '/' || l_orderkey) AS n_paths, count(DISTINCT l_suppkey) AS n_folders FROM lineitem GROUP BY 1 HAVING count(DISTINCT CASE WHEN l_returnflag = 'A' THEN 'A' ELSE l_linestatus END) = 1 AND count(DISTINCT l_suppkey) > 1",
     "grouped_tags": "SELECT event_type AS key, CAST(event_id % 7 AS VARCHAR) AS value, count(DISTINCT user_id) AS n_paths FROM events GROUP BY 1, 2",
 }
+
+QUERIES |= track_queries.QUERIES
+ORACLE_SQL |= track_queries.ORACLE_SQL

@@ -4,10 +4,13 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from stackwright.functions import lyrics, patterns
+from stackwright.functions import names as N
 from stackwright.functions import text as T
 from stackwright.functions.pipeline import pipeline
-from stackwright.operators import audit, candidates, health, matching, state
+from stackwright.operators import audit, candidates, health, matching, positions, rollups, scopes, state
 from stackwright.plans import changes as planning
+from stackwright.plans import edits
 from stackwright.sources import library, providers, tags
 from stackwright.streaming import incremental
 
@@ -23,7 +26,7 @@ def test_text_functions(spark):
     assert one(spark, T.missing(s), s="　") and one(spark, T.missing(s), s=None)
     assert one(spark, T.extract(s, "([0-9]+)"), s="abc") is None
     assert tuple(one(spark, T.number_pair(s), s="3/0")) == (3, None)
-    assert one(spark, T.split_names(s), s="王菲.那英 feat. AC/DC & ac; 王菲") == ["王菲", "那英", "AC", "DC"]
+    assert one(spark, N.split_names(s), s="王菲.那英 feat. AC/DC & ac; 王菲") == ["王菲", "那英", "AC", "DC"]
     assert one(spark, T.strip_annotations(s), s="Song (2011 Remastered)") == "Song"
     assert one(spark, T.title_key(T.nfkc(s)), s="Ｗｏｗ！  «Yes»") == "wow yes"
     assert tuple(one(spark, T.file_facts(s), s="1-02. A - B.flac")) == (1, 2, "A", "B")
@@ -167,7 +170,7 @@ def test_state(spark):
     old, new = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
     assert {(r.k, r.v) for r in state.upsert(old, new, ["k"]).collect()} == {(1, "a"), (2, "c"), (3, "d")}
     tags_ = spark.createDataFrame([("p", 0, "Mood", "x"), ("q", 0, "MOOD", "x")], "path string, ord int, key string, value string")
-    assert [tuple(r) for r in state.grouped_tags(tags_).collect()] == [("Mood", "x", ["p", "q"])]
+    assert [tuple(r) for r in state.grouped_tags(tags_).collect()] == [("Mood", "x", 2)] and {r.path for r in state.tag_paths(tags_).collect()} == {"p", "q"}
     assert state.same_tags(tags_, tags_.withColumn("key", F.upper("key"))).filter("same").count() == 2
 
 
@@ -225,3 +228,91 @@ def test_provider_answers(spark):
     found = providers.discogs_tracks(answers).orderBy("idx").collect()
     assert [(r.title, r.artist, r.track_number, r.track_total, r.disc_number, r.length) for r in found] == [("x", "A", 1, 1, 1, 245.0), ("y", "B", 1, 1, 2, None)]
     assert tuple(providers.discogs_releases(answers).first()) == ("7", "T", "1999", "Rock, Pop")
+
+
+def test_similarity(spark):
+    sim = lambda a, b: one(spark, T.similarity(F.col("a"), F.col("b")), a=a, b=b)
+    assert (sim("", ""), sim("", "a"), sim("a", ""), sim(None, "a"), sim("abcd", "abxd"), sim("kitten", "sitting")) == (100, 0, 0, None, 75, 62)
+
+    def plain(a, b):
+        rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                rows[i + 1][j + 1] = rows[i][j] + 1 if x == y else max(rows[i][j + 1], rows[i + 1][j])
+        return rows[-1][-1]
+
+    rng = __import__("random").Random(1)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("ab爱cd") for _ in range(rng.randrange(90))) for _ in range(2))
+        assert T.common_length(a, b) == plain(a, b)
+
+
+@pytest.mark.parametrize(
+    ("folder", "year"),
+    [("2004 - A", "2004"), ("Album (2004 remaster)", None), ("A《2004.B》", "2004"), ("A「 1999」", "1999"), ("20045", None), ("2004", "2004"), ("《A》《2001-B》x", "2001"), ("(2004) A", None)],
+)
+def test_release_year(spark, folder, year):
+    assert one(spark, T.release_year(F.col("s")), s=folder) == year
+
+
+def test_names(spark):
+    s, two = F.col("s"), lambda f, a, b: one(spark, f(F.col("a"), F.col("b")), a=a, b=b)
+    assert one(spark, N.lookup_key(s), s="Café  del Mar III!") == "cafe del mar 3"
+    assert one(spark, N.lookup_key(s), s="愛 情 X") == "愛情 10"
+    assert two(N.albums_match, "Abbey Road", "ABBEY ROAD (Remastered)") and not two(N.albums_match, "Abbey Road", "Let It Be")
+    assert two(N.albums_match, "愛情", "爱情 精选") and two(N.albums_match, "", "anything")
+    assert (two(N.album_score, "愛情", "爱情"), two(N.album_score, "Blue", "Kind of Blue"), two(N.album_score, "Kind of Blue", "Blue"), two(N.album_score, "x", "y")) == (100, 85, 70, 0)
+    assert two(N.album_score, "爱情故事集", "爱情故事全集") == 77
+    assert not two(N.artists_match, "Various Artists", "Various Artists") and two(N.artists_match, "張學友 = Jacky Cheung*", "jacky cheung")
+    assert two(N.artists_equal, "AC/DC", "ac dc") and not two(N.artists_equal, "AC", "DC")
+    assert one(spark, N.split_names(s, "pipeline"), s="a & b / c；d") == ["a", "b / c", "d"]
+    assert one(spark, N.split_names(s, "edit"), s="a _ b ft. C") == ["a", "b", "C"]
+    assert one(spark, N.split_names(s, "list"), s="a & b; c;C") == ["a & b", "c"]
+    assert one(spark, N.provider_artist(s), s="Genesis (band; UK)") == "Genesis" and one(spark, N.provider_artist(s), s=" (2)") == "(2)"
+    assert tuple(one(spark, N.told_by_file(s), s="/x/03. A B - C.mp3")) == ("A B", "C") and one(spark, N.told_by_file(s), s="/x/A-B.mp3") is None
+    assert one(spark, N.clean_folder(s), s="2001.《A》日本版 [FLAC]") == "A"
+    assert one(spark, N.provider_key(s), s="MusicBrains Release-Id") == "MUSICBRAINZ_ALBUMID"
+    assert one(spark, N.sentinel_free(s), s=" N/A ") is None
+
+
+def test_paths(spark):
+    inside = lambda a, b: one(spark, T.inside(F.col("a"), F.col("b")), a=a, b=b)
+    assert inside("/a/b/c", "/a/b") and inside("/a/b", "/a/b/") and inside("/a/x/../b/c", "/a/./b")
+    assert not inside("/a/bc", "/a/b") and not inside("/a/b", "/a/b/c") and not inside("/../a", "/a")
+    assert one(spark, T.short_path(F.col("s")), s="a\\b/c/d/e") == "b/c/d/e" and one(spark, T.short_path(F.col("s")), s="a") == "a"
+
+
+def test_patterns(spark):
+    s = F.col("s")
+    read = lambda p, text: one(spark, patterns.parse_filename(p, s), s=text)
+    assert read("%{track}% - %{artist}% - %{title}%", "2 - ABC - XYZ.mp3") == {"track": "2", "artist": "ABC", "title": "XYZ"}
+    assert read("%{title}%%{ext}%", "a.b.mp3") == {"title": "a.b"} and read("%{year}% %{title}%", "99 x.mp3") is None
+    for wrong in ("plain", "%{nothing}%", "%{title}% %{title}%"):
+        with pytest.raises(ValueError):
+            patterns.template_regex(wrong)
+    built = patterns.build_filename("%{track}% - %{title}%%{ext}%", {"track": F.lit(3), "title": F.lit(None).cast("string")}, s)
+    assert one(spark, built, s="x.flac") == "03 - Unknown.flac"
+    assert patterns.query_fields('artist:AC/DC album:"Back: in Black" x') == {"artist": "AC/DC", "album": "Back: in Black"}
+    assert patterns.query_fields("ALBUM:One Two artist:Three") == {"artist": "Three", "album": "One Two"} and patterns.query_fields("nothing") == {}
+    assert patterns.canonical_json({"b": [1, {"d": None, "c": "é"}], "a": True}) == '{"a":true,"b":[1,{"c":"é","d":null}]}'
+    assert one(spark, patterns.like_glob(s, "*.FL?C"), s="a+b.flac") and not one(spark, patterns.like_glob(s, "a?"), s="abc")
+
+
+def test_lyrics(spark):
+    problem = lambda t: one(spark, lyrics.problem(F.col("s")), s=t)
+    assert [problem(t) for t in ("fine\r\n", "愛", "a\x00", "a�", "a\x07", "﻿é", "我爱你".encode().decode("cp1252", "replace"), None)] == [None, None, "nul", "replacement", "control", None, "misread", None]
+    assert lyrics.misread("愛情".encode().decode("cp1252")) and not lyrics.misread("我爱你中国") and not lyrics.misread("étoile")
+    files = spark.createDataFrame([("a/1.lrc", "愛\r\n".encode("big5")), ("a/1.txt", b"other"), ("a/2.txt", "﻿plain".encode()), ("a/3.lrc", b" "), ("a/4.mp3", b"x")], "path string, content binary")
+    assert {r.base: (r.kind, r.lyrics) for r in lyrics.sidecars(files).collect()} == {"a/1": ("lrc", "愛\n"), "a/2": ("txt", "plain")}
+    assert [one(spark, lyrics.language(F.col("a"), F.col("b")), a=a, b=b) for a, b in (("EN", "愛"), ("und", "愛"), ("xyz", ""), ("x", "かな愛"), (None, "한"), (None, "la"))] == ["eng", "zho", "xyz", "jpn", "kor", "und"]
+
+
+def test_empty_tables_of_track_operators(spark):
+    tracks = spark.createDataFrame([], "ord long, path string, title string, artist string, album string, album_artist string, genre string, year string, size_bytes long, duration double, disc_number int, disc_total int")
+    assert rollups.library_facts(tracks).first().n_tracks == 0
+    assert all(f(tracks).count() == 0 for f in (rollups.batch_suggestions, rollups.differing_fields, edits.infer_tags, edits.strip_title_numbers, positions.indexed))
+    assert scopes.page_facts(tracks, "search").first().asDict() == {"total": 0, "next_offset": None}
+    with pytest.raises(ValueError):
+        scopes.album_paths(tracks, tracks)
+    with pytest.raises(ValueError):
+        edits.edit(spark.createDataFrame([("a", "x"), ("b", "y")], "path string, title string"), F.lit(True), {"title": "z"})
