@@ -17,7 +17,7 @@ anchor, with the text that its strings cover (``starts + length - 1`` units). Th
 4. Heads of anchors with over ``MOST_HEADS`` different texts take steps 2 and 3 again under anchors from longer grams:
    twice as long, and last as long as the strings themselves, where all texts under an anchor are the same string.
 
-Texts are shuffled once (the exchange serves step 3 and the result). Places are (doc_id, tag, start): the tag, 64 bits
+Documents are shuffled twice, for step 3 and for the result; the texts of heads go along to deeper anchors. Places are (doc_id, tag, start): the tag, 64 bits
 of a hash of the text, tells rows apart that share a doc_id or have none, and deals them out. Rows equal in both are the
 same document. A copy is told from its text's head by anchor and key, 128 bits of hashes of overlapping text.
 """
@@ -48,8 +48,8 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
 PLACE = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("start", "<i4"), ("starts", "<i4")])
-RUN_COLUMNS = ["kind", "anchor", "key", "copies", "alone", "doc", "tag", "start", "starts"]
-RUN_SCHEMA = "kind int, anchor long, key long, copies boolean, alone boolean, doc long, tag long, start int, starts int"
+RUN_COLUMNS = ["kind", "anchor", "key", "copies", "alone", "doc", "tag", "start", "starts", "units"]
+RUN_SCHEMA = "kind int, anchor long, key long, copies boolean, alone boolean, doc long, tag long, start int, starts int, units binary"
 TEXT_SCHEMA = "anchor long, key long, copies boolean, doc long, tag long, start int, starts int, units binary"
 JUDGED_SCHEMA = "confirmed boolean, anchor long, key long, doc long, tag long, start int, starts int"
 COPY, RUN, HEAD, HOT = 0, 1, 2, 3
@@ -128,12 +128,13 @@ class Repeats:
 
     # Step 1
 
-    def runs(self, texts: Iterable[tuple], gram: int) -> pa.RecordBatch | None:
-        """RUN and COPY rows of texts (doc, tag, number of the first unit, raw, has copies)."""
+    def runs(self, texts: Iterable[tuple], gram: int, carry: bool) -> pa.RecordBatch | None:
+        """RUN and COPY rows of texts (doc, tag, number of the first unit, raw, has copies); RUN rows with text if ``carry``."""
         import xxhash
 
         digest, unit, length = xxhash.xxh3_64_intdigest, self.unit_bytes, self.length
         held: list[tuple] = []
+        carried: list[bytes] = []
         for doc, tag, base, raw, copied in texts:
             if len(raw) < length * unit:
                 continue
@@ -145,6 +146,8 @@ class Repeats:
             for a, b, c, d in zip(low.tolist(), high.tolist(), core_low.tolist(), core_high.tolist()):
                 keys.append(digest(raw[a:b]))
                 alone.append(c < d and raw.find(raw[c:d], a, b) == c)
+            if carry:
+                carried += [raw[a:b] for a, b in zip(low.tolist(), high.tolist())]
             place = np.empty(len(anchors), PLACE)
             place["doc"], place["tag"], place["start"], place["starts"] = doc, tag, first + base, starts
             held.append((anchors.view(np.int64), np.array(keys, np.uint64).view(np.int64), np.array(alone), place, np.full(len(anchors), copied)))
@@ -162,23 +165,27 @@ class Repeats:
         stay = new | copy
         kind = np.where(copy, COPY, RUN).astype(np.int32)
         columns = [kind, anchors, keys, copies, alone, place["doc"], place["tag"], place["start"], place["starts"]]
-        return _rows([np.ascontiguousarray(c[stay]) for c in columns])
+        at = order[stay]
+        units = pa.array([carried[i] for i in at], pa.binary()) if carry else pa.nulls(len(at), pa.binary())
+        return _rows([*(np.ascontiguousarray(c[stay]) for c in columns), units])
 
     def scan(self, keyed_docs: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts = zip(batch["doc"].to_pylist(), batch["tag"].to_pylist(), batch["text"].cast(pa.binary()))
-                found = self.runs(((d, t, 0, self.raw_of(v.as_py()), False) for d, t, v in texts), self.grams[0])
+                found = self.runs(((d, t, 0, self.raw_of(v.as_py()), False) for d, t, v in texts), self.grams[0], False)
                 if found is not None:
                     yield found
 
         return keyed_docs.select("doc", "tag", "text").mapInArrow(run, RUN_SCHEMA)
 
     def scan_again(self, texts: DataFrame, gram: int) -> DataFrame:
+        """scan() of heads with their texts, which stay with the runs."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = zip(*(batch[c].to_pylist() for c in ("doc", "tag", "start", "units", "copies")))
-                found = self.runs(rows, gram)
+                found = self.runs(rows, gram, True)
                 if found is not None:
                     yield found
 
@@ -192,9 +199,12 @@ class Repeats:
         def stream(batches):
             last = None  # the last head: its row, whether it has copies, is first under its anchor, and its number there
 
-            def head_rows(kind, anchor, key, copies, place) -> pa.RecordBatch:
+            def head_rows(kind, anchor, key, copies, place, units) -> pa.RecordBatch:
                 n = len(anchor)
-                return _rows([np.full(n, kind, np.int32), anchor, key, copies, np.zeros(n, bool), *(np.ascontiguousarray(place[k]) for k in PLACE.names)])
+                return _rows([np.full(n, kind, np.int32), anchor, key, copies, np.zeros(n, bool), *(np.ascontiguousarray(place[k]) for k in PLACE.names), units])
+
+            def last_row() -> pa.RecordBatch:
+                return head_rows(HEAD, *(np.array([last[k]]) for k in ("anchor", "key", "copies")), last["place"], last["units"])
 
             for batch in batches:
                 kinds = batch["kind"].to_numpy()
@@ -215,7 +225,7 @@ class Repeats:
                 head_place = np.concatenate([last["place"] if last else place[:1], place[heads]])
                 copy = ~new & ~_same_place(place, head_place[of])
                 if copy.any():
-                    yield head_rows(COPY, anchor[copy], key[copy], copies[copy], place[copy])
+                    yield head_rows(COPY, anchor[copy], key[copy], copies[copy], place[copy], pa.nulls(int(copy.sum()), pa.binary()))
                 has = np.bincount(of, weights=copy | copies, minlength=len(heads) + 1) > 0
                 if last:
                     last["copies"] |= bool(has[0])
@@ -225,18 +235,17 @@ class Repeats:
                 before_first = np.cumsum(first)
                 number = np.arange(len(heads)) - np.concatenate([[-(last["number"] + 1) if last else 0], np.flatnonzero(first)])[before_first]
                 if last and (last["copies"] or not last["first"] or not last["alone"] or not first[0]):
-                    yield head_rows(HEAD, *(np.array([last[k]]) for k in ("anchor", "key", "copies")), last["place"])
+                    yield last_row()
                 goes = has[1:] | ~first | ~alone[heads] | np.concatenate([~first[1:], [False]])
                 goes[-1] = False
-                if goes.any():
-                    yield head_rows(HEAD, anchor[heads][goes], key[heads][goes], has[1:][goes], place[heads][goes])
-                hot = number == MOST_HEADS
-                if hot.any():
-                    yield head_rows(HOT, anchor[heads][hot], key[heads][hot], has[1:][hot], place[heads][hot])
+                for kind, chosen in ((HEAD, goes), (HOT, number == MOST_HEADS)):
+                    if chosen.any():
+                        at = heads[chosen]
+                        yield head_rows(kind, anchor[at], key[at], has[1:][chosen], place[at], batch["units"].take(pa.array(at)))
                 z = heads[-1]
-                last = {"anchor": anchor[z], "key": key[z], "place": place[z : z + 1].copy(), "copies": bool(has[-1]), "alone": bool(alone[z]), "first": bool(first[-1]), "number": int(number[-1])}
+                last = {"anchor": anchor[z], "key": key[z], "place": place[z : z + 1].copy(), "units": batch["units"].slice(z, 1), "copies": bool(has[-1]), "alone": bool(alone[z]), "first": bool(first[-1]), "number": int(number[-1])}
             if last and (last["copies"] or not last["first"] or not last["alone"]):
-                yield head_rows(HEAD, *(np.array([last[k]]) for k in ("anchor", "key", "copies")), last["place"])
+                yield last_row()
 
         # Copies go by their documents: they aren't grouped.
         dealt = runs.repartition(F.when(F.col("kind") == RUN, F.col("anchor")).otherwise(F.xxhash64("doc", "tag", "start")))
@@ -313,20 +322,22 @@ class Repeats:
     def _judged(self, runs: DataFrame, dealt: DataFrame, level: int) -> DataFrame:
         """Ranges of repeated starts (doc, tag, start, starts) among ``runs``, under anchors from grams of a level."""
         found = materialize(self.group(runs))
-        heads = found.filter(F.col("kind") == HEAD)
+        heads = found.filter(F.col("kind") == HEAD).drop("kind", "alone")
         copies = found.filter(F.col("kind") == COPY).select("anchor", "key", "doc", "tag", "start", "starts")
         hot = found.filter(F.col("kind") == HOT).select("anchor").distinct()
         n_hot = hot.count() if level + 1 < len(self.grams) else 0
+        with_text = (lambda rows: self.texts(rows, dealt)) if level == 0 else (lambda rows: rows)
         if not n_hot:
-            judged = materialize(self.compare(self.texts(heads, dealt)))
+            judged = materialize(self.compare(with_text(heads)))
             confirmed, out = judged.filter("confirmed").select("anchor", "key"), judged.filter("NOT confirmed")
         else:
             hot = F.broadcast(hot) if n_hot <= MOST_BROADCAST else hot
-            judged = materialize(self.compare(self.texts(heads.join(hot, "anchor", "left_anti"), dealt)))
-            deeper = self.texts(heads.join(hot, "anchor", "left_semi"), dealt)
+            texts = materialize(with_text(heads))
+            judged = materialize(self.compare(texts.join(hot, "anchor", "left_anti")))
+            deeper = texts.join(hot, "anchor", "left_semi")
             again = self._judged(self.scan_again(deeper, self.grams[level + 1]), dealt, level + 1)
             # A text with copies has all its strings met one level deeper, where it keeps that mark.
-            confirmed = judged.filter("confirmed").select("anchor", "key").unionByName(heads.join(hot, "anchor", "left_semi").filter("copies").select("anchor", "key"))
+            confirmed = judged.filter("confirmed").select("anchor", "key").unionByName(deeper.filter("copies").select("anchor", "key"))
             out = judged.filter("NOT confirmed").select("doc", "tag", "start", "starts").unionByName(again)
         columns = ["doc", "tag", "start", "starts"]
         return out.select(*columns).unionByName(copies.join(confirmed.distinct(), ["anchor", "key"]).select(*columns))
