@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+import struct
 import unicodedata
 import zlib
 from collections import defaultdict
@@ -40,12 +41,19 @@ VOCABULARY = "byte_bpe_50k"
 BUCKET_ROWS = 1 << 14
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, bucket_key long"
 #: Words whose ids a Python worker remembers.
-MOST_WORDS = 1 << 19
+MOST_WORDS = 1 << 18
 #: Fixed value: the tokenizer's own rule for cutting texts into words, within which it merges bytes.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPECIAL = "<|endoftext|>"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: visible Latin-1 characters for themselves, then 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {byte: chr(byte if byte in visible else next(others)) for byte in range(256)}
+
+
 def _unsettled() -> re.Pattern:
     """Matches characters that Unicode versions may class differently: all but those of version 3.2 that kept their class."""
     settled, start = [], None
@@ -61,6 +69,19 @@ def _unsettled() -> re.Pattern:
     return re.compile(f"[^{''.join(settled)}]")
 
 
+class Words(dict):
+    """Ids of words as bytes, merged by the tokenizer's model where they aren't known yet."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.merge, self.letters = model.tokenize, _byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = [t.id for t in self.merge(word.encode().decode("latin-1").translate(self.letters))]
+        found = self[word] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
+
+
 class Encoder:
     """Token ids by the tokenizers library. A word's ids don't depend on its neighbours, so each word is encoded once."""
 
@@ -75,7 +96,7 @@ class Encoder:
 
             path = public_tokenizers.path(f"{VOCABULARY}.json")
         self.tokenizer, self.words, self.unsettled = Tokenizer.from_file(path), regex.compile(WORDS), _unsettled()
-        self.held: dict[str, list[int]] = {}
+        self.held = Words(self.tokenizer.model)
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -84,15 +105,9 @@ class Encoder:
         """Ids of the whole text, no special tokens added; where words may be cut otherwise, the text is encoded as one."""
         if SPECIAL in text or self.unsettled.search(text):
             return np.array(self.whole(text), "<u4")
-        ids: list[int] = []
-        for word in self.words.findall(text):
-            found = self.held.get(word)
-            if found is None:
-                if len(self.held) >= MOST_WORDS:
-                    self.held.clear()
-                found = self.held[word] = self.whole(word)
-            ids += found
-        return np.array(ids, "<u4")
+        if len(self.held) > MOST_WORDS:
+            self.held.clear()
+        return np.frombuffer(b"".join(map(self.held.__getitem__, self.words.findall(text))), "<u4")
 
 
 @lru_cache(maxsize=2)
