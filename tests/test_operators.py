@@ -302,7 +302,7 @@ def test_lyrics(spark):
     problem = lambda t: one(spark, lyrics.problem(F.col("s")), s=t)
     assert [problem(t) for t in ("fine\r\n", "愛", "a\x00", "a�", "a\x07", "﻿é", "我爱你".encode().decode("cp1252", "replace"), None)] == [None, None, "nul", "replacement", "control", None, "misread", None]
     assert lyrics.misread("愛情".encode().decode("cp1252")) and not lyrics.misread("我爱你中国") and not lyrics.misread("étoile")
-    files = spark.createDataFrame([("a/1.lrc", "愛\r\n".encode("big5")), ("a/1.txt", b"other"), ("a/2.txt", "﻿plain".encode()), ("a/3.lrc", b" "), ("a/4.mp3", b"x")], "path string, content binary")
+    files = spark.createDataFrame([("a/1.lrc", "愛\r\n".encode("gb18030")), ("a/1.txt", b"other"), ("a/2.txt", "﻿plain".encode()), ("a/3.lrc", b" "), ("a/4.mp3", b"x")], "path string, content binary")
     assert {r.base: (r.kind, r.lyrics) for r in lyrics.sidecars(files).collect()} == {"a/1": ("lrc", "愛\n"), "a/2": ("txt", "plain")}
     assert [one(spark, lyrics.language(F.col("a"), F.col("b")), a=a, b=b) for a, b in (("EN", "愛"), ("und", "愛"), ("xyz", ""), ("x", "かな愛"), (None, "한"), (None, "la"))] == ["eng", "zho", "xyz", "jpn", "kor", "und"]
 
