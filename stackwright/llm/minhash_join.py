@@ -1,6 +1,7 @@
 """Near-duplicate components by an inverted join over MinHash signature coordinates.
 
-1. Documents with the same shingle set form a class, represented by its least doc_id; the rest works on classes.
+1. Documents with the same shingle set form a class, numbered when classes are written; the rest works on classes. The
+   numbers only tell classes apart: no result hangs on them.
 2. A signature has ``COORDINATES`` coordinates of two minima each, so that unlike texts rarely agree on one. A class is
    posted under (coordinate, value) pairs. Classes that agree on at least ``MATCHES`` of the minima differ in
    ``MINIMA - MATCHES`` coordinates at most, so they share one of any ``PREFIX`` (one more than that) of them, and only that
@@ -16,8 +17,11 @@
 
 A pair with similarity 0.8 agrees on fewer than 36 of 64 minima with probability about 2e-6.
 
-Text without words (or null) has an empty set, is its own component and is kept. Rows that repeat a doc_id count as
-copies of each other only if their sets agree.
+Defined results: text without words (or null, or empty) has an empty set, is its own component and is kept. Very long texts
+are taken whole, in blocks of fewer classes. Rows that share a doc_id are judged each by its own text; both are kept where
+that doc_id is the least of their component. A null doc_id is never a component's least while another row has one; where
+none has, component_id is null and the rows are kept. Of equal sets the least doc_id stays; rows repeated as a whole come
+out as often. No rows in, no rows out; only doc_id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -99,29 +103,33 @@ def _pairs(signatures: np.ndarray) -> np.ndarray:
     return _mix(mixed[:, ::2] * _GOLDEN + mixed[:, 1::2])
 
 
+def set_key(shingles: np.ndarray) -> list[int]:
+    """128-bit hash of a shingle set, as two integers."""
+    import xxhash
+
+    return np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), np.int64).tolist()
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("text_hash", F.xxhash64("text"))
+
+
 def document_sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, set_high and set_low (128-bit hash of the set, null if empty), signature (binary)."""
+    """doc_id, text_hash, n_shingles, set_high and set_low (128-bit hash of the set, null if empty), signature (binary)."""
 
     def sets(batches):
-        import xxhash
-
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].cast(pa.binary())):
+            for text in batch["text"].cast(pa.binary()):
                 found = shingle_set(text.as_py(), words)
-                if not len(found):
-                    rows.append((doc_id, 0, None, None, None))
-                    continue
-                key = xxhash.xxh3_128_digest(found.tobytes())
-                rows.append((doc_id, len(found), *np.frombuffer(key, np.int64).tolist(), signature(found).tobytes()))
-            columns = list(zip(*rows)) or [()] * 5
+                rows.append((len(found), *set_key(found), signature(found).tobytes()) if len(found) else (0, None, None, None))
+            columns = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
-                ["doc_id", "n_shingles", "set_high", "set_low", "signature"],
+                [batch["doc_id"], batch["text_hash"], *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary())))],
+                ["doc_id", "text_hash", "n_shingles", "set_high", "set_low", "signature"],
             )
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return chosen.mapInArrow(sets, "doc_id long, n_shingles long, set_high long, set_low long, signature binary")
+    return _texts(docs).mapInArrow(sets, "doc_id long, text_hash long, n_shingles long, set_high long, set_low long, signature binary")
 
 
 def pair_sketch(classes: DataFrame) -> np.ndarray:
@@ -261,15 +269,21 @@ def _merge_across(open_postings: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """class_id and the full shingle set (binary) of the classes in ``wanted``."""
+    """class_id and the full shingle set (binary) of the classes in ``wanted``, each from a row that it names.
+
+    A row is named by doc_id (null equals null) and hash of its text; a text with another set than the class is passed over.
+    """
 
     def sets(batches):
         for batch in batches:
-            found = [shingle_set(t.as_py(), words).tobytes() for t in batch["text"].cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch["class_id"], pa.array(found, pa.binary())], ["class_id", "shingles"])
+            found = [shingle_set(t.as_py(), words) for t in batch["text"].cast(pa.binary())]
+            same = [set_key(x) == [high, low] for x, high, low in zip(found, batch["set_high"].to_pylist(), batch["set_low"].to_pylist())]
+            out = pa.RecordBatch.from_arrays([batch["class_id"], pa.array([x.tobytes() for x in found], pa.binary())], ["class_id", "shingles"])
+            yield out.filter(pa.array(same, pa.bool_()))
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("class_id"), text_or_empty().alias("text"))
-    return chosen.join(wanted.select("class_id"), "class_id", "left_semi").mapInArrow(sets, "class_id long, shingles binary")
+    named = wanted.select("class_id", "set_high", "set_low", F.col("row.doc_id").alias("_doc_id"), F.col("row.text_hash").alias("_hash"))
+    chosen = _texts(docs).join(named, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_hash") == F.col("_hash")))
+    return chosen.select("class_id", "set_high", "set_low", "text").mapInArrow(sets, "class_id long, shingles binary").dropDuplicates(["class_id"])
 
 
 def confirmed_links(members: list[np.ndarray], probes: list[np.ndarray]) -> list[np.ndarray]:
@@ -334,8 +348,9 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     sets = materialize(document_sets(docs, words))
-    classes = sets.filter("n_shingles > 0").groupBy("set_high", "set_low", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.min_by("signature", "doc_id").alias("signature"))
-    classes = materialize(classes)
+    classes = sets.filter("n_shingles > 0").groupBy("set_high", "set_low", "n_shingles")
+    classes = classes.agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("row"), F.min("signature").alias("signature"))
+    classes = materialize(classes.withColumn("class_id", F.monotonically_increasing_id()))
     sketch = spark.sparkContext.broadcast(pair_sketch(classes))
     posted = postings(classes, sketch)
     heads = posted.groupBy(F.col("pair").alias("_pair")).agg(F.count("*").alias("n"), F.max(F.struct("score", "class_id")).alias("head")).filter("n > 1")
@@ -357,7 +372,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     sized = clusters.join(scores, "vertex").join(classes.select(F.col("class_id").alias("vertex"), "n_shingles"), "vertex")
     leaders = sized.groupBy("component").agg(F.max(F.struct("score", "vertex")).alias("head"), F.count("*").alias("members"), F.sum("n_shingles").alias("shingles"))
     leaders = leaders.select(F.col("component").alias("cluster"), F.col("head.vertex").alias("leader"), _blocks(F.col("members"), F.col("shingles")).alias("blocks"))
-    full = _sets_of(docs, clusters.select(F.col("vertex").alias("class_id")), words).dropDuplicates(["class_id"])
+    full = _sets_of(docs, classes.join(clusters.select(F.col("vertex").alias("class_id")), "class_id"), words)
     members = clusters.select(F.col("vertex").alias("class_id"), F.col("component").alias("cluster")).join(leaders, "cluster").join(full, "class_id")
     members = members.withColumn("n_shingles", (F.octet_length("shingles") / 8).cast("long"))
     members = materialize(members.withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")))
@@ -378,7 +393,10 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     rest = _confirm(grouped.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))), asked(probes))
     components = connected_components(materialize(first.unionByName(rest)))
 
-    found = sets.join(classes.select("set_high", "set_low", "class_id", F.col("n_shingles").alias("_n")), ["set_high", "set_low"], "left")
-    found = found.join(components.withColumnRenamed("vertex", "class_id"), "class_id", "left")
-    component = F.coalesce("component", "class_id", "doc_id")
+    placed = components.join(classes.select(F.col("class_id").alias("vertex"), "least"), "vertex")
+    heads = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    placed = placed.join(heads, "component").select(F.col("vertex").alias("class_id"), "component_id")
+    placed = classes.select("set_high", "set_low", "class_id", "least").join(placed, "class_id", "left")
+    found = sets.select("doc_id", "n_shingles", "set_high", "set_low").join(placed, ["set_high", "set_low"], "left")
+    component = F.coalesce("component_id", "least", "doc_id")
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

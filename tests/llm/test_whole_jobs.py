@@ -64,6 +64,20 @@ def test_near_duplicates_in_blocks(spark, monkeypatch, words):
     assert max(largest) <= 3 * minhash_join.BLOCK
 
 
+def test_near_duplicates_of_shared_and_null_ids(spark):
+    """Texts that share a doc_id, or have none, are linked each by its own set; a component's id is its least doc_id."""
+    rng = random.Random(11)
+    base = [[f"w{k}x{rng.randrange(10**6)}" for _ in range(60)] for k in range(5)]
+    near = lambda k: " ".join(base[k][:-3] + ["some", "other", "end"])
+    text = lambda k: " ".join(base[k])
+    rows = [(7, text(0)), (7, text(1)), (8, near(0)), (9, near(1)), (None, text(2)), (None, near(2)), (None, text(3)), (4, near(3))]
+    rows += [(None, text(4)), (None, None), (5, text(2) + " and quite another text " + text(4)), (2**60 + 1, near(4)), (8, near(0))]
+    wanted = [7, 7, 7, 7, None, None, 4, 4, 2**60 + 1, None, 5, 2**60 + 1, 7]
+    found = minhash_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    wanted = Counter((i, len(minhash_join.shingle_set((t or "").encode())), c, i == c) for (i, t), c in zip(rows, wanted))
+    assert Counter(tuple(r) for r in found.collect()) == wanted
+
+
 def test_lines_above_limits_are_removed(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
