@@ -1,6 +1,6 @@
 """Tags of audio files: whole files come from Spark's binaryFile reader, and Arrow batches of them go through a parser.
 
-FLAC, Ogg Vorbis and Opus comments, and ID3v2.3/2.4 text frames are read. A file that can't be parsed keeps its path and
+FLAC, Ogg Vorbis and Opus comments are read here, other formats in ``containers``. A file that can't be parsed keeps its path and
 size, with codec ``unknown`` and the error; it never ends the job. Comments stay long rows (key, value), as keys repeat.
 """
 
@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import containers
+from .containers import CODECS
 
 SCHEMA = "path string, size_bytes long, codec string, duration double, sample_rate int, has_cover boolean, tags array<struct<key:string,value:string>>, error string"
-# Text frames and the comment names that they stand for.
-FRAMES = {"TIT2": "TITLE", "TPE1": "ARTIST", "TALB": "ALBUM", "TPE2": "ALBUMARTIST", "TRCK": "TRACKNUMBER", "TPOS": "DISCNUMBER", "TYER": "DATE", "TDRC": "DATE", "TCON": "GENRE", "TCOM": "COMPOSER"}
 
 
 def _comments(block: bytes) -> list[tuple[str, str]]:
@@ -45,7 +45,7 @@ def _flac(data: bytes) -> tuple:
             tags = _comments(body)
         cover |= kind == 6
         at += 4 + size
-    return "FLAC", samples / rate if rate else 0.0, rate, cover, tags
+    return CODECS["flac"], samples / rate if rate else 0.0, rate, cover, tags
 
 
 def _ogg(data: bytes) -> tuple:
@@ -68,29 +68,17 @@ def _ogg(data: bytes) -> tuple:
         at = body
     head = packets[1].removeprefix(b"OpusTags" if opus >= 0 else b"\x03vorbis")
     tags = _comments(head)
-    return "Opus" if opus >= 0 else "Vorbis", granule / (48000 if opus >= 0 else rate or 1), rate, any(k == "METADATA_BLOCK_PICTURE" for k, _ in tags), tags
-
-
-def _id3(data: bytes) -> tuple:
-    safe = lambda b: (b[0] << 21) | (b[1] << 14) | (b[2] << 7) | b[3]
-    version, end, at, tags, cover = data[3], 10 + safe(data[6:10]), 10, [], False
-    while at + 10 <= end and data[at]:
-        name, size = data[at : at + 4].decode("latin-1"), safe(data[at + 4 : at + 8]) if version >= 4 else int.from_bytes(data[at + 4 : at + 8], "big")
-        body = data[at + 10 : at + 10 + size]
-        cover |= name == "APIC"
-        if name in FRAMES and body:
-            whole = body[1:].decode(("latin-1", "utf-16", "utf-16-be", "utf-8")[min(body[0], 3)], "replace")
-            tags += [(FRAMES[name], v) for v in whole.rstrip("\0").split("\0")]
-        at += 10 + size
-    return "MP3", 0.0, None, cover, tags
+    return CODECS["opus" if opus >= 0 else "vorbis"], granule / (48000 if opus >= 0 else rate or 1), rate, any(k == "METADATA_BLOCK_PICTURE" for k, _ in tags), tags
 
 
 def parse(data: bytes) -> tuple:
     """(codec, seconds, sample rate, has cover, [(key, value)]) of a file's bytes."""
-    for magic, reader in ((b"fLaC", _flac), (b"OggS", _ogg), (b"ID3", _id3)):
+    if data[4:8] == b"ftyp":
+        return containers.mp4(data)
+    for magic, reader in ((b"fLaC", _flac), (b"OggS", _ogg), (b"RIFF", containers.wav), (b"FORM", containers.aiff), (b"MAC ", containers.ape)):
         if data.startswith(magic):
             return reader(data)
-    raise ValueError("no known header")
+    return containers.mpeg(data)
 
 
 def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
