@@ -20,6 +20,13 @@ def duck():
 
 
 def _plain(value):
+    """``value`` so that equal values of both engines are equal and hashable: rows and maps by name, lists as tuples."""
+    if hasattr(value, "asDict"):
+        value = value.asDict()
+    if isinstance(value, dict):
+        return tuple(sorted((k, _plain(v)) for k, v in value.items()))
+    if isinstance(value, (list, tuple)):
+        return tuple(map(_plain, value))
     return round(value, 6) if isinstance(value, float) else value
 
 
