@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bwt_repeats, hierarchical_language, line_quality, minhash_join, mixing, mph_dedup, packing, pu_toxicity, revisit, seed_extend, token_alignment
+from . import bwt_repeats, hierarchical_language, line_quality, minhash_join, mixing, mph_dedup, packing, phrase_fingerprint, pu_toxicity, revisit, seed_extend, token_alignment
 from .common import table
 
 
@@ -53,6 +53,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align_tokens(table(spark, sf_dir, "documents"))
 
 
+def op13_phrase_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_fingerprint.neighbour_likeness(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -67,6 +71,7 @@ QUERIES = {
         op9_seed_extend,
         op10_pack_best_fit,
         op12_token_alignment,
+        op13_phrase_fingerprint,
     )
 }
 
