@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bwt_repeats, hierarchical_language, line_quality, minhash_join, mixing, mph_dedup, packing, phrase_fingerprint, pu_toxicity, revisit, seed_extend, token_alignment
+from . import bwt_repeats, drake_clusters, hierarchical_language, line_quality, minhash_join, mixing, mph_dedup, packing, phrase_fingerprint, pu_toxicity, revisit, seed_extend, token_alignment
 from .common import table
 
 
@@ -49,6 +49,10 @@ def op10_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_best_fit(table(spark, sf_dir, "documents"))
 
 
+def op11_drake_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drake_clusters.drake_clusters(table(spark, sf_dir, "embeddings")).drop("measured")
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align_tokens(table(spark, sf_dir, "documents"))
 
@@ -70,6 +74,7 @@ QUERIES = {
         op8_line_quality,
         op9_seed_extend,
         op10_pack_best_fit,
+        op11_drake_clusters,
         op12_token_alignment,
         op13_phrase_fingerprint,
     )
@@ -79,4 +84,5 @@ ORACLE_SQL = {
     "op1_revisit": revisit.SQL,
     "op6_mph_dedup": mph_dedup.SQL,
     "op8_line_quality": line_quality.SQL,
+    "op11_drake_clusters": drake_clusters.SQL,
 }
