@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
@@ -30,13 +30,14 @@ OTHER_THAN_WORDS = r"[^\p{IsAlphabetic}\p{N}\p{IsWhite_Space}]"
 def split_names(credit: Column, way: str = "provider") -> Column:
     """The artists of a credit by one of five ways (DELIMITERS); later spellings that differ in case only are left out.
 
-    Provider credits and audited tags also part CJK names at dots; planned edits read `` _ `` as a slash.
+    Provider credits, which ignore the case of ASCII letters alone, and audited tags also part CJK names at dots; planned
+    edits read `` _ `` as a slash.
     """
     if way in ("provider", "audit"):
         credit = F.regexp_replace(credit, f"(?<={T.CJK})\\.(?={T.CJK})", ";")
     elif way == "edit":
         credit = F.replace(credit, F.lit(" _ "), F.lit(" / "))
-    return T.distinct_ignoring_case(F.transform(F.split(credit, DELIMITERS[way]), T.trim))
+    return T.distinct_ignoring_case(F.transform(F.split(credit, DELIMITERS[way]), T.trim), T.ascii_lower if way == "provider" else F.lower)
 
 
 def collaborators(artist: Column, artists: Column) -> Column:
@@ -53,11 +54,42 @@ def provider_artist(name: Column) -> Column:
     return F.nullif(T.trim(F.regexp_replace(bare, r"(?U)\s+\([^)]*[;，,][^)]*\)\s*$", "")), F.lit(""))
 
 
-def canonical_artists(names: Column, known: Column, canonical: Column) -> Column:
-    """``names`` with ``canonical`` in place of each that equals one of ``known``; names of question marks alone go."""
-    same = F.transform(known, lambda k: plain(k))
-    kept = F.filter(names, lambda n: ~n.rlike(r"^\?+$"))
-    return T.distinct_ignoring_case(F.transform(kept, lambda n: F.when(F.array_contains(same, plain(n)), canonical).otherwise(n)))
+def same_but_for_case(a: Column, b: Column) -> Column:
+    """Equal without blanks around them and without the case of ASCII letters."""
+    return T.ascii_lower(T.trim(a)) == T.ascii_lower(T.trim(b))
+
+
+def canonical_artists(names: Column, old: Column, canonical: Column) -> Column:
+    """``names`` with ``canonical`` in place of each that is ``old`` but for case; ``???`` goes, nothing left is ``canonical``."""
+    kept = F.filter(names, lambda n: T.trim(n) != "???")
+    found = F.transform(kept, lambda n: F.when(same_but_for_case(n, old), canonical).otherwise(n))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(canonical))
+
+
+def canonical_candidate(candidate: DataFrame, canonical: Column) -> DataFrame:
+    """Candidates (artist, artists, album_artist, album_artists, tracks) under the artist's canonical name.
+
+    The old name is the first artist, or else the first album artist. Tracks of that artist alone (or of the canonical one)
+    get the canonical name. A null or blank canonical name, or no old one, leaves a row as it is.
+    """
+    name = provider_artist(canonical)
+    both, albums = collaborators(F.col("artist"), F.col("artists")), collaborators(F.col("album_artist"), F.col("album_artists"))
+    old = F.coalesce(F.get(both, F.lit(0)), F.get(albums, F.lit(0)), F.col("artist"))
+    applies = name.isNotNull() & old.isNotNull()
+    rows = candidate.withColumns({"_name": name, "_old": old, "_applies": applies, "_artists": both, "_albums": albums})
+    artists, album_artists = (canonical_artists(F.col(c), F.col("_old"), F.col("_name")) for c in ("_artists", "_albums"))
+
+    def solo(artist: Column) -> Column:
+        return same_but_for_case(artist, F.col("_name")) | same_but_for_case(artist, F.col("_old"))
+
+    def retold(track: Column) -> Column:
+        listed = F.coalesce(track["artists"], F.array().cast("array<string>"))
+        alone = F.coalesce(solo(track["artist"]), F.lit(True)) & F.forall(listed, lambda a: solo(a) | (T.trim(a) == "???"))
+        return F.when(F.col("_applies") & alone, track.withField("artist", F.col("_name")).withField("artists", F.array("_name"))).otherwise(track)
+
+    new = {"artists": artists, "album_artists": album_artists, "artist": F.array_join(artists, " & "), "album_artist": F.array_join(album_artists, " & ")}
+    changed = {c: F.when(F.col("_applies"), v).otherwise(F.col(c)) for c, v in new.items()} | {"tracks": F.transform("tracks", retold)}
+    return rows.withColumns(changed).drop("_name", "_old", "_applies", "_artists", "_albums")
 
 
 def plain(text: Column) -> Column:
@@ -204,9 +236,16 @@ PROVIDER_KEYS = {
     "MUSICBRAINZTRACKID": "MUSICBRAINZ_TRACKID", "MUSICBRAINZRECORDINGID": "MUSICBRAINZ_TRACKID", "MUSICBRAINZALBUMID": "MUSICBRAINZ_ALBUMID",
     "MUSICBRAINZRELEASEID": "MUSICBRAINZ_ALBUMID", "MUSICBRAINZARTISTID": "MUSICBRAINZ_ARTISTID", "DISCOGSARTISTID": "DISCOGS_ARTIST_ID", "DISCOGSRELEASEID": "DISCOGS_RELEASE_ID",
 }
+#: Keys of lyrics, and of what other fields own.
 LYRICS_KEYS = ["LYRICS", "USLT", "SYLT", "SYNCEDLYRICS", "SYNCHRONIZEDLYRICS", "SYNCHRONISEDLYRICS", "UNSYNCEDLYRICS", "UNSYNCHRONISEDLYRICS", "LYRICSLANGUAGE"]
 RESERVED_KEYS = ["TITLE", "ARTIST", "ARTISTS", "ALBUM", "ALBUMARTIST", "ALBUM ARTIST", "DATE", "YEAR", "GENRE", "COMPOSER", "TRACK", "TRACKNUMBER", "TRACKTOTAL", "TOTALTRACKS", "DISC", "DISCNUMBER", "DISCTOTAL", "TOTALDISCS", "METADATA_BLOCK_PICTURE"]
 
+#: Frames and items that the fields of the editor own, besides lyrics. Extra tags read from files leave them out.
+EDITOR_KEYS = [
+    "TIT2", "TITLE", "TPE1", "ARTIST", "TALB", "ALBUM", "TPE2", "ALBUMARTIST", "ALBUM ARTIST", "TDRC", "TYER", "DATE", "YEAR", "TRCK", "TRACK", "TRACKNUMBER", "TRACKTOTAL",
+    "TOTALTRACKS", "TPOS", "DISC", "DISCNUMBER", "DISCTOTAL", "TOTALDISCS", "TCON", "GENRE", "TCOM", "COMPOSER", "METADATA_BLOCK_PICTURE", "APIC",
+]
+
 
 def provider_key(key: Column) -> Column:
     """The canonical name of a provider's id, however it is spelt; null for other keys."""
@@ -226,3 +265,7 @@ def extra_key(key: Column) -> Column:
 
 def is_reserved_key(key: Column) -> Column:
     return is_lyrics_key(key) | F.upper(T.trim(key)).isin(RESERVED_KEYS)
+
+
+def is_editor_key(key: Column) -> Column:
+    return is_lyrics_key(key) | F.upper(T.trim(key)).isin(EDITOR_KEYS)

@@ -32,12 +32,17 @@ def _title_case(v: Column) -> Column:
 
 
 def _prettify(v: Column) -> Column:
-    bare = F.regexp_replace(v, r"^\d+[\s._-]*", "")
-    bare = F.regexp_replace(bare, r"[_-]+", " ")
-    bare = F.regexp_replace(F.regexp_replace(bare, r"([A-Za-z])(\d)", "$1 $2"), r"(\d)([A-Za-z])", "$1 $2")
+    """Without a track number that a separator follows (up to three digits, a disc before it), words in title case.
+
+    Only ASCII letters change case, from a word's first ASCII letter or digit to its last; dotted initials stay.
+    """
+    bare = F.translate(F.regexp_replace(T.trim(v), r"(?iU)^\s*(?:disc\s*)?\d{1,3}(?:[._ -]+|\s+)", ""), "_-", "  ")
+    bare = F.regexp_replace(F.regexp_replace(bare, r"([A-Za-z])(\p{Nd})", "$1 $2"), r"(\p{Nd})([A-Za-z])", "$1 $2")
 
     def word(w: Column) -> Column:
-        return F.when(w.rlike(r"^(?:[A-Za-z]\.)+[A-Za-z]?$"), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2)))))
+        part = lambda k: F.regexp_extract(w, r"^([^A-Za-z0-9]*)([A-Za-z0-9])(.*?)([^A-Za-z0-9]*)$", k)
+        cased = F.concat(part(1), F.upper(part(2)), T.ascii_lower(part(3)), part(4))
+        return F.when(w.rlike(r"^(?:[A-Za-z]\.)+[A-Za-z]?\.?$") | ~w.rlike("[A-Za-z0-9]"), w).otherwise(cased)
 
     return F.array_join(F.transform(F.split(T.collapse(bare), " "), word), " ")
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import string
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -134,11 +136,16 @@ def is_audio(path: Column) -> Column:
     return extension(path).isin(AUDIO_EXTENSIONS)
 
 
-def distinct_ignoring_case(names: Column) -> Column:
-    """The array without blanks and without later spellings that differ in case only; order stays."""
+def ascii_lower(text: Column) -> Column:
+    """Lower case of A-Z alone: what compares names "equal but for ASCII case"."""
+    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+
+
+def distinct_ignoring_case(names: Column, fold: Callable[[Column], Column] = F.lower) -> Column:
+    """The array without blanks and without later spellings that differ in case only, as ``fold`` has it; order stays."""
     names = F.filter(names, lambda n: n != "")
-    lowered = F.transform(names, F.lower)
-    return F.filter(names, lambda n, i: F.array_position(lowered, F.lower(n)) == i + 1)
+    folded = F.transform(names, fold)
+    return F.filter(names, lambda n, i: F.array_position(folded, fold(n)) == i + 1)
 
 
 def comparable(normalized: Column) -> Column:

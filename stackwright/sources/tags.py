@@ -7,16 +7,18 @@ size, with codec ``unknown`` and the error; it never ends the job. Comments stay
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import names as N
 from ..functions import text as T
 from . import containers
 from .containers import CODECS
 
+VORBIS = [CODECS["flac"], CODECS["vorbis"], CODECS["opus"]]
 SCHEMA = "path string, size_bytes long, codec string, duration double, sample_rate int, has_cover boolean, tags array<struct<key:string,value:string>>, error string"
 
 
@@ -126,7 +128,16 @@ def tracks(tagged: DataFrame) -> DataFrame:
     )
 
 
-def extra_tags(tagged: DataFrame, owned: list[str]) -> DataFrame:
-    """(path, ord, key, value): comments that no typed field owns; a repeated (key, value) stays once, the first."""
-    rows = tagged.select("path", F.posexplode("tags").alias("ord", "t")).select("path", "ord", F.upper("t.key").alias("key"), T.trim(F.col("t.value")).alias("value"))
-    return rows.filter(~F.col("key").isin(owned) & (F.col("value") != "")).groupBy("path", "key", "value").agg(F.min("ord").alias("ord")).select("path", "ord", "key", "value")
+def extra_tags(tagged: DataFrame, owned: Sequence[str] = ()) -> DataFrame:
+    """(path, ord, key, value, source): comments that no field of the editor nor of ``owned`` has, provider ids by their canonical names.
+
+    Of a provider's id the first value stays, of other keys each value once; order by key, then as in the file.
+    """
+    rows = tagged.select("path", "codec", F.posexplode("tags").alias("ord", "t"))
+    key = F.coalesce(N.provider_key(F.col("t.key")), F.col("t.key"))
+    source = F.when(F.col("codec").isin(*VORBIS), "vorbis").when(F.col("codec") == CODECS["ape"], "APEv2").when(F.col("codec") == CODECS["mp4"], "MP4").otherwise("ID3v2")
+    rows = rows.select("path", "ord", key.alias("key"), F.col("t.value").alias("value"), source.alias("source"))
+    rows = rows.filter((F.col("key") != "") & (F.col("value") != "") & ~N.is_editor_key(F.col("key")) & ~F.col("key").isin(*owned))
+    one = F.when(N.provider_key(F.col("key")).isNull(), F.col("value"))
+    kept = rows.groupBy("path", "source", "key", one.alias("_one")).agg(F.min(F.struct("ord", "value")).alias("r"))
+    return kept.select("path", "r.ord", "key", "r.value", "source").orderBy("path", "key", "ord")

@@ -489,12 +489,31 @@ def provider_artist_names(spark, sf_dir):
     return _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("s_suppkey"), names.provider_artist(F.concat(F.lit(" "), F.col("s_name"), tail)).alias("name"))
 
 
-@query("SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CASE WHEN p_brand IN ('Brand#1', 'Brand#2') THEN ['One', 'Guest'] ELSE [p_brand, 'Guest'] END AS artists FROM part", tracks=False)
+#: Names, the old one, and what stands for it: blanks and case, a mark more, placeholders, letters beyond ASCII, no name.
+_CREDITS = """CASE p_partkey % 6 WHEN 0 THEN {a}' ' || lower(p_brand) || ' ', 'Guest'{z} WHEN 1 THEN {a}replace(p_brand, '#', ' '), 'Guest'{z} WHEN 2 THEN {a}'???', ' ???'{z}
+WHEN 3 THEN {a}'??', 'É', upper(p_brand){z} WHEN 4 THEN {a}p_name, p_brand || '!'{z} ELSE {a}p_brand, '???', p_brand{z} END"""
+_OLD = "CASE p_partkey % 6 WHEN 3 THEN 'é' ELSE upper(p_brand) END"
+
+
+@query(f"""WITH n AS (SELECT CAST(p_partkey AS BIGINT) AS p_partkey, p_type AS canonical, {_OLD} AS old, {_CREDITS.format(a="[", z="]")} AS names FROM part),
+e AS (SELECT p_partkey, canonical, generate_subscripts(names, 1) AS i, unnest(names) AS name, old FROM n),
+k AS (SELECT p_partkey, i, CASE WHEN translate(trim(name), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') = translate(old, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') THEN canonical ELSE name END AS name FROM e WHERE trim(name) <> '???')
+SELECT p_partkey, coalesce(list(k.name ORDER BY i) FILTER (k.name IS NOT NULL), [any_value(canonical)]) AS artists FROM n LEFT JOIN k USING (p_partkey) GROUP BY p_partkey""", tracks=False)
 def canonical_artists(spark, sf_dir):
-    credit = F.array(F.upper("p_brand"), F.lit("Guest"), F.lit("???"))
-    same = F.array(F.lit("brand 1"), F.lit("Brand#2"))
-    found = names.canonical_artists(credit, same, F.lit("One"))
-    return _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), F.transform(found, lambda a: F.when(a.startswith("BRAND"), F.initcap(a)).otherwise(a)).alias("artists"))
+    part = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), "p_type", F.expr(_OLD).alias("old"), F.expr(_CREDITS.format(a="array(", z=")")).alias("names"))
+    return part.select("p_partkey", names.canonical_artists(F.col("names"), F.col("old"), F.col("p_type")).alias("artists"))
+
+
+_TITLES = """CASE p_partkey % 8 WHEN 0 THEN '03_' || replace(p_name, ' ', '-') WHEN 1 THEN 'disc 2 - ' || upper(p_name) WHEN 2 THEN '99' || p_name WHEN 3 THEN ' (' || p_name || ')! '
+WHEN 4 THEN '2001' WHEN 5 THEN '1999 ' || p_name WHEN 6 THEN 'a.c. ' || p_name || ' é' ELSE '12. 7' END"""
+
+
+@query(f"""WITH t AS (SELECT CAST(p_partkey AS BIGINT) AS p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') AS told, {_TITLES} AS title FROM part)
+SELECT p_partkey, CASE p_partkey % 8 WHEN 2 THEN '99 ' || told WHEN 3 THEN '(' || told || ')!' WHEN 4 THEN '2001' WHEN 5 THEN '1999 ' || told WHEN 6 THEN 'a.c. ' || told || ' é' WHEN 7 THEN '7' ELSE told END AS value, true AS changed FROM t WHERE p_partkey % 8 <> 4
+UNION ALL SELECT p_partkey, '2001', false FROM t WHERE p_partkey % 8 = 4""", tracks=False)
+def prettified_titles(spark, sf_dir):
+    part = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), pipeline(F.expr(_TITLES), [("prettify", {})]).alias("r"))
+    return part.select("p_partkey", "r.value", "r.changed")
 
 
 @query("SELECT event_id, CASE event_type WHEN 'click' THEN 'MUSICBRAINZ_TRACKID' WHEN 'view' THEN 'DISCOGS_RELEASE_ID' WHEN 'purchase' THEN 'COMMENT' ELSE event_type END AS key, event_type = 'error' AS lyrics, event_type IN ('error', 'signup') AS reserved FROM events", tracks=False)

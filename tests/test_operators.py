@@ -316,3 +316,42 @@ def test_empty_tables_of_track_operators(spark):
         scopes.album_paths(tracks, tracks)
     with pytest.raises(ValueError):
         edits.edit(spark.createDataFrame([("a", "x"), ("b", "y")], "path string, title string"), F.lit(True), {"title": "z"})
+
+
+def test_prettify_keeps_numbers_that_are_titles(spark):
+    wanted = {
+        "99problems": "99 Problems", "1999 party": "1999 Party", "2001": "2001", "(live) take": "(Live) Take", "03_the-song2": "The Song 2", "Disc 1 02 - intro": "02 Intro",
+        "disc2. OPENER": "Opener", "a.c. dc": "a.c. Dc", "U.S.A. today": "U.S.A. Today", "it's ÉTÉ": "It's ÉTÉ", "ébONY": "éBony", "...": "...", "日本 ab-cd": "日本 Ab Cd",
+    }
+    rows = spark.createDataFrame([(t,) for t in wanted], "t string").select("t", pipeline(F.col("t"), [("prettify", {})])["value"].alias("v"))
+    assert {r.t: r.v for r in rows.collect()} == wanted
+
+
+def test_canonical_names_of_whole_candidates(spark):
+    track = "struct<title:string,artist:string,artists:array<string>>"
+    schema = f"id int, artist string, artists array<string>, album_artist string, album_artists array<string>, tracks array<{track}>, canonical string"
+    tracks = [("a", "cut", ["CUT"]), ("b", None, None), ("c", "Cut", ["Cut", "Guest"]), ("d", " The One ", ["???"]), ("e", "C ut", [])]
+    rows = [
+        (1, "Cut", ["Cut"], "cut & Guest", None, tracks, " The One (2)"),
+        (2, "???", ["???"], None, None, [], "The One"),
+        (3, None, None, None, None, tracks, "The One"),
+        (4, "Cut", None, None, None, tracks, " "),
+        (5, "AC/DC", ["AC/DC"], None, ["x", "ac"], [], "The One"),
+    ]
+    found = {r.id: r for r in N.canonical_candidate(spark.createDataFrame(rows, schema), F.col("canonical")).collect()}
+    one = found[1]
+    assert (one.artist, one.artists, one.album_artist, one.album_artists) == ("The One", ["The One"], "The One & Guest", ["The One", "Guest"])
+    assert [(t.title, t.artist, t.artists) for t in one.tracks] == [
+        ("a", "The One", ["The One"]), ("b", "The One", ["The One"]), ("c", "Cut", ["Cut", "Guest"]), ("d", "The One", ["The One"]), ("e", "C ut", []),
+    ]
+    assert (found[2].artist, found[2].artists) == ("The One", ["The One"])
+    assert (found[3].artist, found[3].artists, found[3].tracks[0].artist) == (None, None, "cut")
+    assert (found[4].artist, found[4].tracks[0].artist) == ("Cut", "cut")
+    # A credit that lists one name is parted at the slash; its first part is the old name.
+    assert (found[5].artists, found[5].album_artists) == (["The One", "DC"], ["x", "The One"])
+
+
+def test_provider_names_fold_ascii_case_only(spark):
+    row = spark.createDataFrame([("É; é; A; a",)], "c string")
+    assert row.select(N.split_names(F.col("c")).alias("n")).first().n == ["É", "é", "A"]
+    assert row.select(N.is_editor_key(F.lit("tit2")).alias("n"), N.is_editor_key(F.lit("MOOD")).alias("m")).first() == (True, False)
