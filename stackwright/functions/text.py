@@ -27,6 +27,16 @@ def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+@pandas_udf(StringType())
+def _nfc(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+
+@pandas_udf(StringType())
+def _nfd(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: unicodedata.normalize("NFD", t), na_action="ignore")
+
+
 @pandas_udf(StringType())
 def _lookup_form(text: pd.Series) -> pd.Series:
     def form(t: str) -> str:
@@ -45,6 +55,16 @@ def nfkc(text: Column) -> Column:
     return F.coalesce(_nfkc(_beyond_ascii(text)), text)
 
 
+def nfc(text: Column) -> Column:
+    """Canonically composed; null stays null."""
+    return F.coalesce(_nfc(_beyond_ascii(text)), text)
+
+
+def nfd(text: Column) -> Column:
+    """Canonically decomposed; null stays null."""
+    return F.coalesce(_nfd(_beyond_ascii(text)), text)
+
+
 def lookup_form(text: Column) -> Column:
     """NFKD without combining marks, lower case: the form in which names are looked up."""
     return F.coalesce(_lookup_form(_beyond_ascii(text)), F.lower(text))

@@ -81,22 +81,6 @@ def extra_tag_delta(paths: DataFrame, rows: DataFrame, shared: list[tuple[str, s
     return both.filter("_new IS NULL OR _old IS NULL").select(*keys, F.when(F.col("_old").isNull(), "set").otherwise("remove").alias("operation"))
 
 
-def health_statistics(files: DataFrame, by: list[str]) -> DataFrame:
-    """Counters of checked files by ``by`` (nothing: one row).
-
-    ``files``: bucket, missing_result, repairs (array), known_repairs (array), action, alert, warning, playable_failure.
-    """
-    count = lambda name, test: F.count_if(F.coalesce(test, F.lit(False))).alias(name)
-    done = F.col("action")
-    return files.groupBy(*by).agg(
-        F.count("*").alias("total"), *[count(b, F.col("bucket") == b) for b in BUCKETS], count("with_issues", F.col("bucket") != "clean"), count("missing_result", F.col("missing_result")),
-        count("repairable", F.size("repairs") > 0), count("repaired_before", F.size("known_repairs") > 0), count("repaired", done == "repaired"), count("failed", done == "failed"),
-        count("skipped", done == "skipped"), count("alerts", F.col("alert")), count("warnings", F.col("warning")), count("playable_failures", F.col("playable_failure")),
-        F.sum(F.coalesce(F.size("repairs"), F.lit(0))).cast("long").alias("repairs"), F.sum(F.coalesce(F.size("known_repairs"), F.lit(0))).cast("long").alias("known_repairs"),
-        F.countDistinct(F.when(F.col("bucket") == "broken", F.col("album"))).alias("albums_broken"),
-    )
-
-
 def damage_report(files: DataFrame) -> DataFrame:
     """Of each artist and album: failed, minor and warned files, by what is wrong (``kind``); those without issues are left out."""
     kind = F.when(F.col("bucket") == "broken", "failed").when(F.col("bucket") == "minor", "minor").when(F.col("playable_failure"), "warned_playable").when(F.col("bucket") == "medium", "warned")

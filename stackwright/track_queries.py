@@ -417,12 +417,67 @@ _CHECKED = """c AS (SELECT CAST(l_suppkey AS VARCHAR) AS artist, l_returnflag AS
 CASE WHEN l_quantity > 49 THEN 'broken' WHEN l_returnflag = 'R' THEN 'minor' WHEN l_discount > CAST(0.09 AS DOUBLE) THEN 'broken' WHEN l_tax > CAST(0.07 AS DOUBLE) OR l_linenumber > 6 THEN 'medium' ELSE 'clean' END AS b FROM lineitem)"""
 
 
-@query(f"""WITH {_CHECKED} SELECT artist, count(*) AS total, count(*) FILTER (b = 'clean') AS clean, count(*) FILTER (b = 'minor') AS minor, count(*) FILTER (b = 'medium') AS medium, count(*) FILTER (b = 'broken') AS broken,
-count(*) FILTER (b <> 'clean') AS with_issues, count(*) FILTER (l_quantity > 48) AS missing_result, count(*) FILTER (album = 'R') AS repairable, count(*) FILTER (l_linestatus = 'F') AS repaired_before,
-count(*) FILTER (l_linenumber = 1) AS repaired, count(*) FILTER (l_linenumber = 2) AS failed, count(*) FILTER (l_linenumber = 3) AS skipped, count(*) FILTER (alert) AS alerts, count(*) FILTER (l_linenumber > 6) AS warnings,
-count(*) FILTER (playable) AS playable_failures, count(*) FILTER (album = 'R') AS repairs, count(*) FILTER (l_linestatus = 'F') AS known_repairs, count(DISTINCT CASE WHEN b = 'broken' THEN album END) AS albums_broken FROM c GROUP BY artist""", tracks=False)
+#: What a scan found, derived from order lines by expressions that both engines read.
+SCANNED = {
+    "rel": "CAST(l_orderkey AS VARCHAR(20)) || '/' || CAST(l_linenumber AS VARCHAR(20)) || '.flac'",
+    "artist": "CAST(l_suppkey AS VARCHAR(20))",
+    "error": "CASE WHEN l_quantity = 1 THEN 'not a valid FLAC file' WHEN l_quantity = 2 THEN 'Vorbis comment block too corrupted to parse' END",
+    "broken_chain": "l_quantity IN (3, 4) OR (l_quantity = 2 AND l_linestatus = 'F')",
+    "mismatch": "CASE WHEN l_linenumber = 1 AND l_quantity > 30 THEN 8 ELSE 0 END",
+    "audio_sync_corrupted": "l_linenumber = 2 AND l_quantity > 40",
+    "metadata_audio_gap": "CASE WHEN l_linenumber IN (1, 3) AND l_quantity > 42 THEN 64 ELSE 0 END",
+    "corrupted_picture": "CASE WHEN l_linenumber = 4 THEN l_quantity > 35 END",
+    "strict_ran": "l_tax > CAST(0.005 AS DOUBLE)",
+    "strict_ok": "CASE WHEN l_tax > CAST(0.055 AS DOUBLE) THEN false WHEN l_tax > CAST(0.015 AS DOUBLE) THEN true END",
+    "strict_warning": "l_tax > CAST(0.015 AS DOUBLE) AND l_tax < CAST(0.025 AS DOUBLE)",
+    "playback_ok": "CASE WHEN l_tax > CAST(0.055 AS DOUBLE) AND l_discount < CAST(0.085 AS DOUBLE) THEN l_discount < CAST(0.055 AS DOUBLE) END",
+    "probe_ok": "CASE WHEN l_tax > CAST(0.065 AS DOUBLE) THEN l_discount < CAST(0.035 AS DOUBLE) END",
+    "missing_result": "l_quantity = 50",
+    "diagnosis_error": "l_quantity = 49",
+    "outcome": "CASE WHEN l_quantity < 45 AND (l_linenumber <= 4 OR l_quantity IN (3, 4)) THEN CASE l_orderkey % 4 WHEN 0 THEN 'fixed' WHEN 1 THEN 'unresolved' WHEN 2 THEN 'failed' END END",
+}
+_SCANNED = "s AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in SCANNED.items()) + " FROM lineitem)"
+#: The rules of a diagnosis in SQL, from the checks outwards.
+_DIAGNOSED = f"""{_SCANNED}, u AS (SELECT *, coalesce(strict_ran AND NOT strict_ok, false) AS failed FROM s),
+v AS (SELECT *, failed AND coalesce(NOT probe_ok, false) AS bad_probe, failed AND (coalesce(NOT probe_ok, false) OR coalesce(NOT playback_ok, false)) AS unplayable FROM u),
+w AS (SELECT *, error IS NULL OR (unplayable AND error <> 'not a valid FLAC file') AS sound FROM v),
+x AS (SELECT *, sound AND NOT unplayable AND mismatch > 0 AS vorbis, sound AND NOT unplayable AND audio_sync_corrupted AS audio, sound AND NOT unplayable AND metadata_audio_gap > 0 AS gap,
+    sound AND NOT unplayable AND coalesce(corrupted_picture, false) AS picture, sound AND NOT unplayable AND broken_chain AS chained FROM w),
+y AS (SELECT *, vorbis OR audio OR gap OR picture OR chained AS repairable FROM x),
+z AS (SELECT *, sound AND failed AND coalesce(playback_ok, false) AND NOT bad_probe AND NOT repairable AS playable FROM y),
+d AS (SELECT *, sound AND failed AND (NOT playable OR bad_probe) AS alert, sound AND coalesce(strict_warning, false) AS warned, sound AND strict_ran AND strict_ok IS NULL AS unchecked,
+    CASE WHEN NOT sound OR unplayable THEN 'broken' WHEN repairable THEN 'minor' WHEN sound AND failed AND (NOT playable OR bad_probe) THEN 'broken' WHEN playable OR coalesce(strict_warning, false) THEN 'medium' ELSE 'clean' END AS bucket FROM z)"""
+
+
+def _scanned(spark, sf_dir) -> DataFrame:
+    lines = _table(spark, sf_dir, "lineitem").selectExpr(*[f"{e} AS {c}" for c, e in SCANNED.items()])
+    return health.diagnose(lines).withColumn("found", F.col("flags"))
+
+
+@query(f"""WITH {_DIAGNOSED} SELECT rel, bucket, CASE bucket WHEN 'minor' THEN 'would_fix' WHEN 'broken' THEN 'redownload' ELSE 'none' END AS action,
+CASE WHEN NOT sound THEN CASE WHEN broken_chain THEN 'broken-metadata-chain' ELSE 'flac-parse-error' END ELSE array_to_string(list_filter([CASE WHEN vorbis THEN 'vorbis-length-mismatch' END, CASE WHEN audio THEN 'audio-sync-corrupted' END, CASE WHEN gap THEN 'metadata-audio-gap' END,
+CASE WHEN picture THEN 'corrupted-picture-tag' END, CASE WHEN chained THEN 'broken-metadata-chain' END, CASE WHEN alert THEN 'strict-decode-failed' END, CASE WHEN bad_probe THEN 'ffprobe-audio-probe-failed' END,
+CASE WHEN playable THEN 'strict-decode-invalid-playable' END, CASE WHEN warned THEN 'strict-decode-warning' END, CASE WHEN unchecked THEN 'strict-decode-unchecked' END], lambda i: i IS NOT NULL), ',') END AS issues,
+CAST(CASE WHEN NOT sound THEN broken_chain::INT ELSE vorbis::INT + audio::INT + gap::INT + picture::INT + chained::INT END AS INT) AS n_repairs FROM d""", tracks=False)
+def file_diagnoses(spark, sf_dir):
+    return _scanned(spark, sf_dir).select("rel", "bucket", "action", F.array_join("issues", ",").alias("issues"), F.size("known_repairs").alias("n_repairs"))
+
+
+@query(f"""WITH {_DIAGNOSED}, e AS (SELECT *, NOT missing_result AS there, coalesce(outcome IN ('fixed', 'unresolved'), false) AS tried FROM d)
+SELECT count(*) AS total, count(*) FILTER (there AND bucket = 'clean') AS ok, count(*) FILTER (there AND bucket = 'clean') AS clean, count(*) FILTER (there AND bucket = 'minor') AS minor, count(*) FILTER (there AND bucket = 'medium') AS medium,
+count(*) FILTER (NOT there OR bucket = 'broken') AS broken, count(*) FILTER (there AND vorbis) AS vorbis_mismatch, count(*) FILTER (there AND audio) AS audio_corrupted, count(*) FILTER (there AND alert) AS strict_decode_failed,
+count(*) FILTER (there AND (warned OR playable)) AS strict_decode_warnings, count(*) FILTER (there AND playable) AS playable_strict_decode_failures, count(*) FILTER (there AND unchecked) AS strict_decode_unchecked,
+count(*) FILTER (there AND tried AND vorbis) AS fixed_vorbis, count(*) FILTER (there AND tried AND audio) AS fixed_audio, count(*) FILTER (there AND tried AND chained) AS fixed_chain, count(*) FILTER (there AND tried) AS fixed,
+count(*) FILTER (there AND outcome IN ('unresolved', 'failed')) AS fix_failed, count(*) FILTER (NOT there OR diagnosis_error OR coalesce(outcome = 'failed', false)) AS errors FROM e""", tracks=False)
 def health_statistics(spark, sf_dir):
-    return rollups.health_statistics(_checked(spark, sf_dir), ["artist"])
+    return health.statistics(_scanned(spark, sf_dir), [])
+
+
+@query(f"""WITH {_DIAGNOSED} SELECT artist, count(*) AS total_files, count(*) FILTER (bucket <> 'clean') AS files_with_issues, count(*) FILTER (vorbis) AS vorbis_mismatch, count(*) FILTER (audio) AS audio_corrupted, count(*) FILTER (gap) AS metadata_gap,
+count(*) FILTER (picture) AS corrupted_picture, count(*) FILTER (chained) AS broken_chain, count(*) FILTER (alert) AS strict_decode_failed, count(*) FILTER (warned OR playable) AS strict_decode_warnings,
+count(*) FILTER (playable) AS playable_strict_decode_failures, count(*) FILTER (diagnosis_error) AS errors FROM d WHERE NOT missing_result GROUP BY artist""", tracks=False)
+def health_by_artist(spark, sf_dir):
+    return health.artist_statistics(_scanned(spark, sf_dir))
 
 
 @query(f"""WITH {_CHECKED} SELECT artist, album, count(*) FILTER (b = 'broken') AS failed, count(*) FILTER (b = 'minor') AS minor, count(*) FILTER (b = 'medium' AND NOT playable) AS warned, count(*) FILTER (b NOT IN ('broken', 'minor') AND playable) AS warned_playable
