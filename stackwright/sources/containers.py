@@ -28,6 +28,17 @@ def _sync_safe(size: bytes) -> int:
     return (size[0] << 21) | (size[1] << 14) | (size[2] << 7) | size[3]
 
 
+def _told(body: bytes) -> str:
+    """The text of a frame, by the encoding that its first byte names; a mark of byte order before each later value goes."""
+    return body[1:].decode(("latin-1", "utf-16", "utf-16-be", "utf-8")[min(body[0], 3)], "replace").replace("\ufeff", "")
+
+
+def user_text(body: bytes) -> tuple[str, list[str]]:
+    """(description, values) of a frame of free text."""
+    description, _, values = _told(body).partition("\0") if body else ("", "", "")
+    return description, values.rstrip("\0").split("\0")
+
+
 def id3(data: bytes) -> tuple[int, bool, list[tuple[str, str]]]:
     """Place after the ID3v2.3 or 2.4 tag that ``data`` begins with, has cover, comments."""
     version, end, at, cover, tags = data[3], 10 + _sync_safe(data[6:10]), 10, False, []
@@ -38,8 +49,10 @@ def id3(data: bytes) -> tuple[int, bool, list[tuple[str, str]]]:
             raise ValueError("a frame is cut off")
         cover |= name == "APIC"
         if name in FRAMES and body:
-            whole = body[1:].decode(("latin-1", "utf-16", "utf-16-be", "utf-8")[min(body[0], 3)], "replace")
-            tags += [(FRAMES[name], v) for v in whole.rstrip("\0").split("\0")]
+            tags += [(FRAMES[name], v) for v in _told(body).rstrip("\0").split("\0")]
+        if name == "TXXX" and body:
+            key, values = user_text(body)
+            tags += [(key.upper(), v) for v in values if key and v]
         at += 10 + size
     return end, cover, tags
 
