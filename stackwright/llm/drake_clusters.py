@@ -222,13 +222,10 @@ def drake_clusters(vectors: DataFrame, clusters: int = CLUSTERS, rounds: int = R
         held = min(bounds, len(start) - 1)
         if turn == rounds:
             break
-        component = state.filter("of_cluster IS NOT NULL").select("of_cluster", "n", F.posexplode("sums").alias("place", "v"))
-        # Centroids times components rows.
-        totals = component.groupBy("of_cluster", "place").agg(F.sum("n").alias("n"), F.sum(F.col("v").cast("decimal(38,0)")).alias("v")).orderBy("of_cluster", "place").collect()
-        sums: dict[int, tuple[int, list[int]]] = {}
-        for r in totals:
-            sums.setdefault(r.of_cluster, (r.n, []))[1].append(int(r.v))
-        centroids = centroids.updated(sums)
+        component = [F.sum(F.get("sums", F.lit(i)).cast("decimal(38,0)")) for i in range(dimensions)]
+        # One row for each centroid.
+        totals = state.filter("of_cluster IS NOT NULL").groupBy("of_cluster").agg(F.sum("n").alias("n"), F.array(*component).alias("sums")).collect()
+        centroids = centroids.updated({r.of_cluster: (r.n, [int(v) for v in r.sums]) for r in totals})
         if turn:
             needed = state.filter(F.col("measured") <= held + 1).agg(F.max("measured")).first()[0]
             bounds = max(1, len(start) // 8, min(bounds, (needed or held + 1) - 1))
