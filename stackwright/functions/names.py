@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
+
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import IntegerType, StringType
 
 from . import text as T
 
@@ -25,6 +32,9 @@ AUDIO_FORMATS = "flac|mp3|wav|aac|ogg|m4a|wma|ape"
 ROMAN = {"i": "1", "ii": "2", "iii": "3", "iv": "4", "v": "5", "vi": "6", "vii": "7", "viii": "8", "ix": "9", "x": "10"}
 SELF_TITLED = ["同名专辑", "同名"]
 OTHER_THAN_WORDS = r"[^\p{IsAlphabetic}\p{N}\p{IsWhite_Space}]"
+_NO_WORDS, _CJK = regex.compile(r"[^\p{Alphabetic}\p{N}\p{White_Space}]"), regex.compile(r"[\u3400-\u4DBF\u4E00-\u9FFF]")
+_PARTED = regex.compile(rf"(?<={_CJK.pattern}) (?={_CJK.pattern})")
+_ONE_FORM = str.maketrans("斉妳", "齊你")
 
 
 def split_names(credit: Column, way: str = "provider") -> Column:
@@ -101,54 +111,98 @@ def normal(text: Column) -> Column:
     return plain(T.nfkc(text))
 
 
-def lookup_key(text: Column) -> Column:
-    """The form in which albums are looked up: no marks, Roman numerals to ten as digits, no blanks between CJK letters."""
-    words = plain(T.lookup_form(F.translate(text, "斉妳", "齊你")))
-    for roman, digits in ROMAN.items():
-        words = F.regexp_replace(words, rf"(?<!\S){roman}(?!\S)", digits)
-    return F.regexp_replace(words, f"(?<={T.CJK}) (?={T.CJK})", "")
+def _lookup_words(lowered: Column) -> Column:
+    """Of lower-case ASCII: no marks, Roman numerals to ten as digits; one pass over the words."""
+    digits = F.create_map(*[F.lit(x) for pair in ROMAN.items() for x in pair])
+    return F.array_join(F.transform(F.split(plain(lowered), " "), lambda w: F.coalesce(F.try_element_at(digits, w), w)), " ")
 
 
-# Forms come from Python functions, over which Spark allows no lambda: the three of each side are compared one by one.
+def _key(text: str) -> str:
+    """The lookup key of any text: also without combining marks and without blanks between CJK letters."""
+    decomposed = unicodedata.normalize("NFKD", text.translate(_ONE_FORM))
+    bare = _NO_WORDS.sub(" ", "".join(c for c in decomposed if not unicodedata.combining(c)).lower())
+    return _PARTED.sub("", " ".join(ROMAN.get(w, w) for w in bare.split()))
 
 
-def lookup_variants(text: Column) -> list[Column]:
-    """Lookup keys of the text as it is, in traditional and in simplified letters."""
-    return [lookup_key(x) for x in (text, T.traditional(text), T.simplified(text))]
+def _keys(text: str) -> list[str]:
+    """Keys of the text as it is, in traditional and in simplified letters."""
+    return list(dict.fromkeys(_key(t) for t in (text, text.translate(T.TO_TRADITIONAL), text.translate(T.TO_SIMPLIFIED))))
 
 
-def normal_variants(text: Column) -> list[Column]:
-    return [normal(x) for x in (text, T.traditional(text), T.simplified(text))]
+@pandas_udf(StringType())
+def _key_beyond_ascii(text: pd.Series) -> pd.Series:
+    return text.map(_key, na_action="ignore")
 
 
-def _alike(x: Column, y: Column) -> Column:
-    """The similarity of two forms, where either has CJK letters; else null."""
-    cjk = x.rlike(T.CJK) | y.rlike(T.CJK)
-    return T.similarity(F.when(cjk, x), F.when(cjk, y))
+def _alike(x: str, y: str) -> int:
+    """Similarity of two keys, 0 unless either has CJK letters."""
+    return T.percent(x, y) if _CJK.search(x) or _CJK.search(y) else 0
 
 
-def albums_match(hint: Column, candidate: Column) -> Column:
-    """Whether two album names mean one album: a form of one holds a form of the other, or CJK forms are 80 % alike.
+def _best(score: Callable[[str, str], int]) -> Callable:
+    @pandas_udf(IntegerType())
+    def best(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if s is None or t is None else max(score(x, y) for x in _keys(s) for y in _keys(t)) for s, t in zip(a, b)], dtype="Int32")
+
+    return best
+
+
+def _holds(x: str, y: str) -> int:
+    return 100 if x in y or y in x else _alike(x, y)
+
+
+def _is_specific(key: str) -> bool:
+    return len(key.replace(" ", "")) >= 4 if _CJK.search(key) else any(len(w) >= 3 for w in key.split(" "))
+
+
+def _score(x: str, y: str) -> int:
+    if x == y:
+        return 100
+    if x in y and _is_specific(x):
+        return 85
+    if y in x and _is_specific(y):
+        return 70
+    alike = _alike(x, y)
+    return (alike * 85 + 50) // 100 if alike >= 80 else 0
 
-    An empty form is held by every other.
-    """
-    pairs = [(x, y) for x in lookup_variants(hint) for y in lookup_variants(candidate)]
-    return F.greatest(*[x.contains(y) | y.contains(x) | F.coalesce(_alike(x, y) >= 80, F.lit(False)) for x, y in pairs])
 
+_best_match, _best_score = _best(_holds), _best(_score)
 
-def _specific(form: Column) -> Column:
-    return F.when(form.rlike(T.CJK), F.length(F.regexp_replace(form, " ", "")) >= 4).otherwise(form.rlike(r"\S{3}"))
+
+def lookup_key(text: Column) -> Column:
+    """The form in which albums are looked up. Texts beyond ASCII travel to Python, by Arrow batches."""
+    other = text.rlike(r"[^\x00-\x7F]")
+    return F.coalesce(_key_beyond_ascii(F.when(other, text)), _lookup_words(F.lower(F.when(~other, text))))
+
+
+def _compared(a: Column, b: Column, native: Callable[[Column, Column], Column], python: Callable) -> Column:
+    """``native`` of the keys of two ASCII texts, which have one key each; of other pairs the best that ``python`` gives."""
+    other = a.rlike(r"[^\x00-\x7F]") | b.rlike(r"[^\x00-\x7F]")
+    pair = F.when(~other, F.struct(_lookup_words(F.lower(a)).alias("x"), _lookup_words(F.lower(b)).alias("y")))
+    told = F.get(F.transform(F.array(pair), lambda p: F.when(p.isNotNull(), native(p["x"], p["y"]))), F.lit(0))
+    return F.coalesce(told, python(F.when(other, a), F.when(other, b)))
+
+
+def normal_variants(text: Column) -> list[Column]:
+    return [normal(x) for x in (text, T.traditional(text), T.simplified(text))]
+
+
+def albums_match(hint: Column, candidate: Column) -> Column:
+    """Whether two album names mean one album: a key of one holds a key of the other, or CJK keys are 80 % alike.
+
+    An empty key is held by every other.
+    """
+    return _compared(hint, candidate, lambda x, y: F.when(x.contains(y) | y.contains(x), 100).otherwise(0), _best_match) >= 80
 
 
 def album_score(local: Column, remote: Column) -> Column:
-    """100 of equal forms, 85 if the remote holds the local one, 70 the other way, 85 % of a CJK similarity of 80 at least."""
+    """100 of equal keys, 85 if the remote holds the local one, 70 the other way, 85 % of a CJK similarity of 80 at least."""
+    specific = lambda k: k.rlike(r"\S{3}")
 
-    def of(x: Column, y: Column) -> Column:
-        alike = _alike(x, y)
-        scaled = F.when(alike >= 80, F.floor((alike * 85 + 50) / 100).cast("int")).otherwise(0)
-        return F.when(x == y, 100).when(y.contains(x) & _specific(x), 85).when(x.contains(y) & _specific(y), 70).otherwise(scaled)
+    def native(x: Column, y: Column) -> Column:
+        return F.when(x == y, 100).when(y.contains(x) & specific(x), 85).when(x.contains(y) & specific(y), 70).otherwise(0)
 
-    return F.greatest(*[of(x, y) for x in lookup_variants(local) for y in lookup_variants(remote)])
+    return _compared(local, remote, native, _best_score)
 
 
 def artists_equal(candidate: Column, wanted: Column) -> Column:

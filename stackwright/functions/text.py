@@ -20,6 +20,9 @@ DASHES = "-–—"
 #: A small table of traditional and simplified forms, by position. Phrase dictionaries aren't at hand: give another table.
 TRADITIONAL = "愛長變風飛歡國話開來樂龍馬門夢妳鳥氣情讓時書聽萬無現為學葉陽遠雲語雖說戀灣"
 SIMPLIFIED = "爱长变风飞欢国话开来乐龙马门梦你鸟气情让时书听万无现为学叶阳远云语虽说恋湾"
+#: The same for texts outside Columns.
+TO_SIMPLIFIED = str.maketrans(TRADITIONAL, SIMPLIFIED)
+TO_TRADITIONAL = str.maketrans(SIMPLIFIED.replace("你", ""), TRADITIONAL.replace("妳", ""))
 
 
 @pandas_udf(StringType())
@@ -37,14 +40,6 @@ def _nfd(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFD", t), na_action="ignore")
 
 
-@pandas_udf(StringType())
-def _lookup_form(text: pd.Series) -> pd.Series:
-    def form(t: str) -> str:
-        return "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower()
-
-    return text.map(form, na_action="ignore")
-
-
 def _beyond_ascii(text: Column) -> Column:
     """The text if it isn't ASCII, else null: only such texts travel to Python."""
     return F.when(text.rlike(r"[^\x00-\x7F]"), text)
@@ -65,11 +60,6 @@ def nfd(text: Column) -> Column:
     return F.coalesce(_nfd(_beyond_ascii(text)), text)
 
 
-def lookup_form(text: Column) -> Column:
-    """NFKD without combining marks, lower case: the form in which names are looked up."""
-    return F.coalesce(_lookup_form(_beyond_ascii(text)), F.lower(text))
-
-
 def trim(text: Column) -> Column:
     """Trims Unicode white space; SQL's trim takes blanks only."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -303,14 +293,13 @@ def common_length(a: str, b: str) -> int:
     return len(a) - open_places.bit_count()
 
 
+def percent(x: str, y: str) -> int:
+    """Twice the longest common subsequence over both lengths, rounded; 100 of two empty texts."""
+    both = len(x) + len(y)
+    return (200 * common_length(x, y) + both // 2) // both if both else 100
+
+
 @pandas_udf(IntegerType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """0 to 100: twice the longest common subsequence over both lengths, rounded; 100 of two empty texts; null of a null."""
-
-    def of(x, y):
-        if x is None or y is None:
-            return None
-        both = len(x) + len(y)
-        return (200 * common_length(x, y) + both // 2) // both if both else 100
-
-    return pd.Series([of(x, y) for x, y in zip(a, b)], dtype="Int32")
+    return pd.Series([None if x is None or y is None else percent(x, y) for x, y in zip(a, b)], dtype="Int32")

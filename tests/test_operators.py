@@ -355,3 +355,15 @@ def test_provider_names_fold_ascii_case_only(spark):
     row = spark.createDataFrame([("É; é; A; a",)], "c string")
     assert row.select(N.split_names(F.col("c")).alias("n")).first().n == ["É", "é", "A"]
     assert row.select(N.is_editor_key(F.lit("tit2")).alias("n"), N.is_editor_key(F.lit("MOOD")).alias("m")).first() == (True, False)
+
+
+def test_keys_of_ascii_texts_are_the_same_in_both_ways(spark):
+    texts = ["", " ", "A", "Abbey Road", "abbey  road!", "III", "iv.x", "vii-viii", "Disc IX (Deluxe)", "a_b", "AC/DC", "x" * 50, "~!@#$%^&*()", "1 II 3", "tab\tand\nline", "Ix i xi"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", N.lookup_key(F.col("t")).alias("k")).collect()
+    assert {r.t: r.k for r in rows} == {t: N._key(t) for t in texts}
+    pairs = [(a, b) for a in texts for b in texts]
+    both = spark.createDataFrame(pairs, "a string, b string").select("a", "b", N.album_score(F.col("a"), F.col("b")).alias("s"), N.albums_match(F.col("a"), F.col("b")).alias("m")).collect()
+    for r in both:
+        x, y = N._key(r.a), N._key(r.b)
+        assert (r.s, r.m) == (N._score(x, y), N._holds(x, y) >= 80), (r.a, r.b)
+    assert spark.range(1).select(N.album_score(F.lit(None).cast("string"), F.lit("x"))).first()[0] is None
