@@ -8,7 +8,8 @@ k bytes to those of k + 1 bytes, all intervals of a level at once in numpy, and
 neighbouring suffixes by increasing value (after Beller, Gog, Ohlebusch, Schnattinger, "Computing the longest common
 prefix array based on the Burrows-Wheeler transform", 2013). It stops at LENGTH: boundaries not found by then lie
 inside intervals of suffixes that agree on LENGTH bytes or more, and all but the earliest of an interval are repeats.
-Equal texts are one text of the transform with several places, so its copies are members of the same intervals.
+The transform holds each text once. Its copies in other places (most of all repeats) are proposed by a 64-bit key and
+checked against a digest of the text that went through it; they aren't sorted or compared again themselves.
 
 Whole texts are compared, as UTF-8; matches never cross documents. Null text is empty; a null doc_id sorts first; rows
 that share a doc_id but not a text are documents of their own, equal rows are one document. Texts below LENGTH bytes
@@ -18,12 +19,13 @@ stay as they are; there is no upper bound, and a text of one long period is cut
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import NO_ID, Repeats, covered
+from .repeats import NO_ID, Repeats, covered, proven
 
 LENGTH = 100
 #: Anchors are hashes of so many bytes.
@@ -116,8 +118,8 @@ def interval_numbers(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarr
     return order, np.cumsum(found[:n])
 
 
-def later_starts(texts: list[bytes], starts: np.ndarray, places: dict[str, np.ndarray], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """For each start of each text in turn: whether its string also starts at an earlier place, and whether it has an interval."""
+def later_starts(texts: list[bytes], starts: np.ndarray, places: dict[str, np.ndarray], length: int = LENGTH) -> np.ndarray:
+    """For each start of each text in turn: whether its string also starts at an earlier place, by its interval."""
     order, number = interval_numbers(texts, length)
     of_suffix = np.empty(len(order), np.int64)
     of_suffix[order] = number
@@ -131,18 +133,19 @@ def later_starts(texts: list[bytes], starts: np.ndarray, places: dict[str, np.nd
     first = np.full(int(group.max(initial=0)) + 1, -1, np.int64)
     first[group[by_place[::-1]]] = by_place[::-1]  # the earliest is written last
     first = first[group]
-    return (doc != doc[first]) | (tag != tag[first]) | (start != start[first]), first >= 0
+    return (doc != doc[first]) | (tag != tag[first]) | (start != start[first])
 
 
-def removed_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def removed_repeats(docs: DataFrame, length: int = LENGTH, key_of: Callable | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and ``kept`` (binary: the bytes that stay) of each document."""
-    finder = Repeats(length, GRAM, 1, lambda text: text, byte_units, lambda texts, starts, places: later_starts(texts, starts, places, length))
+    finder = Repeats(length, GRAM, 1, lambda text: text, byte_units, lambda texts, starts, places: later_starts(texts, starts, places, length), key_of)
 
     def cut(batches):
         for batch in batches:
             rows = []
             for doc, value, found in zip(batch["doc"].to_pylist(), batch["text"].cast(pa.binary()), batch["repeats"].to_pylist()):
                 text = value.as_py()
+                found = proven(found, lambda: text, length, 1) if found else []  # noqa: B023
                 gone = covered(len(text), found, length) if found else np.zeros(len(text), bool)
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if found else text
                 spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(len(gone) > 0 and gone[0])

@@ -11,19 +11,21 @@ anchor, with the text that its strings cover (``starts + length - 1`` units). Th
    *head*, equal ones are its copies. A head without copies goes no further if it is the only text under its anchor
    and can't repeat itself. Nothing is held but the last head, however hot an anchor is.
 3. Heads fetch their texts and meet again by anchor: the caller's method compares the texts under an anchor, or under
-   several at once up to a fixed size. It says which starts of a head also stand earlier, and confirms each text whose
-   copies then repeat it. Every removed unit comes out of this step; copies meet the confirmed texts by an equi-join,
-   which adaptive execution can split.
+   several at once up to a fixed size, and says which starts of a head also stand earlier. Of a head with copies it passes
+   on a digest of the text (128 bits of SHA-256), which its copies get by an equi-join that adaptive execution can split.
+   Copies themselves don't go through the method: beside their document's text they are checked against that digest, and
+   count only if it is theirs. So a key (64 bits of a fast hash) proposes a copy, and the text that was compared decides.
 4. Heads of anchors with over ``MOST_HEADS`` different texts take steps 2 and 3 again under anchors from longer grams:
    twice as long, and last as long as the strings themselves, where all texts under an anchor are the same string.
 
 Documents are shuffled twice, for step 3 and for the result; the texts of heads go along to deeper anchors. Places are (doc_id, tag, start): the tag, 64 bits
 of a hash of the text, tells rows apart that share a doc_id or have none, and deals them out. Rows equal in both are the
-same document. A copy is told from its text's head by anchor and key, 128 bits of hashes of overlapping text.
+same document. Of texts whose keys collide under one anchor only the earliest is compared: the others aren't removed.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -44,6 +46,7 @@ MOST_BROADCAST = 1 << 20
 #: Units of text that are compared at once, under several anchors: with MOST_HEADS texts more at most.
 BLOCK_UNITS = 1 << 19
 
+DIGEST_BYTES = 16
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -51,7 +54,7 @@ PLACE = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("start", "<i4"), ("starts", "
 RUN_COLUMNS = ["kind", "anchor", "key", "copies", "alone", "doc", "tag", "start", "starts", "units"]
 RUN_SCHEMA = "kind int, anchor long, key long, copies boolean, alone boolean, doc long, tag long, start int, starts int, units binary"
 TEXT_SCHEMA = "anchor long, key long, copies boolean, doc long, tag long, start int, starts int, units binary"
-JUDGED_SCHEMA = "confirmed boolean, anchor long, key long, doc long, tag long, start int, starts int"
+JUDGED_SCHEMA = "is_text boolean, anchor long, key long, doc long, tag long, start int, starts int, digest binary"
 COPY, RUN, HEAD, HOT = 0, 1, 2, 3
 
 
@@ -118,13 +121,14 @@ class Repeats:
     """Finds repeated strings of ``length`` units.
 
     raw_of(text) gives a text's units as bytes, ``unit_bytes`` each, and units_of(raw) their hashes (uint64).
-    judge(texts, starts, places) flags the starts whose string also stands at an earlier place.
+    judge(texts, starts, places) flags the starts whose string also stands at an earlier place. ``key_of`` gives 64 bits
+    for a text, by which copies are proposed.
     """
 
-    def __init__(self, length: int, gram: int, unit_bytes: int, raw_of: Callable, units_of: Callable, judge: Callable):
+    def __init__(self, length: int, gram: int, unit_bytes: int, raw_of: Callable, units_of: Callable, judge: Callable, key_of: Callable | None = None):
         self.length, self.unit_bytes = length, unit_bytes
         self.grams = [gram, 2 * gram, length]
-        self.raw_of, self.units_of, self.judge = raw_of, units_of, judge
+        self.raw_of, self.units_of, self.judge, self.key_of = raw_of, units_of, judge, key_of
 
     # Step 1
 
@@ -132,7 +136,7 @@ class Repeats:
         """RUN and COPY rows of texts (doc, tag, number of the first unit, raw, has copies); RUN rows with text if ``carry``."""
         import xxhash
 
-        digest, unit, length = xxhash.xxh3_64_intdigest, self.unit_bytes, self.length
+        key_of, unit, length = self.key_of or xxhash.xxh3_64_intdigest, self.unit_bytes, self.length
         held: list[tuple] = []
         carried: list[bytes] = []
         for doc, tag, base, raw, copied in texts:
@@ -144,7 +148,7 @@ class Repeats:
             core_low, core_high = (first + starts - 1) * unit, (first + length) * unit
             keys, alone = [], []
             for a, b, c, d in zip(low.tolist(), high.tolist(), core_low.tolist(), core_high.tolist()):
-                keys.append(digest(raw[a:b]))
+                keys.append(key_of(raw[a:b]))
                 alone.append(c < d and raw.find(raw[c:d], a, b) == c)
             if carry:
                 carried += [raw[a:b] for a, b in zip(low.tolist(), high.tolist())]
@@ -273,30 +277,29 @@ class Repeats:
         return dealt_docs.join(by_doc, ["doc", "tag"]).select("doc", "tag", "text", "runs").mapInArrow(fetch, TEXT_SCHEMA)
 
     def compare(self, texts: DataFrame) -> DataFrame:
-        """Ranges of starts of heads that stand earlier too, and rows ``confirmed`` of the texts that have copies."""
+        """Ranges of starts of heads that stand earlier too, and rows ``is_text`` with the digests of texts that have copies."""
         judge, unit = self.judge, self.unit_bytes
 
         def judged(rows: list[dict]) -> pa.RecordBatch:
             held = {k: np.array([r[k] for r in rows], np.int64) for k in ("anchor", "key", "doc", "tag", "start", "starts")}
             copies = np.array([r["copies"] for r in rows])
             starts = held["starts"]
-            flags, seen = judge([r["units"] for r in rows], starts, held)
+            flags = judge([r["units"] for r in rows], starts, held)
             owner = np.repeat(np.arange(len(rows)), starts)
             inner = np.arange(len(owner)) - np.repeat(np.cumsum(starts) - starts, starts)
             hit = np.flatnonzero(flags)
             begins = np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (owner[hit[1:]] != owner[hit[:-1]])])[: len(hit)]
             first = hit[begins]
             sizes = np.diff(np.append(np.flatnonzero(begins), len(hit)))
-            # A text is confirmed if the method has met each of its strings.
-            whole = np.flatnonzero(copies & (np.bincount(owner, weights=seen, minlength=len(rows)) == starts))
-            at = np.concatenate([owner[first], whole])
-            shift = np.concatenate([inner[first], np.zeros(len(whole), np.int64)])
-            n = np.concatenate([sizes, starts[whole]])
-            confirmed = np.arange(len(at)) >= len(first)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(confirmed), *(pa.array(held[k][at]) for k in ("anchor", "key", "doc", "tag")), pa.array((held["start"][at] + shift).astype(np.int32)), pa.array(n.astype(np.int32))],
-                ["confirmed", "anchor", "key", "doc", "tag", "start", "starts"],
-            )
+            texts = np.flatnonzero(copies)
+            at = np.concatenate([owner[first], texts])
+            shift = np.concatenate([inner[first], np.zeros(len(texts), np.int64)])
+            n = np.concatenate([sizes, starts[texts]])
+            digests = pa.array([None] * len(first) + [digest(rows[k]["units"]) for k in texts], pa.binary())
+            is_text = pa.array(np.arange(len(at)) >= len(first))
+            places = [pa.array(held[k][at]) for k in ("anchor", "key", "doc", "tag")]
+            columns = [is_text, *places, pa.array((held["start"][at] + shift).astype(np.int32)), pa.array(n.astype(np.int32)), digests]
+            return pa.RecordBatch.from_arrays(columns, ["is_text", "anchor", "key", "doc", "tag", "start", "starts", "digest"])
 
         def run(batches):
             block: list[dict] = []
@@ -329,28 +332,41 @@ class Repeats:
         with_text = (lambda rows: self.texts(rows, dealt)) if level == 0 else (lambda rows: rows)
         if not n_hot:
             judged = materialize(self.compare(with_text(heads)))
-            confirmed, out = judged.filter("confirmed").select("anchor", "key"), judged.filter("NOT confirmed")
+            texts_of, out = judged.filter("is_text").select("anchor", "key", "digest"), judged.filter("NOT is_text")
         else:
             hot = F.broadcast(hot) if n_hot <= MOST_BROADCAST else hot
             texts = materialize(with_text(heads))
             judged = materialize(self.compare(texts.join(hot, "anchor", "left_anti")))
             deeper = texts.join(hot, "anchor", "left_semi")
             again = self._judged(self.scan_again(deeper, self.grams[level + 1]), dealt, level + 1)
-            # A text with copies has all its strings met one level deeper, where it keeps that mark.
-            confirmed = judged.filter("confirmed").select("anchor", "key").unionByName(deeper.filter("copies").select("anchor", "key"))
-            out = judged.filter("NOT confirmed").select("doc", "tag", "start", "starts").unionByName(again)
-        columns = ["doc", "tag", "start", "starts"]
-        return out.select(*columns).unionByName(copies.join(confirmed.distinct(), ["anchor", "key"]).select(*columns))
+            own = F.substring(F.unhex(F.sha2("units", 256)), 1, DIGEST_BYTES)
+            texts_of = judged.filter("is_text").select("anchor", "key", "digest").unionByName(deeper.filter("copies").select("anchor", "key", own.alias("digest")))
+            out = judged.filter("NOT is_text").select("doc", "tag", "start", "starts", "digest").unionByName(again)
+        columns = ["doc", "tag", "start", "starts", "digest"]
+        return out.select(*columns).unionByName(copies.join(texts_of.distinct(), ["anchor", "key"]).select(*columns))
 
     def repeated(self, docs: DataFrame) -> DataFrame:
-        """doc, text and ``repeats`` (a list of ranges of repeated starts, or null) of each row of ``docs``."""
+        """doc, text and ``repeats`` of each row of ``docs``: ranges of repeated starts, proposed ones with a digest; or null."""
         whole = keyed(docs)
         dealt = whole.repartition("doc", "tag")
         ranges = self._judged(self.scan(whole), dealt, 0)
-        by_doc = ranges.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "starts")).alias("repeats"))
+        by_doc = ranges.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "starts", "digest")).alias("repeats"))
         return dealt.join(by_doc, ["doc", "tag"], "left").select("doc", "text", "repeats")
 
 
+def digest(units: bytes) -> bytes:
+    return hashlib.sha256(units).digest()[:DIGEST_BYTES]
+
+
+def proven(repeats: list[dict], raw: Callable[[], bytes], length: int, unit_bytes: int) -> list[dict]:
+    """``repeats`` without proposed copies whose units aren't those of the text that was compared."""
+    if all(r["digest"] is None for r in repeats):
+        return repeats
+    units = raw()
+    own = lambda r: digest(units[r["start"] * unit_bytes : (r["start"] + r["starts"] + length - 1) * unit_bytes])
+    return [r for r in repeats if r["digest"] is None or r["digest"] == own(r)]
+
+
 def covered(n: int, repeats: list[dict], length: int) -> np.ndarray:
     """Flags of the ``n`` units that strings of ``length`` at the repeated starts cover."""
     steps = np.zeros(n + 1, np.int32)

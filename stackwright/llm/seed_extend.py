@@ -5,7 +5,8 @@ earlier in the same document). Seeds are winnowed anchors, the least hashes of 8
 are joined on them (see ``repeats``). Under a shared anchor each text pairs with the earliest text that holds one of its
 windows; the match is extended left and right from the window word by word, and its maximal repeats of WINDOW words or
 more are kept. A text has at most as many partners as starts, so nothing grows with the square of an anchor's texts.
-Equal texts under an anchor are one text with several places: a match with a copy extends over all of it.
+Each text under an anchor is extended once. Its copies in other places (most of all repeats) are proposed by a 64-bit
+key and checked against a digest of the text that was extended; they aren't extended again themselves.
 
 Words are maximal runs without ASCII white space, unchanged, and compared by 64-bit hashes. Null text has no words; a
 null doc_id sorts first; rows that share a doc_id but not a text are documents of their own, equal rows are one
@@ -15,13 +16,14 @@ document. Texts of fewer than WINDOW words stay as they are; there is no upper b
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .minhash_join import word_hashes
-from .repeats import NO_ID, Repeats, covered
+from .repeats import NO_ID, Repeats, covered, proven
 
 WINDOW = 20
 #: Anchors are hashes of so many words.
@@ -39,9 +41,8 @@ def word_units(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint64)
 
 
-def later_windows(texts: list[bytes], starts: np.ndarray, places: dict[str, np.ndarray], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """For each start of each text (word hashes) in turn: whether a maximal repeat with an earlier place covers it, and
-    whether it was seeded: its window is one whose copies, in texts equal to this one, extend over the whole text."""
+def later_windows(texts: list[bytes], starts: np.ndarray, places: dict[str, np.ndarray], window: int = WINDOW) -> np.ndarray:
+    """For each start of each text (word hashes) in turn: whether a maximal repeat with an earlier place covers it."""
     sizes = np.array([len(t) // 8 for t in texts])
     words = np.frombuffer(b"".join(texts), np.uint64)
     begin = np.cumsum(sizes) - sizes
@@ -85,12 +86,12 @@ def later_windows(texts: list[bytes], starts: np.ndarray, places: dict[str, np.n
     low, high = base + mine - left, base + mine + right - window + 1
     np.add.at(steps, low[maximal], 1)
     np.add.at(steps, high[maximal], -1)
-    return np.cumsum(steps)[:-1] > 0, partner >= 0
+    return np.cumsum(steps)[:-1] > 0
 
 
-def removed_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def removed_repeats(docs: DataFrame, window: int = WINDOW, key_of: Callable | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and ``kept`` (string: the words that stay) of each document."""
-    finder = Repeats(window, GRAM, 8, word_raw, word_units, lambda texts, starts, places: later_windows(texts, starts, places, window))
+    finder = Repeats(window, GRAM, 8, word_raw, word_units, lambda texts, starts, places: later_windows(texts, starts, places, window), key_of)
 
     def cut(batches):
         for batch in batches:
@@ -98,6 +99,7 @@ def removed_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             for doc, value, found in zip(batch["doc"].to_pylist(), batch["text"].cast(pa.binary()), batch["repeats"].to_pylist()):
                 words = value.as_py().split()
                 removed = 0
+                found = proven(found, lambda: word_raw(value.as_py()), window, 8) if found else []  # noqa: B023
                 if found:
                     gone = covered(len(words), found, window)
                     removed = int(gone.sum())

@@ -97,6 +97,27 @@ def test_repeats_of_a_table(spark):
     check_repeats(docs, [(r.doc_id, r.text) for r in docs.collect()])
 
 
+@pytest.mark.parametrize("keys", [1, 2])
+def test_colliding_keys_remove_nothing_that_stands_once(spark, keys):
+    """Under such keys every text of an anchor is proposed as a copy of the first; only true ones may go."""
+    key_of = lambda text: len(text) % keys
+    rng = random.Random(9)
+    shared = " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))
+    rows = [(k, f"{' '.join(f'a{rng.randrange(10**6)}' for _ in range(30))} {shared} {' '.join(f'b{rng.randrange(10**6)}' for _ in range(30))}") for k in range(12)]
+    rows += [(50 + k, rows[k][1]) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for finder, unit in ((bwt_repeats.removed_repeats, "bytes"), (seed_extend.removed_repeats, "words")):
+        right = {r.doc_id: r for r in finder(docs).collect()}
+        weak = {r.doc_id: r for r in finder(docs, key_of=key_of).collect()}
+        size = f"n_{unit}"
+        assert right[0].n_removed == 0 and right[50].n_removed == right[50][size] and right[3].n_removed > 0
+        for k, r in weak.items():
+            assert r.n_removed <= right[k].n_removed, (unit, k)
+            # What is removed is removed rightly: the rest holds all that the right answer keeps, in order.
+            rest = iter(r.kept if unit == "bytes" else r.kept.split())
+            assert all(any(x == y for y in rest) for x in (right[k].kept if unit == "bytes" else right[k].kept.split()))
+
+
 def test_intervals_of_small_texts():
     rng = np.random.default_rng(1)
     for trial in range(100):
@@ -107,7 +128,7 @@ def test_intervals_of_small_texts():
         held = [((places["doc"][k], k, i), t[i : i + 5]) for k, t in enumerate(texts) for i in range(starts[k])]
         for place, s in held:
             first[s] = min(first.get(s, place), place)
-        assert list(bwt_repeats.later_starts(texts, starts, places, 5)[0]) == [first[s] != place for place, s in held]
+        assert list(bwt_repeats.later_starts(texts, starts, places, 5)) == [first[s] != place for place, s in held]
 
 
 def test_language_held_out(spark):
