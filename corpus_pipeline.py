@@ -42,7 +42,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts fail the base rules; rows that repeat or share a doc_id are judged each by text and source; a
     null source is a host of its own. Of all stages: no rows in, no rows out; columns of the input with any names stay.
     """
-    return line_quality.kept_texts(docs, max_line_documents=line_quality.MAX_LINE_DOCUMENTS)
+    return line_quality.kept_texts(docs, max_line_fraction=line_quality.MAX_LINE_FRACTION)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,8 +7,8 @@ every line stands in a third of them). Documents are rejected if a base rule fai
 if they are depleted: boilerplate holds more than ``max_removed_fraction`` of their words.
 
 line_quality() returns the decisions; kept_texts() returns the kept documents without their boilerplate lines, and can
-also count a line as boilerplate that more than ``max_line_documents`` distinct texts of the whole corpus hold: one that
-stands a little below the fraction in each of many hosts.
+also count a line as boilerplate that more than a share of the distinct texts of the whole corpus hold: one that stands a
+little below the fraction in each of many hosts. A share means the same at every size of the corpus.
 
 Documents are distinct if their texts are: those with the same text count once, so that a group of exact copies (which exact deduplication reduces to one)
 doesn't make its own lines look like boilerplate. Counting is a partial aggregation before the shuffle, so a line that
@@ -31,8 +31,8 @@ MAX_REPEAT_PERCENT = 50
 MAX_DOC_FRACTION = 0.10
 MIN_DOCUMENTS = 10
 MAX_REMOVED_FRACTION = 0.8
-#: Of kept_texts() in the pipeline: distinct texts of the whole corpus that may hold a line.
-MAX_LINE_DOCUMENTS = 1000
+#: Of kept_texts() in the pipeline: the share of the distinct texts of the whole corpus that may hold a line.
+MAX_LINE_FRACTION = 0.02
 
 
 def words_of(text: Column) -> Column:
@@ -155,9 +155,13 @@ def kept_texts(
     min_documents: int = MIN_DOCUMENTS,
     max_removed_fraction: float = MAX_REMOVED_FRACTION,
     max_line_documents: int | None = None,
+    max_line_fraction: float | None = None,
 ) -> DataFrame:
     """``docs`` (text, source, any further columns) without rejected rows and without boilerplate lines.
 
+    ``max_line_fraction`` limits lines by the whole corpus as ``max_doc_fraction`` does by hosts: it stands for
+    ``max_line_documents`` of that share of all distinct texts, ``min_documents`` less one at least.
+
     The decision is that of line_quality(), but depends on a row's text and host only, so doc_ids may repeat or be null.
     The other lines stay as they are, in order; a text without boilerplate is unchanged. n_chars, if there, is set anew
     for changed texts.
@@ -165,6 +169,8 @@ def kept_texts(
     host, key, gone, kept = (unused(f"_{n}", docs.columns) for n in ("host", "key", "gone", "kept"))
     with_id = docs if "doc_id" in docs.columns else docs.withColumn("doc_id", F.lit(None).cast("long"))
     texts = narrow_table(with_id).dropDuplicates(["host", "text_hash"])
+    if max_line_fraction is not None:
+        max_line_documents = max(min_documents - 1, int(max_line_fraction * texts.select("text_hash").distinct().count()))
     above = lines_above_limits(texts, max_doc_fraction, min_documents, max_line_documents)
     lines = texts.select("host", "text_hash", F.explode("lines").alias("line")).select("host", "text_hash", F.col("line.hash").alias("line_hash"), F.col("line.words").alias("line_words"))
     removed = (

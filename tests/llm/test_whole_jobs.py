@@ -102,6 +102,9 @@ def test_lines_above_limits_are_removed(spark):
             wanted[i, stay, host, n if stay == t else len(stay), x] += 1
         found = line_quality.kept_texts(docs, min_documents=11, max_line_documents=most)
         assert Counter(tuple(r) for r in found.collect()) == wanted
+    n = docs.select("text").distinct().count()
+    share = line_quality.kept_texts(docs, min_documents=11, max_line_fraction=15.5 / n)
+    assert Counter(tuple(r) for r in share.collect()) == wanted
 
 
 def test_quality_stage_removes_lines(spark):
