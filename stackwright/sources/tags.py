@@ -131,7 +131,7 @@ def tracks(tagged: DataFrame) -> DataFrame:
 def extra_tags(tagged: DataFrame, owned: Sequence[str] = ()) -> DataFrame:
     """(path, ord, key, value, source): comments that no field of the editor nor of ``owned`` has, provider ids by their canonical names.
 
-    Of a provider's id the first value stays, of other keys each value once; order by key, then as in the file.
+    Of a provider's id the first value stays, of other keys each value once; ``ord`` tells the order in the file.
     """
     rows = tagged.select("path", "codec", F.posexplode("tags").alias("ord", "t"))
     key = F.coalesce(N.provider_key(F.col("t.key")), F.col("t.key"))
@@ -140,4 +140,4 @@ def extra_tags(tagged: DataFrame, owned: Sequence[str] = ()) -> DataFrame:
     rows = rows.filter((F.col("key") != "") & (F.col("value") != "") & ~N.is_editor_key(F.col("key")) & ~F.col("key").isin(*owned))
     one = F.when(N.provider_key(F.col("key")).isNull(), F.col("value"))
     kept = rows.groupBy("path", "source", "key", one.alias("_one")).agg(F.min(F.struct("ord", "value")).alias("r"))
-    return kept.select("path", "r.ord", "key", "r.value", "source").orderBy("path", "key", "ord")
+    return kept.select("path", "r.ord", "key", "r.value", "source")

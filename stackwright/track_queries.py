@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import lyrics, names, patterns
+from .functions import arguments, lyrics, names, patterns, routing, scripts
 from .functions import text as T
 from .functions.pipeline import pipeline
-from .operators import candidates, health, positions, rollups, scopes, state
-from .plans import changes, edits
+from .operators import candidates, health, positions, rollups, scopes, state, titles
+from .plans import changes, edits, moves
+from .sources import tags
+from .streaming import sessions
 
 #: Fixed values of the derived table: the same expressions serve both engines.
 TRACK_COLUMNS = {
@@ -798,3 +800,121 @@ def write_expectations(spark, sf_dir):
     new = F.when(F.col("ord") % 4 == 0, "").when(F.col("ord") % 4 == 2, "gone").otherwise("G")
     actions = track_table(spark, sf_dir).select("path", F.lit("genre").alias("field"), F.col("genre").alias("old_value"), new.alias("new_value"), F.when(F.col("ord") % 4 == 2, "remove").otherwise("set").alias("operation"))
     return edits.expectations(actions)
+
+
+# Conversations, requests, calls and moves
+
+_TURN_EVENTS = {
+    "session_id": "CAST(conv_id AS VARCHAR(20))",
+    "seq": "turn",
+    "at": "'t' || CAST(turn AS VARCHAR(20))",
+    "kind": "CASE WHEN role = 'system' THEN 'turn' WHEN length(text) % 5 = 0 THEN 'turn' WHEN role = 'assistant' AND length(text) % 3 = 0 THEN 'answered' WHEN role = 'assistant' THEN 'clarified' WHEN length(text) % 2 = 0 THEN 'submitted' ELSE 'finished' END",
+    "batch": "'b' || CAST(length(text) % 3 AS VARCHAR(20))",
+    "intent": "role",
+    "scope": "CASE WHEN turn % 2 = 0 THEN substring(text, 1, 3) END",
+    "protocol": "'native'",
+    "referent_count": "CAST(length(text) AS BIGINT)",
+    "referent_query": "substring(text, 1, 5)",
+    "referent_field": "CASE WHEN role = 'user' THEN 'genre' END",
+    "referent_value": "CAST(NULL AS VARCHAR(9))",
+    "mutation_required": "role = 'user'",
+    "clarifications": "CASE WHEN length(text) % 10 = 0 THEN CAST(turn AS BIGINT) END",
+}
+_OF_TURN = ["intent", "scope", "referent_count", "referent_query", "referent_field", "referent_value", "mutation_required"]
+
+
+@query(f"""WITH e AS (SELECT {", ".join(f"{v} AS {c}" for c, v in _TURN_EVENTS.items())} FROM conversations),
+p AS (SELECT a.session_id, a.seq, a.at, max(b.seq) FILTER (b.kind = 'turn') AS t, max(b.seq) FILTER (b.kind IN ('turn', 'answered')) AS r, max(b.seq) FILTER (b.kind IN ('turn', 'answered', 'clarified')) AS c, min(b.seq) AS f
+    FROM e a JOIN e b ON a.session_id = b.session_id AND b.seq <= a.seq GROUP BY ALL),
+n AS (SELECT p.*, (SELECT count(*) FROM e x WHERE x.session_id = p.session_id AND x.kind = 'clarified' AND x.seq > coalesce(p.r, -1) AND x.seq <= p.seq) AS n FROM p)
+SELECT n.session_id, n.seq, {", ".join(f"t.{c}" for c in _OF_TURN)}, coalesce(t.protocol, 'llm') AS protocol,
+CASE WHEN n.c = n.t AND t.clarifications IS NULL THEN NULL ELSE n.n + CASE WHEN n.r = n.t THEN coalesce(t.clarifications, 0) ELSE 0 END END AS clarifications, f.at AS created_at, n.at AS updated_at,
+(SELECT count(*) FROM (SELECT batch, arg_max(kind, seq) AS k FROM e x WHERE x.session_id = n.session_id AND x.seq <= n.seq AND kind IN ('submitted', 'finished') GROUP BY batch) WHERE k = 'submitted') AS n_pending
+FROM n LEFT JOIN e t ON t.session_id = n.session_id AND t.seq = n.t JOIN e f ON f.session_id = n.session_id AND f.seq = n.f""", tracks=False)
+def session_turns(spark, sf_dir):
+    events = _table(spark, sf_dir, "conversations").selectExpr(*[f"{v} AS {c}" for c, v in _TURN_EVENTS.items()])
+    return sessions.replay(events).withColumn("n_pending", F.size("pending").cast("long")).drop("pending")
+
+
+_REQUEST = """CASE p_partkey % 10 WHEN 0 THEN 'set genre to ' || p_name WHEN 1 THEN 'Change the album artist "' || p_name || '"' WHEN 2 THEN 'set the missing year to ' || CAST(p_size AS VARCHAR(9))
+WHEN 3 THEN 'clear the comment' WHEN 4 THEN 'set album based on their folder name' WHEN 5 THEN 'set title based on the ' || p_name WHEN 6 THEN 'fix the missing title' WHEN 7 THEN 'set them ' || p_name
+WHEN 8 THEN 'group these files into album folders' ELSE 'what about ' || p_name END"""
+
+
+@query(f"""WITH r AS (SELECT CAST(p_partkey AS BIGINT) AS p_partkey, p_partkey % 10 AS k, p_name, p_size, p_partkey % 20 = 7 AS found FROM part)
+SELECT p_partkey, CASE WHEN k IN (0, 1, 2, 7) THEN 'set_field' WHEN k = 3 THEN 'remove_field' WHEN k = 4 THEN 'set_field_from' WHEN k = 6 THEN 'set_missing' ELSE 'group_by_album' END AS intent,
+['genre', 'albumArtist', 'year', 'comment', 'album', NULL, 'title', 'mood', 'album'][k + 1] AS field, CASE WHEN k IN (0, 1, 7) THEN p_name WHEN k = 2 THEN CAST(p_size AS VARCHAR) END AS value,
+CASE WHEN k = 4 THEN 'folder_name' END AS source, k IN (2, 6, 7) AS only_if_missing, CASE WHEN k IN (2, 6) THEN 'library_missing' WHEN k = 7 THEN 'referent' WHEN k = 8 THEN 'active' ELSE 'library' END AS scope, k = 7 AS uses_referent
+FROM r WHERE k NOT IN (5, 7, 9) OR (k = 7 AND found)""", tracks=False)
+def routed_requests(spark, sf_dir):
+    part = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), F.expr(_REQUEST).alias("request"), (F.col("p_partkey") % 20 == 7).cast("long").alias("found"))
+    return part.select("p_partkey", routing.route(F.col("request"), F.lit("mood"), F.col("found")).alias("c")).filter("c IS NOT NULL").select("p_partkey", "c.*")
+
+
+_CALL = """CASE event_id % 8 WHEN 0 THEN '{"query": "x", "limit": ' || CAST(event_id AS VARCHAR(20)) || '}' WHEN 1 THEN '{"query": ' || CAST(user_id AS VARCHAR(20)) || '}' WHEN 2 THEN '{"limit": 1}' WHEN 3 THEN '{"query": "x", "zz": 1, "' || event_type || '": 2}'
+WHEN 4 THEN '{"query": null}' WHEN 5 THEN '[' || props || ']' WHEN 6 THEN props ELSE '{"query": "' || event_type || '", "limit": null}' END"""
+
+
+@query("""SELECT event_id, CASE event_id % 8 WHEN 1 THEN 'Field "query" should be a string, got number' WHEN 3 THEN 'Unknown field: ' || event_type WHEN 5 THEN 'Tool arguments should be an object' ELSE 'Missing required field: query' END AS problem
+FROM events WHERE event_id % 8 IN (1, 2, 3, 4, 5, 6)""", tracks=False)
+def rejected_arguments(spark, sf_dir):
+    events = _table(spark, sf_dir, "events").select("event_id", arguments.call_problem(F.lit("api.musicbrainzSearch"), F.expr(_CALL)).alias("problem"))
+    return events.filter("problem IS NOT NULL")
+
+
+_RELEASED = """CASE p_partkey % 6 WHEN 0 THEN p_name || ' (24bit)' WHEN 1 THEN p_name || ' (Live)' WHEN 2 THEN p_brand || ' - ' || p_name || ' [bonus disc]' WHEN 3 THEN upper(p_name) WHEN 4 THEN p_name || 's' ELSE p_type END"""
+
+
+@query("SELECT CAST(p_partkey AS BIGINT) AS p_partkey, p_name AS replacement FROM part WHERE p_partkey % 6 IN (0, 2)", tracks=False)
+def cleaned_titles(spark, sf_dir):
+    part = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), F.expr(_RELEASED).alias("title"), F.col("p_name").alias("remote_title"), F.array().cast("array<string>").alias("remote_forms"))
+    return titles.with_replacement(part).filter("replacement IS NOT NULL").select("p_partkey", "replacement")
+
+
+@query("""WITH c AS (SELECT printf('f%09d', c_custkey) AS name, c_nationkey AS g, row_number() OVER w AS k, count(*) OVER (PARTITION BY c_nationkey) AS n, lead(printf('f%09d', c_custkey)) OVER w AS next, first_value(printf('f%09d', c_custkey)) OVER w AS first,
+    max(printf('f%09d', c_custkey)) OVER (PARTITION BY c_nationkey) AS last FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey)),
+m AS (SELECT * FROM c WHERE g % 3 > 0 OR n > 1)
+SELECT CASE WHEN g % 3 = 0 THEN first ELSE last END AS chain, CASE WHEN g % 3 = 0 AND k = 1 THEN n WHEN g % 3 = 0 THEN n - k + 1 ELSE n - k END AS rank, CASE WHEN g % 3 = 0 AND k = 1 THEN name || '.moving-aside' ELSE name END AS source,
+coalesce(next, CASE WHEN g % 3 = 0 THEN first ELSE 'free' || g END) AS target FROM m
+UNION ALL SELECT first, 0, first, first || '.moving-aside' FROM m WHERE g % 3 = 0 AND k = 1""", tracks=False)
+def move_plan(spark, sf_dir):
+    """Customers of a nation each take the next one's place: rings in every third nation, chains in the others."""
+    name = F.format_string("f%09d", F.col("c_custkey").cast("long"))
+    customer = _table(spark, sf_dir, "customer").select("c_nationkey", name.alias("source"))
+    by_nation = Window.partitionBy("c_nationkey").orderBy("source")
+    ends = F.when(F.col("c_nationkey") % 3 == 0, F.min("source").over(by_nation)).otherwise(F.concat(F.lit("free"), F.col("c_nationkey")))
+    moved = customer.withColumn("target", F.coalesce(F.lead("source").over(by_nation), ends)).filter("source <> target")
+    return moves.plan(moved)
+
+
+@query("""SELECT p_partkey, CASE WHEN k <> 3 THEN 'r' || k END AS bucket, k = 3 AS missing_result FROM (SELECT CAST(p_partkey AS BIGINT) AS p_partkey, p_partkey % 4 AS k FROM part)""", tracks=False)
+def results_by_spelling(spark, sf_dir):
+    """Files are spelt composed, results as they are, decomposed or twice; every fourth file has none."""
+    part = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), (F.col("p_partkey") % 4).alias("k"), F.concat(F.lit("\u00e9"), F.col("p_partkey").cast("string")).alias("rel"))
+    apart = F.when(F.col("k") == 0, F.col("rel")).otherwise(F.replace("rel", F.lit("\u00e9"), F.lit("e\u0301")))
+    results = part.filter("k < 3").select(apart.alias("rel"), F.lit(1).alias("ord"), F.concat(F.lit("r"), F.col("k")).alias("bucket"))
+    early = part.filter("k = 2").select("rel", F.lit(0).alias("ord"), F.lit("early").alias("bucket"))
+    return health.results_of_files(part.select("p_partkey", "rel"), results.unionByName(early)).drop("rel")
+
+
+@query("""WITH w AS (SELECT CAST(p_partkey AS BIGINT) AS p_partkey, p_name, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, p_name IN (SELECT p_name FROM part WHERE p_size = 1) AS whole FROM part)
+SELECT p_partkey, CASE WHEN whole THEN upper(a) || '+' || b ELSE upper(a) || ' ' || b END AS converted FROM w""", tracks=False)
+def phrase_conversion(spark, sf_dir):
+    """Names by a table of phrases that Spark derives from them: first words, and whole names of the smallest parts."""
+    part = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), "p_name", "p_size", F.split("p_name", " ")[0].alias("a"), F.split("p_name", " ")[1].alias("b"))
+    words = part.select(F.col("a").alias("source"), F.upper("a").alias("target"))
+    phrases = part.filter("p_size = 1").select(F.col("p_name").alias("source"), F.concat(F.upper("a"), F.lit("+"), F.col("b")).alias("target"))
+    convert = scripts.converter(words.unionByName(phrases).distinct())
+    return part.select("p_partkey", convert(F.col("p_name")).alias("converted"))
+
+
+_TAGS = [("TITLE", "p_name"), ("MusicBrains track-id", "CAST(p_partkey AS VARCHAR(20))"), ("MUSICBRAINZ_RECORDINGID", "p_brand"), ("MOOD", "p_type"), ("MOOD", "CASE WHEN p_size > 25 THEN p_type ELSE p_brand END"), ("APIC", "p_name"), ("LABEL", "CASE WHEN p_size > 10 THEN p_brand ELSE '' END")]
+
+
+@query("""WITH p AS (SELECT '/' || p_partkey AS path, * FROM part)
+SELECT path, 1 AS ord, 'MUSICBRAINZ_TRACKID' AS key, CAST(p_partkey AS VARCHAR) AS value, 'vorbis' AS source FROM p UNION ALL SELECT path, 3, 'MOOD', p_type, 'vorbis' FROM p
+UNION ALL SELECT path, 4, 'MOOD', p_brand, 'vorbis' FROM p WHERE p_size <= 25 AND p_brand <> p_type UNION ALL SELECT path, 6, 'LABEL', p_brand, 'vorbis' FROM p WHERE p_size > 10""", tracks=False)
+def extra_tags_read(spark, sf_dir):
+    each = F.array(*[F.struct(F.lit(k).alias("key"), F.expr(v).alias("value")) for k, v in _TAGS])
+    tagged = _table(spark, sf_dir, "part").select(F.concat(F.lit("/"), F.col("p_partkey").cast("string")).alias("path"), F.lit("FLAC").alias("codec"), each.alias("tags"))
+    return tags.extra_tags(tagged)
