@@ -10,6 +10,8 @@ taken as a value: folder names are a source of their own, other derivations aren
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -46,13 +48,18 @@ def unquoted(text: Column) -> Column:
     return T.trim(F.regexp_replace(T.trim(text), r"""(?s)^(["'])(.*)\1$""", "$2"))
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _bare(text: Column) -> Column:
     return F.lower(F.regexp_replace(T.collapse(text), r"^[\p{Punct}\s]+|[\p{Punct}\s]+$", ""))
 
 
 def names_folder(text: Column) -> Column:
     """Whether a value's place tells to take the folder's name."""
-    return _bare(text).contains("folder") & _bare(text).rlike(FOLDER_FORMS)
+    return _bound(_bare(text), lambda t: t.contains("folder") & t.rlike(FOLDER_FORMS))
 
 
 def is_derived(text: Column) -> Column:
@@ -65,34 +72,44 @@ def _named(text: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in _NAMES.items() for x in pair]), spelt)
 
 
-def _regular(message: Column) -> Column:
-    lower = F.lower(message)
+def _regular(message: Column, lower: Column) -> Column:
     verb = F.regexp_extract(lower, rf"^({'|'.join(VERBS)}) ", 1)
     action = F.try_element_at(F.create_map(*[F.lit(x) for pair in VERBS.items() for x in pair]), verb)
-    body = T.trim(F.regexp_replace(message, r"(?is)^\w+ +(?:the )?", ""))
-    asked = body.rlike(r"^(?:the )?missing ")
-    told = F.regexp_replace(body, r"^(?:the )?missing ", "")
-    field = _named(T.extract(told, _FIELD))
-    rest = F.nullif(T.trim(F.coalesce(T.extract(told, _FIELD, 2), F.lit(""))), F.lit(""))
-    bare_missing = rest.isin("where missing", "missing")
-    missing = asked | F.coalesce(bare_missing, F.lit(False)) | lower.contains(" where missing") | lower.contains("missing ") | lower.endswith("missing")
-    after_to = F.when(rest.startswith("to "), F.substr(rest, F.lit(4)))
     yes = lambda c: F.coalesce(c, F.lit(False))
-    literal = ~asked & yes(is_quoted(rest) | is_quoted(after_to))
-    folder = ~asked & ~literal & yes(names_folder(F.coalesce(after_to, rest)))
-    derived = ~asked & ~literal & ~folder & after_to.isNull() & ~yes(bare_missing) & yes(is_derived(rest))
-    value = F.when(asked, after_to).when(yes(bare_missing) | folder, F.lit(None)).otherwise(F.coalesce(after_to, rest))
-    scope = F.when(missing, "library_missing").otherwise("library")
-    value = unquoted(value)
-    to_set = (
-        F.when(derived, F.lit(None)).when(folder, _command("set_field_from", field, source="folder_name", only_if_missing=missing, scope=scope))
-        .when(missing & value.isNull(), _command("set_missing", field, only_if_missing=True, scope=scope)).otherwise(_command("set_field", field, value, only_if_missing=missing, scope=scope))
-    )
-    known = field.isNotNull()
-    return (
-        F.when((action == "set") & known, to_set).when((action == "remove") & known, _command("remove_field", field))
-        .when((action == "fix") & known & missing, _command("set_missing", field, only_if_missing=True, scope="library_missing"))
-    )
+
+    def of_body(body: Column) -> Column:
+        told = F.regexp_replace(body, r"^(?:the )?missing ", "")
+        rest = F.nullif(T.trim(F.coalesce(T.extract(told, _FIELD, 2), F.lit(""))), F.lit(""))
+        parts = F.struct(body.rlike(r"^(?:the )?missing ").alias("asked"), _named(T.extract(told, _FIELD)).alias("field"), rest.alias("rest"), F.when(rest.startswith("to "), F.substr(rest, F.lit(4))).alias("after_to"))
+        return _bound(parts, of_parts)
+
+    def of_parts(p: Column) -> Column:
+        asked, rest, after_to = p["asked"], p["rest"], p["after_to"]
+        alone = yes(rest.isin("where missing", "missing"))
+        literal = ~asked & yes(is_quoted(rest) | is_quoted(after_to))
+        seen = F.struct(
+            p["field"].alias("field"), rest.alias("rest"), after_to.alias("after_to"), asked.alias("asked"), alone.alias("alone"), literal.alias("literal"),
+            (asked | alone | lower.contains(" where missing") | lower.contains("missing ") | lower.endswith("missing")).alias("missing"),
+            (~asked & ~literal & yes(names_folder(F.coalesce(after_to, rest)))).alias("folder"),
+        )
+        return _bound(seen, decided)
+
+    def decided(s: Column) -> Column:
+        field, missing = s["field"], s["missing"]
+        derived = ~s["asked"] & ~s["literal"] & ~s["folder"] & s["after_to"].isNull() & ~s["alone"] & yes(is_derived(s["rest"]))
+        value = unquoted(F.when(s["asked"], s["after_to"]).when(s["alone"] | s["folder"], F.lit(None)).otherwise(F.coalesce(s["after_to"], s["rest"])))
+        scope = F.when(missing, "library_missing").otherwise("library")
+        to_set = (
+            F.when(derived, F.lit(None)).when(s["folder"], _command("set_field_from", field, source="folder_name", only_if_missing=missing, scope=scope))
+            .when(missing & value.isNull(), _command("set_missing", field, only_if_missing=True, scope=scope)).otherwise(_command("set_field", field, value, only_if_missing=missing, scope=scope))
+        )
+        known = field.isNotNull()
+        return (
+            F.when((action == "set") & known, to_set).when((action == "remove") & known, _command("remove_field", field))
+            .when((action == "fix") & known & missing, _command("set_missing", field, only_if_missing=True, scope="library_missing"))
+        )
+
+    return _bound(T.trim(F.regexp_replace(message, r"(?is)^\w+ +(?:the )?", "")), of_body)
 
 
 def _of_referent(message: Column, referent_field: Column, referent_count: Column) -> Column:
@@ -106,17 +123,21 @@ def _of_referent(message: Column, referent_field: Column, referent_count: Column
 
 def route(message: Column, referent_field: Column | None = None, referent_count: Column | None = None) -> Column:
     """The command of a request. ``referent_field`` and ``referent_count``: what an earlier request found, for "them"."""
-    message = T.trim(message)
-    lower = F.lower(message)
-    grouping = lower.contains("album") & lower.rlike(GROUPING) & lower.rlike(FOLDERS)
-    plural = lower.rlike(r"(?:^|[^\p{L}\p{N}])artists(?:[^\p{L}\p{N}]|$)") & ~lower.rlike("album ?artists")
-    splitting = lower.contains("selected") & plural & lower.rlike(REPAIRING) & lower.rlike(BROKEN)
-    them = lower.rlike(r"^(?:set|change) them(?: |$)")
     field, count = (F.lit(None).cast(t) if c is None else c for c, t in ((referent_field, "string"), (referent_count, "long")))
-    return (
-        F.when(grouping, _command("group_by_album", "album", scope="active")).when(splitting, _command("split_artists", "artists", scope="selected"))
-        .when(them, _of_referent(message, field, count)).otherwise(_regular(message))
-    )
+
+    def of(s: Column) -> Column:
+        message, lower = s["message"], s["lower"]
+        grouping = lower.contains("album") & lower.rlike(GROUPING) & lower.rlike(FOLDERS)
+        plural = lower.rlike(r"(?:^|[^\p{L}\p{N}])artists(?:[^\p{L}\p{N}]|$)") & ~lower.rlike("album ?artists")
+        splitting = lower.contains("selected") & plural & lower.rlike(REPAIRING) & lower.rlike(BROKEN)
+        them = lower.rlike(r"^(?:set|change) them(?: |$)")
+        return (
+            F.when(grouping, _command("group_by_album", "album", scope="active")).when(splitting, _command("split_artists", "artists", scope="selected"))
+            .when(them, _of_referent(message, field, count)).otherwise(_regular(message, lower))
+        )
+
+    trimmed = T.trim(message)
+    return _bound(F.struct(trimmed.alias("message"), F.lower(trimmed).alias("lower")), of)
 
 
 def in_scope(command: Row, selected: list[str], active_album: str | None) -> Column:
