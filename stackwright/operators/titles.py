@@ -49,18 +49,23 @@ def with_replacement(rows: DataFrame) -> DataFrame:
     staged = staged.withColumn("_other", F.concat("_shown", F.substr(F.col("_title"), F.length("_core") + 1)))
     # One pass through Unicode normalization for all texts of a row.
     texts = ["_title", "_core", "_other", "_shown", "_remote"]
-    staged = staged.withColumn("_keys", F.split(T.nfkc(F.array_join(F.array(*texts), "\x1f")), "\x1f"))
-    staged = staged.withColumn("_keys", F.transform("_keys", T.title_key))
-    key = {c: F.get("_keys", F.lit(k)) for k, c in enumerate(texts)}
-    forms = F.array_distinct(F.concat(F.array(key["_remote"]), F.coalesce("remote_forms", F.array().cast("array<string>"))))
+    staged = staged.withColumn("_joined", T.nfkc(F.array_join(F.array(*texts), "\x1f")))
+    others = F.coalesce("remote_forms", F.array().cast("array<string>"))
 
-    def replaced(candidate: str, own: str) -> Column:
-        clean = F.when(key[own] == key["_remote"], F.col(own)).otherwise(F.col("_remote"))
-        return F.when(F.exists(forms, lambda f: is_polluted(key[candidate], f)), clean)
+    def found(keys: Column) -> Column:
+        key = {c: F.get(keys, F.lit(k)) for k, c in enumerate(texts)}
+        forms = F.array_distinct(F.concat(F.array(key["_remote"]), others))
 
-    wanted = F.coalesce(replaced("_title", "_core"), replaced("_other", "_shown"))
+        def replaced(candidate: str, own: str) -> Column:
+            clean = F.when(key[own] == key["_remote"], F.col(own)).otherwise(F.col("_remote"))
+            return F.when(F.exists(forms, lambda f: is_polluted(key[candidate], f)), clean)
+
+        return F.coalesce(replaced("_title", "_core"), replaced("_other", "_shown"))
+
+    # The keys are bound once, however often the rules name them.
+    wanted = F.get(F.transform(F.array(F.transform(F.split("_joined", "\x1f"), T.title_key)), found), F.lit(0))
     there = (F.coalesce(F.col("_title"), F.lit("")) != "") & (F.coalesce(F.col("_remote"), F.lit("")) != "")
-    return staged.withColumn("replacement", F.when(there, wanted)).drop(*texts, "_keys")
+    return staged.withColumn("replacement", F.when(there, wanted)).drop(*texts, "_joined")
 
 
 def _file_title(local: DataFrame) -> DataFrame:
