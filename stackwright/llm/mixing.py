@@ -18,7 +18,8 @@ documents by (source, block).
 
 Null and empty texts have size 0 and are taken 0 times. An empty table, or one without words, gives no slots. A long
 text spans as many blocks as it has words for. Documents with equal hashes go by doc_id; a null doc_id or source is a
-value like any other. Further columns are ignored.
+value like any other. Rows that share a doc_id and source are one document of the schedule, whose words taken are shared out
+by size, rounded down: such rows may lack a word each. Further columns are ignored.
 """
 
 from __future__ import annotations

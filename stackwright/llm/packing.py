@@ -13,8 +13,8 @@ bucket totals), so a length that a third of all pieces share isn't one task's wo
 
 Null text counts as empty and yields the end id alone. Rows that repeat a doc_id, or have none, are packed each on its
 own. Texts of any length are encoded whole; a text longer than a sequence is cut at the sequence's length from its end
-on. Pieces of a length are alike to the plan: which of them goes where follows from hashes of their rows. An empty table
-gives no pieces.
+on. Pieces of a length are alike to the plan: which of them goes where follows from where their rows stand, and so
+changes with the table's partitions. An empty table gives no pieces. Other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
