@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import text as T
+from .catalog import duplicate_members
 
 # Limits of pages, (default, most).
 PAGES = {"search": (20, 100), "inspect": (20, 500), "lookup": (5, 25)}
@@ -30,6 +31,12 @@ def search(title: str = "", artist: str = "", album: str = "", genre: str = "",
     return whole
 
 
+def search_tracks(tracks: DataFrame, has_duplicates: bool = False, **conditions) -> DataFrame:
+    """Tracks that meet search()'s ``conditions``; ``has_duplicates``: and that share title, artist and album with another of all ``tracks``."""
+    held = duplicate_members(tracks, ["title", "artist", "album"]) if has_duplicates else tracks
+    return held.filter(search(**conditions))
+
+
 def of_album_prefix(album: str) -> Column:
     """Paths that begin with the album's, letter by letter: /a/b also takes /a/bc."""
     return F.col("path").startswith(album)

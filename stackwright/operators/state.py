@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.patterns import canonical_struct
 
+#: What may become of an album, and of a folder's name that a model has read.
+ALBUM_STATUSES = ["error", "llm_parsed", "pending", "tagged_ok"]
+PARSED, EXTRACTED = "llm_parsed", "_llm_"
+LEDGER = ["path_hash", "status", "content_hash", "folder_name_hash", "extraction", "disc_count", "error", "processed_at"]
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """``old`` with rows of ``new`` in place of those of the same keys, and the rest of ``new`` added."""
@@ -63,3 +69,41 @@ def same_tags(left: DataFrame, right: DataFrame) -> DataFrame:
     side = lambda rows, s: rows.select("path", F.upper("key").alias("key"), F.trim("value").alias("value")).distinct().withColumn("_side", F.lit(s))
     both = side(left, 1).unionByName(side(right, 2)).groupBy("path", "key", "value").agg(F.count("*").alias("n"))
     return both.groupBy("path").agg(F.bool_and(F.col("n") == 2).alias("same"))
+
+
+def folder_name_hash(name: Column) -> Column:
+    return F.sha2(T.trim(name), 256)
+
+
+def album_states(albums: DataFrame) -> DataFrame:
+    """Ledger rows (LEDGER) of albums (path, status, content_hash, disc_count, error, processed_at) with a valid status.
+
+    The newest row of each album counts. upsert() by path_hash adds them to a ledger.
+    """
+    rows = albums.filter(F.col("status").isin(ALBUM_STATUSES)).select(
+        T.path_hash(F.col("path")).alias("path_hash"), "status", "content_hash", folder_name_hash(T.parent(F.col("path"))).alias("folder_name_hash"),
+        F.lit(None).cast("string").alias("extraction"), F.col("disc_count").cast("long").alias("disc_count"), "error", "processed_at",
+    )
+    return rows.groupBy("path_hash").agg(F.max_by(F.struct(*LEDGER[1:]), F.struct("processed_at", "status")).alias("r")).select("path_hash", "r.*")
+
+
+def rejected_states(albums: DataFrame) -> DataFrame:
+    """(path, problem) of albums whose status isn't one."""
+    told = F.concat(F.lit("Invalid album status: "), F.coalesce("status", F.lit("")), F.lit(f". Valid: {', '.join(ALBUM_STATUSES)}"))
+    return albums.filter(~F.coalesce(F.col("status").isin(ALBUM_STATUSES), F.lit(False))).select("path", told.alias("problem"))
+
+
+def extraction_states(read: DataFrame) -> DataFrame:
+    """Ledger rows of what a model read from folders' names (folder_name, extraction, processed_at); the newest counts."""
+    hashed = read.withColumn("folder_name_hash", folder_name_hash(F.col("folder_name")))
+    newest = hashed.groupBy("folder_name_hash").agg(F.max_by(F.struct("extraction", "processed_at"), F.struct("processed_at", "extraction")).alias("r"))
+    return newest.select(
+        F.concat(F.lit(EXTRACTED), "folder_name_hash").alias("path_hash"), F.lit(PARSED).alias("status"), F.lit("").alias("content_hash"), "folder_name_hash",
+        F.col("r.extraction").alias("extraction"), F.lit(0).cast("long").alias("disc_count"), F.lit(None).cast("string").alias("error"), F.col("r.processed_at").alias("processed_at"),
+    )
+
+
+def extractions_of(ledger: DataFrame, folders: DataFrame) -> DataFrame:
+    """``folders`` (folder_name, ...) with the extraction that the ledger has of their names, null where it has none."""
+    held = ledger.filter("extraction IS NOT NULL").groupBy("folder_name_hash").agg(F.max_by("extraction", "processed_at").alias("extraction"))
+    return folders.withColumn("folder_name_hash", folder_name_hash(F.col("folder_name"))).join(held, "folder_name_hash", "left").drop("folder_name_hash")

@@ -918,3 +918,23 @@ def extra_tags_read(spark, sf_dir):
     each = F.array(*[F.struct(F.lit(k).alias("key"), F.expr(v).alias("value")) for k, v in _TAGS])
     tagged = _table(spark, sf_dir, "part").select(F.concat(F.lit("/"), F.col("p_partkey").cast("string")).alias("path"), F.lit("FLAC").alias("codec"), each.alias("tags"))
     return tags.extra_tags(tagged)
+
+
+@query("""WITH n AS (SELECT n_name AS folder_name, sha256(trim(n_name)) AS h, n_nationkey AS k FROM nation),
+l AS (SELECT '_llm_' || h AS path_hash, 'llm_parsed' AS status, h AS folder_name_hash, '{"k": ' || k || '}' AS extraction FROM n WHERE k % 3 > 0
+UNION ALL SELECT sha256('/m/' || c_custkey), CASE WHEN c_custkey % 2 = 0 THEN 'tagged_ok' ELSE 'pending' END, sha256('/m'), NULL FROM customer WHERE c_custkey % 5 > 0)
+SELECT * FROM l""", tracks=False)
+def extraction_ledger(spark, sf_dir):
+    """Albums and what was read of folders' names in one ledger; older rows and invalid statuses don't get in."""
+    nation = _table(spark, sf_dir, "nation").select(F.concat(F.lit(" "), F.col("n_name")).alias("folder_name"), F.col("n_nationkey").alias("k")).filter("k % 3 > 0")
+    read = nation.select("folder_name", F.format_string('{"k": %d}', F.col("k")).alias("extraction"), F.lit(2).alias("processed_at")).unionByName(nation.select("folder_name", F.lit("old").alias("extraction"), F.lit(1).alias("processed_at")))
+    key = F.col("c_custkey")
+    status = F.when(key % 5 == 0, "done").when(key % 2 == 0, "tagged_ok").otherwise("pending")
+    albums = _table(spark, sf_dir, "customer").select(F.concat(F.lit("/m/"), key.cast("string")).alias("path"), status.alias("status"), F.lit("h").alias("content_hash"), F.lit(1).alias("disc_count"), F.lit(None).cast("string").alias("error"), F.lit(1).alias("processed_at"))
+    ledger = state.upsert(state.album_states(albums), state.extraction_states(read), ["path_hash"])
+    return ledger.select("path_hash", "status", "folder_name_hash", "extraction")
+
+
+@query("WITH d AS (SELECT *, count(*) OVER (PARTITION BY lower(trim(coalesce(title, ''))), lower(trim(coalesce(artist, ''))), lower(trim(coalesce(album, '')))) AS n FROM t) SELECT path FROM d WHERE n > 1 AND contains(lower(coalesce(title, '')), 'red') AND codec = 'FLAC'")
+def search_duplicates(spark, sf_dir):
+    return scopes.search_tracks(track_table(spark, sf_dir), has_duplicates=True, title="RED", codec="flac").select("path")
