@@ -53,3 +53,13 @@ def test_page_holds_its_limits(spark):
     rows = spark.range(300)
     assert op.page(rows, ["id"], -5, 1000).count() == 100
     assert [r.id for r in op.page(rows, ["id"], 10, 0).collect()] == [10]
+
+
+def test_pairs_of_a_frequent_key_are_dealt_out(spark, tmp_path):
+    """One file's rows of one key and size: all pairs, from several partitions, none held back by the file's single one."""
+    spark.range(2500, numPartitions=1).selectExpr("id", "'a' AS k", "CAST(id % 2 * 200 AS double) AS size").write.parquet(str(tmp_path / "rows"))
+    pairs = op.band_pairs(spark.read.parquet(str(tmp_path / "rows")), "k", "id", "size")
+    found = pairs.withColumn("at", F.spark_partition_id()).groupBy("at").agg(F.count("*").alias("n"), F.count_distinct("left_id", "right_id").alias("different"))
+    counts = found.collect()
+    assert sum(r.n for r in counts) == sum(r.different for r in counts) == 2 * 1250 * 1249
+    assert len(counts) > 1
