@@ -175,11 +175,16 @@ def apply_pattern(tracks: DataFrame, pattern: str) -> DataFrame:
 
 
 def extra_tags(rows: DataFrame) -> DataFrame:
-    """(path, ord, key, value) as they are written: trimmed, keys canonical, reserved ones left out, each pair once, the first."""
-    key, value = N.extra_key(F.col("key")), T.trim(F.col("value"))
-    named = rows.select("path", "ord", key.alias("key"), value.alias("value"))
-    fine = (F.col("key") != "") & (F.col("value") != "") & (~N.is_reserved_key(F.col("key")) | (F.upper("key") == "ARTISTS"))
-    first = named.filter(fine).groupBy("path", F.upper("key").alias("_k"), "value").agg(F.min(F.struct("ord", "key")).alias("_f"))
+    """(path, ord, key, value) as they are written: trimmed, keys canonical, reserved ones left out, each pair once, the first.
+
+    Rows are dealt out before keys are made and pairs are sorted: files of few bytes may hold very many rows of one task.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    filled = rows.select("path", "ord", "key", T.trim(F.col("value")).alias("value")).filter("value != ''").repartition(n, "path", "value")
+    # The key is bound once, however often the conditions name it.
+    key = F.filter(F.array(N.extra_key(F.col("key"))), lambda k: (k != "") & (~N.is_reserved_key(k) | (F.upper(k) == "ARTISTS")))
+    named = filled.select("path", "value", "ord", F.explode(key).alias("key"))
+    first = named.groupBy("path", F.upper("key").alias("_k"), "value").agg(F.min(F.struct("ord", "key")).alias("_f"))
     return first.select("path", "_f.ord", "_f.key", "value")
 
 

@@ -367,3 +367,15 @@ def test_keys_of_ascii_texts_are_the_same_in_both_ways(spark):
         x, y = N._key(r.a), N._key(r.b)
         assert (r.s, r.m) == (N._score(x, y), N._holds(x, y) >= 80), (r.a, r.b)
     assert spark.range(1).select(N.album_score(F.lit(None).cast("string"), F.lit("x"))).first()[0] is None
+
+
+def test_extra_tags_are_dealt_out_before_they_are_sorted(spark):
+    """Rows of one task, each pair spelt in two ways: the first stays, and several tasks have a share."""
+    spelt = F.when(F.col("id") % 2 == 0, "musicbrainz track id").otherwise("MUSICBRAINZ_RECORDINGID")
+    rows = spark.range(2000, numPartitions=1).select(F.floor(F.col("id") / 2).cast("string").alias("path"), "id", spelt.alias("key"))
+    rows = rows.select("path", F.col("id").alias("ord"), "key", F.concat(F.lit(" "), "path").alias("value"))
+    more = rows.select("path", "ord", F.explode(F.array(F.lit("title"), F.lit(" "), F.lit("Mood"), F.lit("mood"))).alias("key"), F.lit("x").alias("value"))
+    found = edits.extra_tags(rows.unionByName(more.withColumn("ord", F.col("ord") + 5000)).coalesce(1))
+    told = found.withColumn("at", F.spark_partition_id()).collect()
+    assert {(r.path, r.ord, r.key if r.value != "x" else r.key.lower(), r.value) for r in told} == {(str(i), 2 * i, "MUSICBRAINZ_TRACKID", str(i)) for i in range(1000)} | {(str(i), 2 * i + 5000, "mood", "x") for i in range(1000)}
+    assert len(told) == 2000 and len({r["at"] for r in told}) > 1
