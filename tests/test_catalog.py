@@ -63,3 +63,31 @@ def test_pairs_of_a_frequent_key_are_dealt_out(spark, tmp_path):
     counts = found.collect()
     assert sum(r.n for r in counts) == sum(r.different for r in counts) == 2 * 1250 * 1249
     assert len(counts) > 1
+
+
+def _joined_rows(plan):
+    """Rows that the merge joins of an executed plan put out."""
+    name = plan.nodeName()
+    below = [plan.plan()] if name.endswith("QueryStage") else [plan.children().apply(i) for i in range(plan.children().size())]
+    return (plan.metrics().apply("numOutputRows").value() if name == "SortMergeJoin" else 0) + sum(map(_joined_rows, below))
+
+
+def test_pairs_of_a_frequent_size_meet_as_arrays(spark):
+    """One key and size: a row for each first row and block comes out of the join; it was one for each pair."""
+    pairs = op.band_pairs(spark.range(1500).selectExpr("id", "'a' AS k", "1D AS size"), "k", "id", "size").groupBy().agg(F.count("*").alias("n"), F.sum(F.hash("left_id", "right_id")).alias("s"))
+    wanted = spark.range(1500).alias("a").crossJoin(spark.range(1500).alias("b")).filter("a.id <> b.id").agg(F.count("*").alias("n"), F.sum(F.hash("a.id", "b.id")).alias("s"))
+    assert pairs.collect() == wanted.collect()
+    assert 0 < _joined_rows(pairs._jdf.queryExecution().executedPlan().executedPlan()) <= 2 * 1500
+
+
+@pytest.mark.parametrize("block", [1, 3, 1024])
+def test_pairs_of_odd_rows(spark, monkeypatch, block):
+    """Sizes below zero and over 5 / 3 %, ids twice and under two sizes, nulls; blocks of any length."""
+    monkeypatch.setattr(op, "BLOCK_ROWS", block)
+    sizes = [-7.0, -2.0, 0.0, 3.0, 3.0, 3.0, 5.0, 8.0, 200.0, 205.9, 206.0, 206.1, 212.1, 300.0, 309.0, 309.2, 318.3]
+    rows = [(i, k, s) for k in "ab" for i, s in enumerate(sizes)] + [(3, "a", 3.0), (3, "a", 4.0), (None, "a", 3.0), (50, None, 3.0), (51, "a", None)]
+    found = op.band_pairs(spark.createDataFrame(rows, "id long, k string, size double"), "k", "id", "size")
+    known = [r for r in rows if None not in r]
+    wanted = Counter((k, i, j) for i, k, s in known for j, other, t in known if k == other and i != j and abs(s - t) <= max(5.0, s * 0.03))
+    assert Counter(map(tuple, found.collect())) == wanted
+    assert found.columns == ["key", "left_id", "right_id"]
